@@ -12,8 +12,9 @@ a hash), so the sample is even over lengths. Expected copies are summed up
 along the order, a random offset of the source is added, and a document is
 emitted once for each integer boundary crossed in its step. A document's
 place in the order comes from row numbers within small groups (source,
-words, salt) plus the groups' running totals; a hot source or a group of
-copies is dealt over salts, so no task sorts a whole source.
+words, salt) plus the groups' running totals; a group of n
+is dealt over about sqrt(n) salts, so no task sorts a hot source or a group
+of copies.
 
 Defined results: null text has no words; its copies are 0. Null source is a
 source of its own. Repeated rows are separate documents. A source without
@@ -31,7 +32,6 @@ from polescale.llm.common import BLANKS, Workspace, documents_of, global_row_num
 from polescale.llm.quality import let
 
 MOST = 3
-GROUP = 8192
 
 
 def n_words(text: Column) -> Column:
@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 1.0, most: int = M
     goal = ws.save(targets(ws, rows, budget, most), "targets")
 
     # places in the order of (words, salt, hash) within each source
-    groups = rows.groupBy("_source", "_size").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_salts"))
+    groups = rows.groupBy("_source", "_size").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_salts"))
     keyed = rows.join(groups.withColumnRenamed("_source", "_s").withColumnRenamed("_size", "_z"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     keyed = keyed.withColumn("_hash", F.xxhash64(F.lit(seed), "_uid"))
     keyed = ws.save(keyed.withColumn("_salt", F.pmod(F.col("_hash"), F.col("_salts"))).drop("_s", "_z", "_salts"), "keyed")
