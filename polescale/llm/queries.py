@@ -38,6 +38,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polescale.llm import katz
+
+    return katz.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polescale.llm import decontam
 
@@ -68,6 +74,6 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("_uid")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scan, op3_minhash, op4_token_counts, op6_decontaminate, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scan, op3_minhash, op4_token_counts, op5_katz, op6_decontaminate, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
