@@ -12,7 +12,7 @@ from polescale.config import INVERSION_HOLD
 from polescale.functions.labels import fold_pole, fold_pole_or_none, is_seed, role
 from polescale.functions.text import strip
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def direct(spark: SparkSession, text: str | None) -> DataFrame:
@@ -73,7 +73,7 @@ def read_corpus(spark: SparkSession, folder: str, require_pole: bool = True) ->
     Not recursive; ``._*`` and ``*.en.md`` are skipped. With ``require_pole``
     an unknown label is an error, else the pole is null.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", False).text(folder)
+    files = spark.read.option("recursiveFileLookup", False).text(folder, wholetext=True, pathGlobFilter="*.md")
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"))
     named = named.where(~F.col("name").startswith("._") & ~F.col("name").endswith(".en.md")).select("path", "raw")
     kinds = "path string, slug string, attracteur string, role string, use_for_seeds boolean, legacy boolean, header string, body string"
