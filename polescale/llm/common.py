@@ -57,6 +57,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
+        self._free()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
@@ -64,8 +65,9 @@ class Workspace:
         return out
 
     def _free(self) -> None:
-        """Let Spark delete the shuffle files that no plan refers to any more."""
+        """Let Spark delete the shuffle files that no plan refers to any more; events that still hold plans go first."""
         gc.collect()
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:

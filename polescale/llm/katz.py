@@ -150,17 +150,16 @@ class Block:
         return np.bincount(self.doc, weights=values, minlength=len(self.lengths))
 
 
-def _blocks(buckets: int, size: int):
-    """Documents to streams of blocks and their questions for unigram counts."""
+def _blocks(size: int):
+    """Documents to streams of blocks."""
 
     def emit(parts: list[tuple]) -> pa.RecordBatch:
         hashes = np.concatenate([x[0] for x in parts])
         uids, lengths, train = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(tokens[np.repeat(train, lengths).astype(bool)], minlength=len(vocabulary))
         block = int(uids[0])
         stream = join(pack_sorted(vocabulary), pack(uids), pack(lengths.astype(np.int64)), pack(train), pack(tokens.astype(np.uint32)))
-        return rows([(block, block, STREAM, -1, stream), *asks(block, UNIGRAMS, buckets, vocabulary, counts.astype(np.int64))])
+        return rows([(block, block, STREAM, -1, stream)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -244,12 +243,19 @@ def _of_block(data: pa.Table) -> Block:
     return Block(next(d for k, d in zip(data["kind"].to_pylist(), data["data"].to_pylist(), strict=True) if k == STREAM))
 
 
-def _ask_bigrams(buckets: int):
-    def run(data: pa.Table) -> pa.Table:
-        b = _of_block(data)
-        key, _, _, pair = b.bigrams()
-        train = np.repeat(b.train, b.lengths).astype(bool)
-        return table(asks(int(b.uids[0]), BIGRAMS, buckets, key, np.bincount(pair[train], minlength=len(key)).astype(np.int64)))
+def _ask_counts(kind: int, buckets: int):
+    """Streams to a block's questions for unigram or bigram counts, with its own counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(4).to_pylist():
+                b = Block(data)
+                if kind == UNIGRAMS:
+                    key, of = b.vocabulary, b.tokens
+                else:
+                    key, _, _, of = b.bigrams()
+                train = np.repeat(b.train, b.lengths).astype(bool)
+                yield rows(asks(int(b.uids[0]), kind, buckets, key, np.bincount(of[train], minlength=len(key)).astype(np.int64)))
 
     return run
 
@@ -312,17 +318,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> Dat
     base = documents_of(ws, docs)
     train = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 1, F.lit(True)).cast("int")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    seen = ws.save(base.select("_uid", train.alias("t"), "_text").mapInArrow(_blocks(buckets, block), SCHEMA), "blocks")
-    stream = seen.where(F.col("kind") == STREAM)
+    stream = ws.save(base.select("_uid", train.alias("t"), "_text").mapInArrow(_blocks(block), SCHEMA), "blocks")
     by = lambda df, f: df.groupBy("dest").applyInArrow(f, SCHEMA)
 
     def stat(df: DataFrame) -> Discount:
         got = [unpack(split(r["data"])[0]) for r in df.where(F.col("kind") == STATS).select("data").toLocalIterator()]  # nine numbers a bucket
         return Discount(np.sum(got, axis=0) if got else np.zeros(K + 3, np.int64))
 
-    one_ = ws.save(by(seen.where(F.col("kind") == UNIGRAMS), _count(UNIGRAMS)), "unigrams")
+    one_ = ws.save(by(stream.mapInArrow(_ask_counts(UNIGRAMS, buckets), SCHEMA), _count(UNIGRAMS)), "unigrams")
     one, ones = stat(one_), one_.where(F.col("kind") == UNIGRAMS)
-    two_ = ws.save(by(by(stream, _ask_bigrams(buckets)), _count(BIGRAMS)), "bigrams")
+    two_ = ws.save(by(stream.mapInArrow(_ask_counts(BIGRAMS, buckets), SCHEMA), _count(BIGRAMS)), "bigrams")
     two, twos = stat(two_), two_.where(F.col("kind") == BIGRAMS)
     weights = ws.save(by(by(stream.union(ones).union(twos), _ask_weights(buckets, one, two)), _weigh), "weights")
     kinds = "_uid long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
