@@ -65,7 +65,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polescale.llm import quality
 
-    return quality.judge(spark, table(spark, sf_dir, "documents")).drop("_uid")
+    return quality.judge(spark, table(spark, sf_dir, "documents")).drop("_uid").withColumn("shrunk_rate", F.round("shrunk_rate", 9))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,70 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scan, op3_minhash, op4_token_counts, op5_katz, op6_decontaminate, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+# --- DuckDB ---------------------------------------------------------------------
+
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(string_split_regex(coalesce({x}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hexadecimal: str) -> str:
+    """Of 40 hexadecimal digits, five (20 bits) at a time."""
+    part = f"CAST(concat('0x', substr({hexadecimal}, 5 * i + 1, 5)) AS BIGINT)"
+    letters = " || ".join(f"substr('{_B32}', CAST(({part} // {32**k}) % 32 AS BIGINT) + 1, 1)" for k in (3, 2, 1, 0))
+    return f"array_to_string(list_transform(range(8), lambda i: {letters}), '')"
+
+
+def _url_sql() -> str:
+    from polescale.llm import urlfilter as u
+
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in u.RULES)
+    hit = lambda terms: " + ".join(rf"CAST(regexp_matches(low, '(^|[^\p{{L}}\p{{N}}]){t}([^\p{{L}}\p{{N}}]|$)') AS BIGINT)" for t in terms)
+    return f"""WITH cut AS (SELECT page_id, coalesce(url, '') AS u, {_LOWER.format(x="coalesce(url, '')")} AS low FROM pages),
+ parts AS (SELECT page_id, low, {_LOWER.format(x="regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, {hit(u.STRICT)} AS strict_hits, {hit(u.SOFT)} AS soft_hits FROM cut),
+ rules(h, p, v) AS (VALUES {rules}),
+ fit AS (SELECT page_id, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1)
+ SELECT parts.page_id, host, path, rule, strict_hits, soft_hits, coalesce(v, CASE WHEN strict_hits > 0 OR soft_hits >= {u.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN fit ON parts.page_id = fit.page_id"""
+
+
+def _quality_sql() -> str:
+    from polescale.llm import quality as q
+
+    return rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_SPLIT.format(x="text")} AS ws FROM documents),
+ win AS (SELECT doc_id, unnest(range(len(ws) - 7)) AS i, ws FROM w WHERE len(ws) > 8),
+ keyed AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 8], ' ') AS k FROM win),
+ twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed),
+ gaps AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS g FROM twice WHERE c > 1),
+ rep AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS r FROM gaps GROUP BY doc_id),
+ m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  (SELECT CAST(len(l) - len(list_distinct(l)) AS BIGINT) FROM (SELECT list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l)) AS n_dup_lines,
+  coalesce(r, 0) AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+ f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM m),
+ hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
+ prior AS (SELECT sum(bad) / greatest(sum(n), 1) AS m, coalesce(var_pop(bad / n), 0.0) AS v, avg(1.0 / n) AS inv FROM hosts),
+ beta AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 2.0), 1e4) AS k FROM prior),
+ rates AS (SELECT source, (bad + m * k) / (n + k) AS rate FROM hosts, beta)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS shrunk_rate, NOT base_failed AND rate <= {q.HOST_LIMIT} AS kept FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source"""
+
+
+def _near_sql(percent: int = 85) -> str:
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(x=_LOWER.format(x="text"))} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(1, len(ws) - 4)), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS g FROM w WHERE len(ws) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+ edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+ reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.y FROM reach r JOIN edge e ON r.to_id = e.x),
+ comp AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM comp c LEFT JOIN n ON c.doc_id = n.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+ d AS (SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
+    "op3_minhash": _near_sql(),
+    "op7_url_filter": _url_sql(),
+    "op9_quality_rules": _quality_sql(),
+}
