@@ -22,17 +22,25 @@ def write_lexicon(rows: DataFrame, folder: str, minus: str, plus: str) -> None:
     named.write.mode("overwrite").option("compression", "snappy").parquet(f"{folder}/lexicon.parquet")
 
 
+def _last(df: DataFrame, *values: str) -> DataFrame:
+    """Of rows that repeat (word, pos) the last of the file counts."""
+    order = F.monotonically_increasing_id()
+    last = df.withColumn("_n", order).groupBy("word", "pos").agg(F.max(F.struct("_n", *values)).alias("v"))
+    return last.select("word", "pos", *[F.col(f"v.{x}").alias(x) for x in values])
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """``word, pos, score`` of a lexicon CSV, by column name."""
     df = spark.read.option("header", True).csv(path)
-    return df.select("word", "pos", F.col("score").cast("double").alias("score"))
+    return _last(df.select("word", "pos", F.col("score").cast("double").alias("score")), "score")
 
 
 def read_pole_counts(spark: SparkSession, path: str) -> DataFrame:
     """``word, pos, freq_minus, freq_plus`` of a lexicon CSV; frequencies are the fourth and fifth columns whatever their names."""
     df = spark.read.option("header", True).csv(path)
     c = df.columns
-    return df.select(F.col(f"`{c[0]}`").alias("word"), F.col(f"`{c[1]}`").alias("pos"), F.col(f"`{c[3]}`").cast("long").alias("freq_minus"), F.col(f"`{c[4]}`").cast("long").alias("freq_plus"))
+    named = df.select(F.col(f"`{c[0]}`").alias("word"), F.col(f"`{c[1]}`").alias("pos"), F.col(f"`{c[3]}`").cast("long").alias("freq_minus"), F.col(f"`{c[4]}`").cast("long").alias("freq_plus"))
+    return _last(named, "freq_minus", "freq_plus")
 
 
 def read_predictions(spark: SparkSession, folder: str, suffix: str = ".prediction.json") -> DataFrame:

@@ -100,6 +100,12 @@ def test_calibrate_and_compare(spark, root, scoring):
     assert "Misclassified: 1 of 1" in said and "good: gold Hors-Sol, lexical Hors-Sol, other Terrestre" in said
 
 
+def test_repeated_lexicon_rows(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("word,pos,score,freq_a,freq_b,n_docs,ci_low,ci_high\nterre,NOUN,0.9,1,12,8,0.7,1.0\nmarché,NOUN,-0.8,9,1,6,,\nterre,NOUN,0.5,2,3,8,,\n", encoding="utf-8")
+    assert {r.word: r.score for r in tables.read_lexicon(spark, f"{tmp_path}/l.csv").collect()} == {"terre": 0.5, "marché": -0.8}
+    assert {r.word: (r.freq_minus, r.freq_plus) for r in tables.read_pole_counts(spark, f"{tmp_path}/l.csv").collect()} == {"terre": (2, 3), "marché": (9, 1)}
+
+
 def test_exit_codes(spark, root):
     assert calibrate.calibrate(spark, str(root), "x") == 1 and compare.compare(spark, str(root), "x") == 1
     assert compare.compare(spark, str(root), "local-global") == 1, "no lexicon yet"
