@@ -198,7 +198,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     # full sets of the classes that stand in a bucket; a doc_id on several rows may bring other sets, which join nothing
     wanted = members.select("node").distinct().join(classes, "node").select("first").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(wanted, texts["_id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
+    # the same plan at every size: what is wanted grows with the corpus, so it is never broadcast
+    sets = texts.hint("merge").join(wanted.hint("merge"), texts["_id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
     sets = ws.save(sets.mapInArrow(_sets, "node string, words array<long>, n long").dropDuplicates(["node"]), "sets")
 
     x = sets.select("node", "words", "n")
