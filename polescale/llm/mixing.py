@@ -34,6 +34,11 @@ from polescale.llm.quality import let
 MOST = 3
 
 
+def number(*parts: Column) -> Column:
+    """A hash of 60 bits that SQL engines share."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(let(F.split(text, BLANKS), lambda w: F.size(w) - F.size(F.filter(w, lambda x: x == ""))), F.lit(0)).cast("long")
 
@@ -64,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 1.0, most: int = M
     # places in the order of (words, salt, hash) within each source
     groups = rows.groupBy("_source", "_size").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_salts"))
     keyed = rows.join(groups.withColumnRenamed("_source", "_s").withColumnRenamed("_size", "_z"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    keyed = keyed.withColumn("_hash", F.xxhash64(F.lit(seed), "_uid"))
+    keyed = keyed.withColumn("_hash", number(F.lit(str(seed)), F.col("_uid").cast("string")))
     keyed = ws.save(keyed.withColumn("_salt", F.pmod(F.col("_hash"), F.col("_salts"))).drop("_s", "_z", "_salts"), "keyed")
     step = Window.partitionBy("_source").orderBy("_size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     heads = keyed.groupBy("_source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(step), F.lit(0)))
@@ -73,7 +78,7 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 1.0, most: int = M
     placed = keyed.withColumn("_row", inner).join(heads, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
     placed = placed.select("_uid", "_id", "_source", "_size", (F.col("_before") + F.col("_row")).alias("_place"))
 
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "_source"), F.lit(1 << 40)) / float(1 << 40)
+    offset = F.pmod(number(F.lit(str(seed)), F.lit("offset"), F.coalesce("_source", F.lit(""))), F.lit(1 << 40)) / float(1 << 40)
     goal = goal.select(F.col("_source").alias("_s"), "source_size", "target")
     joined = placed.join(goal, F.col("_source").eqNullSafe(F.col("_s")))
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(float(most)))

@@ -135,6 +135,22 @@ def _near_sql(percent: int = 85) -> str:
  SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM comp c LEFT JOIN n ON c.doc_id = n.doc_id"""
 
 
+def _mix_sql(most: int = 3, seed: int = 10) -> str:
+    """Water filling in closed form: sources by stop / weight, and the first whose level is not above its own ratio."""
+    number = "CAST(concat('0x', substr(md5({x}), 1, 15)) AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, source, CAST(len({_SPLIT.format(x="text")}) AS BIGINT) AS size, {number.format(x=f"concat('{seed}/', doc_id)")} AS h FROM documents),
+ per AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+ stop AS (SELECT *, {most}::DOUBLE * source_size AS s, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM per),
+ line AS (SELECT *, coalesce(sum(s) OVER o, 0) AS held, coalesce(sum(w) OVER o, 0) AS gone FROM stop WINDOW o AS (ORDER BY s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ level AS (SELECT max((total - held) / (all_w - gone)) FILTER ((total - held) / (all_w - gone) <= s / w) AS v FROM line),
+ goal AS (SELECT source, source_size, least(s, v * w) AS target FROM stop, level),
+ salted AS (SELECT *, h % CAST(ceil(sqrt(count(*) OVER (PARTITION BY source, size))) AS BIGINT) AS salt FROM d),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, salt, h, doc_id) AS p FROM salted),
+ rated AS (SELECT p.*, source_size, target, least(coalesce(target / nullif(source_size, 0), 0.0), {float(most)}) AS rate, ({number.format(x=f"concat('{seed}/offset/', coalesce(p.source, ''))")} % {1 << 40}) / {float(1 << 40)} AS o FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source),
+ drawn AS (SELECT *, CAST(least(floor(p * rate + o) - floor((p - 1) * rate + o), {most}) AS BIGINT) AS copies FROM rated)
+ SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken FROM drawn"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
  d AS (SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
@@ -142,4 +158,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash": _near_sql(),
     "op7_url_filter": _url_sql(),
     "op9_quality_rules": _quality_sql(),
+    "op10_mix": _mix_sql(),
 }
