@@ -41,7 +41,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polescale.llm import katz
 
-    return katz.score_texts(spark, table(spark, sf_dir, "documents"))
+    scored = katz.score_texts(spark, table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +152,39 @@ def _mix_sql(most: int = 3, seed: int = 10) -> str:
  SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken FROM drawn"""
 
 
+def _discount_sql(name: str, counts: str) -> str:
+    """One row: Good-Turing ratios d1 to d5, whether they hold, and the absolute discount."""
+    n = ", ".join(f"count(*) FILTER (c = {r})::DOUBLE AS n{r}" for r in range(1, 7))
+    d = ", ".join(f"(({r + 1} * n{r + 1}) / ({r} * n{r}) - x) / (1 - x) AS d{r}" for r in range(1, 6))
+    good = " AND ".join(f"d{r} > 0 AND d{r} < 1" for r in range(1, 6))
+    return f"""{name}_n AS (SELECT {n} FROM {counts}), {name}_x AS (SELECT *, 6 * n6 / nullif(n1, 0) AS x FROM {name}_n),
+ {name}_d AS (SELECT *, {d} FROM {name}_x), {name} AS (SELECT *, coalesce(n6 > 0 AND x < 1 AND {good}, false) AS good, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS m FROM {name}_d)"""
+
+
+def _katz_sql() -> str:
+    disc = lambda c, d: f"CASE WHEN {d}.good THEN {c} * CASE {c} {' '.join(f'WHEN {r} THEN {d}.d{r}' for r in range(1, 6))} ELSE 1 END ELSE greatest({c} - {d}.m, 0) END"
+    return f"""WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+ docs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 5 = 1 AS held, {_SPLIT.format(x=_LOWER.format(x="text"))} AS ws FROM documents, crc),
+ tk AS (SELECT doc_id, held, unnest(list_append(ws, ' end')) AS w, unnest(list_prepend(' end', ws)) AS h FROM docs),
+ one AS (SELECT w, count(*) AS c FROM tk WHERE NOT held GROUP BY w), two AS (SELECT h, w, count(*) AS c FROM tk WHERE NOT held GROUP BY h, w),
+ s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM one), {_discount_sql("a", "one")}, {_discount_sql("b", "two")},
+ p1 AS (SELECT w, c, ({disc("c", "a")}) / n AS p FROM one, a, s), unk AS (SELECT 1 - sum(p) AS u FROM p1),
+ hist AS (SELECT h, sum({disc("two.c", "b")}) AS mass, sum(p1.p) AS low FROM two JOIN p1 ON two.w = p1.w, b GROUP BY h),
+ back AS (SELECT h, c AS ch, 1 - mass / c AS rest, low FROM hist JOIN one ON h = w),
+ pairs AS (SELECT DISTINCT h, w FROM tk),
+ prob AS (SELECT x.h, x.w, CASE WHEN two.c > 0 THEN CASE WHEN rest < 1e-12 THEN ch / (ch + 1.0) ELSE 1 END * ({disc("two.c", "b")}) / ch
+  ELSE CASE WHEN ch IS NULL THEN 1 WHEN rest < 1e-12 THEN 1 / (ch + 1.0) / (1 - low) ELSE rest / (1 - low) END * coalesce(p1.p, u) END AS p, coalesce(p1.c, 0) AS c
+  FROM pairs x LEFT JOIN two ON x.h = two.h AND x.w = two.w LEFT JOIN back ON x.h = back.h LEFT JOIN p1 ON x.w = p1.w, b, unk)
+ SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score, round(sum(log10(p)), 6) AS score
+ FROM tk JOIN prob ON tk.h = prob.h AND tk.w = prob.w, s GROUP BY doc_id, held"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
  d AS (SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
     "op3_minhash": _near_sql(),
+    "op5_katz": _katz_sql(),
     "op7_url_filter": _url_sql(),
     "op9_quality_rules": _quality_sql(),
     "op10_mix": _mix_sql(),

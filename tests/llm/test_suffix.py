@@ -29,7 +29,7 @@ def test_against_brute_force(spark):
 
 def test_group_dealt_out(spark, monkeypatch):
     """An anchor of more units than one task takes gives the same result."""
-    monkeypatch.setattr(suffix, "GROUP", 3)
+    monkeypatch.setattr(suffix, "GROUP", 1)
     rng = random.Random(5)
     core = "the passage that many documents share, " * 4
     rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 120))) + core + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 120)))) for i in range(30)]
