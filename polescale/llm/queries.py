@@ -152,6 +152,27 @@ def _mix_sql(most: int = 3, seed: int = 10) -> str:
  SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken FROM drawn"""
 
 
+def _license_sql() -> str:
+    """Own licences of all units; no document of the tables licenses a directory (none is named so, none is a template as a whole)."""
+    from polescale.llm import licenses as m
+
+    idf, other, rows, _ = m.model(m.TEMPLATES, m.THRESHOLD)
+    known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(idf.items()))
+    weights = ", ".join(f"({k}, '{name}', '{w}', {x!r}::DOUBLE)" for k, name, w, x in rows)
+    return rf"""WITH known(word, idf) AS (VALUES {known}), weights(template, licence, word, weight) AS (VALUES {weights}),
+ lines AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '
+[ 	]*
+'), [t]))) AS line FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+ units AS (SELECT *, row_number() OVER () AS unit FROM lines),
+ words AS (SELECT doc_id, unit, unnest(string_split_regex(lower(line), '[^\p{{L}}\p{{N}}]+')) AS word FROM units),
+ tf AS (SELECT doc_id, unit, word, count(*) AS tf FROM words WHERE word <> '' GROUP BY doc_id, unit, word),
+ v AS (SELECT doc_id, unit, tf.word, tf * coalesce(idf, {other!r}) AS x FROM tf LEFT JOIN known ON tf.word = known.word),
+ norms AS (SELECT unit, sqrt(sum(x * x)) AS n FROM v GROUP BY unit),
+ dots AS (SELECT doc_id, unit, template, licence, sum(x * weight) AS d FROM v JOIN weights ON v.word = weights.word GROUP BY doc_id, unit, template, licence),
+ best AS (SELECT doc_id, licence, round(d / n, 9) AS score FROM dots JOIN norms ON dots.unit = norms.unit WHERE round(d / n, 9) >= {m.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(d / n, 9) DESC, licence) = 1)
+ SELECT d.doc_id, concat_ws('/', source, lang, concat(d.doc_id, '.txt')) AS path, licence, score, CASE WHEN licence IS NOT NULL THEN 'own' END AS origin, CAST(NULL AS VARCHAR) AS inherited_from FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id"""
+
+
 def _discount_sql(name: str, counts: str) -> str:
     """One row: Good-Turing ratios d1 to d5, whether they hold, and the absolute discount."""
     n = ", ".join(f"count(*) FILTER (c = {r})::DOUBLE AS n{r}" for r in range(1, 7))
@@ -183,6 +204,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
  d AS (SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
+    "op2_license_scan": _license_sql(),
     "op3_minhash": _near_sql(),
     "op5_katz": _katz_sql(),
     "op7_url_filter": _url_sql(),
