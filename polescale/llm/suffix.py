@@ -49,7 +49,7 @@ from polescale.llm.textnp import U
 
 GRAM = 32
 #: Units of one anchor that one task handles together.
-GROUP = 20_000
+GROUP = 1000
 
 
 def _names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,8 @@ def _units(length: int):
                         parts.append((anchor, name, np.full(len(start), ids[i + r]), start, count))
                 if parts:
                     cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int64)), pa.array(cols[3].astype(np.int64)), pa.array(cols[4].astype(np.int64))], names=["anchor", "unit", "doc", "at", "n"])
+                    at = cols[3].astype(np.int64) << 32 | np.abs(cols[4]) << 1 | (cols[4] < 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int64)), pa.array(at)], names=["anchor", "unit", "doc", "at"])
 
     return run
 
@@ -127,12 +128,14 @@ def _windows(length: int):
                 for r in range(i, j):
                     name = _names(data[offs[r - i] : offs[r - i + 1]], length)[1]
                     for u in wanted[r].as_py():
-                        at, n = u["at"], abs(u["n"])
+                        at, n = u["at"], u["n"]
                         own = name[at : at + n]
                         part = (own % U(u["parts"])).astype(np.int64) if u["parts"] > 1 else None
                         for k in [0] if part is None else np.unique(part).tolist():
-                            pick = slice(None) if part is None else part == k
-                            row = (u["anchor"], k, ids[r], at, own[pick].tobytes(), np.arange(at, at + n)[pick].tobytes())
+                            if part is None:
+                                row = (u["anchor"], 0, ids[r], at, own.tobytes(), None)
+                            else:
+                                row = (u["anchor"], k, ids[r], at, own[part == k].tobytes(), np.flatnonzero(part == k).astype(np.int32).tobytes())
                             for to, x in zip(out, row, strict=True):
                                 to.append(x)
                     if len(out[0]) >= 4096:
@@ -158,8 +161,9 @@ def _later(length: int):
                 continue
             anchor, part, doc = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             names = [np.frombuffer(x, U) for x in b.column(4).to_pylist()]
-            places = np.concatenate([np.frombuffer(x, np.int64) for x in b.column(5).to_pylist()])
             count = np.fromiter(map(len, names), np.int64, len(names))
+            at = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            places = np.concatenate([a + (np.arange(n) if x is None else np.frombuffer(x, np.int32)) for a, n, x in zip(at.tolist(), count.tolist(), b.column(5).to_pylist(), strict=True)]).astype(np.int64)
             new = np.concatenate([[last is None or (anchor[0], part[0]) != last], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
             group = np.cumsum(new)
             name, g = np.concatenate(names), np.repeat(group, count)
@@ -210,18 +214,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(ws: Workspace, texts: DataFrame, length: int = 100) -> DataFrame:
     """``doc, lo, hi``: byte ranges of ``texts`` (_uid, _text) that go; they may overlap."""
-    found = lambda: texts.select("_uid", "_text").mapInArrow(_units(length), "anchor long, unit long, doc long, at long, n long")
+    found = lambda: texts.select("_uid", "_text").mapInArrow(_units(length), "anchor long, unit long, doc long, at long")
+    # at: place of the first window, number of windows, whether they may repeat each other; in the order of the place
+    place, count, loop = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(c.bitwiseAND((1 << 32) - 1), 1)), (lambda c: c.bitwiseAND(1))
     # round 32: anchors that stand more than once
-    again = ws.save(found().groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where("c > 1 or n < 0").select("anchor"), "anchors")
+    again = ws.save(found().groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(loop(F.col("at"))).alias("loop")).where("c > 1 or loop = 1").select("anchor"), "anchors")
     left = ws.save(found().join(again, "anchor"), "units")
     # the first of each unit; later ones are covered
-    first = left.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "n", "c"), "firsts")
-    copies = left.withColumnRenamed("n", "m").join(first.where("c > 1").select("anchor", "unit", "fdoc", "fat"), ["anchor", "unit"]).where("doc <> fdoc or at <> fat")
-    copies = ws.save(copies.select("doc", F.col("at").alias("lo"), (F.col("at") + F.abs("m") + (length - 1)).alias("hi")), "copies")
+    first = left.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c"))
+    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "c"), "firsts")
+    copies = left.join(first.where("c > 1").select("anchor", "unit", "fdoc", "fat"), ["anchor", "unit"]).where("doc <> fdoc or at <> fat")
+    copies = ws.save(copies.select("doc", place(F.col("at")).alias("lo"), (place(F.col("at")) + count(F.col("at")) + (length - 1)).alias("hi")), "copies")
     # anchors of several units: by window
-    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")).where("u > 1 or n < 0").select("anchor", F.ceil(F.col("u") / GROUP).cast("long").alias("parts"))
-    wanted = first.join(several, "anchor").select(F.col("fdoc").alias("_uid"), F.struct("anchor", F.col("fat").alias("at"), "n", "parts").alias("u"))
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("u"), F.max(loop(F.col("fat"))).alias("loop")).where("u > 1 or loop = 1").select("anchor", F.ceil(F.col("u") / GROUP).cast("long").alias("parts"))
+    wanted = first.join(several, "anchor").select(F.col("fdoc").alias("_uid"), F.struct("anchor", place(F.col("fat")).alias("at"), count(F.col("fat")).alias("n"), "parts").alias("u"))
     wanted = wanted.groupBy("_uid").agg(F.collect_list("u").alias("wanted"))  # at most a text's own units
     rows = texts.join(wanted, "_uid").select("_uid", "_text", "wanted").mapInArrow(_windows(length), "anchor long, part long, doc long, at long, names binary, places binary")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "at")
