@@ -48,7 +48,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -60,7 +60,8 @@ class Workspace:
         self._free()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out._work_table = path
+        self._paths.add(path)
         self._free()
         return out
 
@@ -77,8 +78,17 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            if path := self._paths.pop(id(df), None):
-                self._delete(path)
+            self._remove(df._work_table)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        for path in self._paths - {df._work_table for df in tables}:
+            self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        if path in self._paths:
+            self._paths.discard(path)
+            self._delete(path)
 
     def close(self) -> None:
         try:

@@ -226,7 +226,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     named = classes.select("node", "first").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     place = ws.save(named.join(low, "comp").select("node", "component_id"), "places")
-    ws.drop(members, star, sets, edges, buckets)
+    ws.keep(sig, place)
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "node").join(place, "node", "left")
     own_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
