@@ -7,8 +7,8 @@ words outside them weigh as the rarest. A unit is a template's if its
 cosine is at least ``threshold``; a file takes the template of its best
 unit, ties to the first in order of name.
 
-Most units cannot reach the threshold. For each template the heaviest words
-are kept as cues until the rest of its vector is shorter than the threshold;
+Most units cannot reach the threshold. For each template its heaviest words
+(single letters last) are kept as cues until the rest of its vector is shorter than the threshold;
 by Cauchy and Schwarz a unit without any cue stays below it, so only units
 with a cue are turned into rows. This drops no match.
 
@@ -53,6 +53,8 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Words of the templates that most texts have; the few templates overrate them, so they weigh a quarter.
+COMMON = {"a", "all", "and", "any", "are", "as", "be", "by", "can", "do", "for", "found", "has", "have", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "work", "you"}
 FILES = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -65,13 +67,13 @@ def model(templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str,
     """Inverse document frequencies, that of other words, (template, name, word, weight) rows with unit norms, and the cues."""
     bags = [Counter(_words(t)) for _, t in templates]
     df = Counter(w for b in bags for w in b)
-    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: (math.log((1 + len(bags)) / (1 + n)) + 1) * (0.25 if w in COMMON else 1) for w, n in df.items()}
     rows, cues = [], set()
     for k, ((name, _), bag) in enumerate(zip(templates, bags, strict=True)):
         v = {w: n * idf[w] for w, n in bag.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         rest = 1.0
-        for w, x in sorted(v.items(), key=lambda y: (-y[1], y[0])):
+        for w, x in sorted(v.items(), key=lambda y: (len(y[0]) == 1, -y[1], y[0])):
             rows.append((k, name, w, x / norm))
             if rest >= (threshold * 0.999) ** 2:
                 cues.add(w)
