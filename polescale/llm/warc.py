@@ -1,8 +1,8 @@
 """Deterministic sharded WARC archives: write, commit, read back.
 
 * Records are range-partitioned by page_id into shards of about
-  ``shard_bytes`` of payload. Borders come from an exact histogram of at most
-  ``BINS`` bins, not from a sample, so every run and cluster size cuts alike.
+  ``shard_bytes`` of payload. Borders come from an exact histogram of a few
+  bins a shard (at most ``BINS``), not from a sample, so every run and cluster size cuts alike.
 * Within a shard records are sorted by page_id; a file is closed, and the next
   opened, when its compressed size passes ``roll_bytes``. Each record is a
   gzip member of its own (without time stamps).
@@ -161,19 +161,20 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes
     facts = ws.save(facts.select("uid", F.struct("digest", "size", refers.alias("refers")).alias("fact")), "facts")
 
     # shards by an exact histogram of bytes over uid
-    lo, hi = facts.agg(F.min("uid"), F.max("uid")).first()
-    lo, width = lo or 0, max(1, -(-((hi or 0) - (lo or 0) + 1) // BINS))
+    lo, hi, total = facts.agg(F.min("uid"), F.max("uid"), F.sum(F.col("fact.size") + 512)).first()
+    n_bins = min(BINS, max(64, 16 * -(-(total or 0) // shard_bytes)))
+    lo, width = lo or 0, max(1, -(-((hi or 0) - (lo or 0) + 1) // n_bins))
     bin_of = F.floor((F.col("uid") - lo) / F.lit(width))
     bins = facts.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("fact.size") + 512).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = ws.save(bins.select("bin", F.floor(before / shard_bytes).alias("shard")), "bins")
-    n = bins.select("shard").distinct().count()
+    n = (bins.agg(F.max("shard")).first()[0] or 0) + 1
     with_shard = lambda df: df.withColumn("bin", bin_of).join(F.broadcast(bins), "bin").drop("bin")  # noqa: E731  BINS rows at most
 
     kind = "struct<digest:string,size:long,refers:struct<uid:long,page_id:long>>"
     first = with_shard(facts).select("shard", "uid", "fact", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     then = with_shard(base.withColumnRenamed("_uid", "uid")).select("shard", "uid", F.lit(None).cast(kind).alias("fact"), F.col("_id").alias("page_id"), F.col("_url").alias("url"), F.col("_text").alias("html"))
-    rows = first.union(then).repartition(max(1, n), "shard").sortWithinPartitions("shard", "uid", F.col("fact").isNull())
+    rows = first.union(then).repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", "uid", F.col("fact").isNull())
     manifest = rows.mapInArrow(_write(folder, roll_bytes), "file string, shard long, seq long, n_records long, n_bytes long, sha256 string")
     manifest.write.parquet(f"{folder}/manifest")
     ws.drop(facts, bins)
@@ -223,4 +224,4 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "n_bytes", "sha256")
     n = max(1, manifest.count())
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string, file string"
-    return manifest.repartition(n, "file").mapInArrow(_read(folder), kinds)
+    return manifest.repartition(n).mapInArrow(_read(folder), kinds)
