@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +56,8 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", large: bool = False) -> DataFrame:
+        """``large``: much was shuffled for the table; wait until those files are gone before the next step needs room."""
         path = self.path(name)
         self._free()
         df.write.option("compression", "zstd").parquet(path)
@@ -63,6 +65,9 @@ class Workspace:
         out._work_table = path
         self._paths.add(path)
         self._free()
+        for _ in range(2 * large):  # the cleaner works in its own thread, and what one collection frees may hold more
+            time.sleep(0.7)
+            self._free()
         return out
 
     def _free(self) -> None:

@@ -46,7 +46,7 @@ from polescale.llm.common import Workspace, documents_of
 from polescale.llm.textnp import U
 
 K = 5
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 END = textnp.mix(np.array([0x656E64], U))
 SCHEMA = "dest long, block long, kind int, bucket int, data binary"
 STREAM, UNIGRAMS, BIGRAMS, WEIGHTS, STATS = range(5)
@@ -325,11 +325,11 @@ def score_texts(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> Dat
         got = [unpack(split(r["data"])[0]) for r in df.where(F.col("kind") == STATS).select("data").toLocalIterator()]  # nine numbers a bucket
         return Discount(np.sum(got, axis=0) if got else np.zeros(K + 3, np.int64))
 
-    one_ = ws.save(by(stream.mapInArrow(_ask_counts(UNIGRAMS, buckets), SCHEMA), _count(UNIGRAMS)), "unigrams")
+    one_ = ws.save(by(stream.mapInArrow(_ask_counts(UNIGRAMS, buckets), SCHEMA), _count(UNIGRAMS)), "unigrams", large=True)
     one, ones = stat(one_), one_.where(F.col("kind") == UNIGRAMS)
-    two_ = ws.save(by(stream.mapInArrow(_ask_counts(BIGRAMS, buckets), SCHEMA), _count(BIGRAMS)), "bigrams")
+    two_ = ws.save(by(stream.mapInArrow(_ask_counts(BIGRAMS, buckets), SCHEMA), _count(BIGRAMS)), "bigrams", large=True)
     two, twos = stat(two_), two_.where(F.col("kind") == BIGRAMS)
-    weights = ws.save(by(by(stream.union(ones).union(twos), _ask_weights(buckets, one, two)), _weigh), "weights")
+    weights = ws.save(by(by(stream.union(ones).union(twos), _ask_weights(buckets, one, two)), _weigh), "weights", large=True)
     kinds = "_uid long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = stream.union(ones).union(twos).union(weights).groupBy("dest").applyInArrow(_score(one, two), kinds)
     return base.select("_uid", F.col("_id").alias("doc_id")).join(scored, "_uid").drop("_uid")
