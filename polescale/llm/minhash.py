@@ -182,9 +182,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     # buckets of two or more classes
     banded = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).where("size > 1")
-    buckets = ws.save(counts, "buckets")
+    buckets = ws.save(counts, "buckets", large=True)
     once = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))  # equal buckets once
-    members = ws.save(banded.join(once.select("key", "size", "times"), "key"), "members")
+    members = ws.save(banded.join(once.select("key", "size", "times"), "key"), "members", large=True)
 
     # one centre for each bucket
     weight = members.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
@@ -200,13 +200,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # the same plan at every size: what is wanted grows with the corpus, so it is never broadcast
     sets = texts.hint("merge").join(wanted.hint("merge"), texts["_id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-    sets = ws.save(sets.mapInArrow(_sets, "node string, words array<long>, n long").dropDuplicates(["node"]), "sets")
+    sets = ws.save(sets.mapInArrow(_sets, "node string, words array<long>, n long").dropDuplicates(["node"]), "sets", large=True)
 
     x = sets.select("node", "words", "n")
     y = sets.select(F.col("node").alias("centre"), F.col("words").alias("others"), F.col("n").alias("m"))
     both = F.size(F.array_intersect("words", "others"))
     linked = star.join(x, "node").join(y, "centre").where(100 * both >= percent * (F.col("n") + F.col("m") - both))
-    edges = ws.save(linked.select(F.col("node").alias("a"), F.col("centre").alias("b")), "edges")
+    edges = ws.save(linked.select(F.col("node").alias("a"), F.col("centre").alias("b")), "edges", large=True)
     comp = ws.save(components(ws, edges), "components")
 
     # buckets whose links aren't all known yet; in one of two classes the star was the only pair
@@ -219,7 +219,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "comp", F.col("own").alias("side"))
     more = rest.join(x.select("node", "words"), "node").groupBy("key", "p", "q").applyInPandas(_links(percent), "a string, b string")
-    edges = ws.save(edges.union(more), "links")
+    edges = ws.save(edges.union(more), "links", large=True)
     comp = components(ws, edges)
 
     # class -> smallest doc_id of its component

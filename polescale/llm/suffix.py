@@ -218,21 +218,23 @@ def removed_ranges(ws: Workspace, texts: DataFrame, length: int = 100) -> DataFr
     # at: place of the first window, number of windows, whether they may repeat each other; in the order of the place
     place, count, loop = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(c.bitwiseAND((1 << 32) - 1), 1)), (lambda c: c.bitwiseAND(1))
     # round 32: anchors that stand more than once
-    again = ws.save(found().groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(loop(F.col("at"))).alias("loop")).where("c > 1 or loop = 1").select("anchor"), "anchors")
-    left = ws.save(found().join(again, "anchor"), "units")
+    again = ws.save(found().groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(loop(F.col("at"))).alias("loop")).where("c > 1 or loop = 1").select("anchor"), "anchors", large=True)
+    left = ws.save(found().join(again, "anchor"), "units", large=True)
+    ws.drop(again)
     # the first of each unit; later ones are covered
     first = left.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c"))
-    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "c"), "firsts")
+    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "c"), "firsts", large=True)
     copies = left.join(first.where("c > 1").select("anchor", "unit", "fdoc", "fat"), ["anchor", "unit"]).where("doc <> fdoc or at <> fat")
-    copies = ws.save(copies.select("doc", place(F.col("at")).alias("lo"), (place(F.col("at")) + count(F.col("at")) + (length - 1)).alias("hi")), "copies")
+    copies = ws.save(copies.select("doc", place(F.col("at")).alias("lo"), (place(F.col("at")) + count(F.col("at")) + (length - 1)).alias("hi")), "copies", large=True)
+    ws.drop(left)
     # anchors of several units: by window
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("u"), F.max(loop(F.col("fat"))).alias("loop")).where("u > 1 or loop = 1").select("anchor", F.ceil(F.col("u") / GROUP).cast("long").alias("parts"))
     wanted = first.join(several, "anchor").select(F.col("fdoc").alias("_uid"), F.struct("anchor", place(F.col("fat")).alias("at"), count(F.col("fat")).alias("n"), "parts").alias("u"))
     wanted = wanted.groupBy("_uid").agg(F.collect_list("u").alias("wanted"))  # at most a text's own units
     rows = texts.join(wanted, "_uid").select("_uid", "_text", "wanted").mapInArrow(_windows(length), "anchor long, part long, doc long, at long, names binary, places binary")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "at")
-    later = ws.save(rows.mapInArrow(_later(length), "doc long, lo long, hi long"), "later")
-    ws.drop(again, left, first)
+    later = ws.save(rows.mapInArrow(_later(length), "doc long, lo long, hi long"), "later", large=True)
+    ws.drop(first)
     return copies.union(later)
 
 
