@@ -4,8 +4,10 @@ Tokens of a text are its words (A-Z lower-cased) and one end; the end is also
 the history of a text's first token. Counts are of training texts only.
 
 * Discounts are Good-Turing's for counts up to K (Katz 1987), from the counts
-  of counts; where those don't give ratios between 0 and 1, as on tiny
-  corpora, an absolute discount D = n1 / (n1 + 2 n2) is taken instead.
+  of counts; K is for each order the largest up to 5 that gives ratios between
+  0 and 1 (groups of equal copies raise single counts of counts). Where none
+  from 2 does, as on tiny corpora, an absolute discount D = n1 / (n1 + 2 n2)
+  is taken instead.
 * Unigrams leave the discounted mass to one unknown type.
 * P(w | h) = disc(c(h, w)) / c(h) if the pair was seen, else a(h) P(w), with
   a(h) = (1 - seen mass of h) / (1 - sum of P over words seen after h), so
@@ -217,14 +219,15 @@ class Discount:
         self.types, self.tokens = int(stat[0]), int(stat[1])
         n = np.concatenate([[0], stat[2:]]).astype(float)
         self.ratio, self.minus = np.ones(K + 1), None
-        if (n[1:] > 0).all() and (rest := 1 - (K + 1) * n[K + 1] / n[1]) > 0:
-            r = np.arange(1, K + 1)
-            d = ((r + 1) * n[r + 1] / (r * n[r]) - (1 - rest)) / rest
-            if ((d > 0) & (d < 1)).all():
-                self.ratio[1:] = d
-                low = float((r * n[r]).sum())
-                self.mass = (self.tokens - low + float((d * r * n[r]).sum())) / self.tokens
-                return
+        for k in range(K, 1, -1):  # K = 1 gives a ratio of 0 always
+            if (n[1 : k + 2] > 0).all() and (rest := 1 - (k + 1) * n[k + 1] / n[1]) > 0:
+                r = np.arange(1, k + 1)
+                d = ((r + 1) * n[r + 1] / (r * n[r]) - (1 - rest)) / rest
+                if ((d > 0) & (d < 1)).all():
+                    self.ratio[1 : k + 1] = d
+                    low = float((r * n[r]).sum())
+                    self.mass = (self.tokens - low + float((d * r * n[r]).sum())) / self.tokens
+                    return
         self.minus = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         self.mass = (self.tokens - self.minus * self.types) / max(1, self.tokens)
 

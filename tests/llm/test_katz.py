@@ -2,6 +2,7 @@ import math
 import random
 
 import brute_katz
+import numpy as np
 import pytest
 
 from polescale.llm import katz
@@ -41,3 +42,24 @@ def test_histories_are_normalised():
     vocabulary = [*one, "never seen"]
     for h in [*list(one)[:40], "never seen"]:
         assert math.isclose(sum(p(w, h) for w in vocabulary), 1.0, rel_tol=1e-9)
+
+
+#: types, tokens and n1 to n6 of training texts: unigrams and bigrams of sf0.1, unigrams of check_l
+COPIES = [[358256, 3182880, 200420, 57120, 23804, 13644, 12859, 6775], [1834136, 3182880, 1482341, 227973, 46941, 19718, 17404, 6993], [3236403, 108330370, 1762934, 457941, 197987, 119318, 95971, 63993]]
+
+
+@pytest.mark.parametrize("stat", COPIES)
+def test_copies_lower_k_only(stat):
+    """One count of counts that copies raise leaves Good-Turing on, for counts up to 3."""
+    d, n = katz.Discount(np.array(stat)), [0, *stat[2:]]
+    x = 4 * n[4] / n[1]
+    want = [((r + 1) * n[r + 1] / (r * n[r]) - x) / (1 - x) for r in (1, 2, 3)]
+    assert d.minus is None and d.ratio.tolist() == pytest.approx([1, *want, 1, 1]) and all(0 < w < 1 for w in want)
+    assert d(np.array([0, 1, 3, 4, 9])).tolist() == pytest.approx([0, want[0], 3 * want[2], 4, 9])
+    # Katz: what the discounts leave is n1, the Good-Turing estimate of the unseen
+    assert 1 - d.mass == pytest.approx(n[1] / stat[1])
+
+
+def test_absolute_only_where_degenerate():
+    d = katz.Discount(np.array([3, 9, 0, 1, 1, 1, 0, 0]))
+    assert d.minus == 0.5 and katz.Discount(np.array([10, 30, 4, 3, 0, 1, 1, 1])).minus == 0.4
