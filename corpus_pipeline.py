@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from polescale.llm import decontam, minhash, mixing, quality, suffix
 from polescale.llm.common import Workspace, documents_of, table
 
+#: Similarity in percent from which the stage links documents; op3's own contract has 85.
+NEAR_PERCENT = 80
+
 
 def _rows(spark: SparkSession, docs: DataFrame, name: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents as an operator takes them with doc_id = _uid, rows as (_uid, _row) to join back)."""
@@ -32,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates."""
     plain, rows = _rows(spark, docs, "stage-near")
-    kept = minhash.near_duplicates(spark, plain).where("kept").select(F.col("doc_id").alias("_uid"))
+    kept = minhash.near_duplicates(spark, plain, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_uid"))
     return rows.join(kept, "_uid", "left_semi").select("_row.*")
 
 
