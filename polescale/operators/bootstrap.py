@@ -7,7 +7,7 @@ wholly as joins and aggregates; and NumPy ones, equal to those of a seeded
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -96,33 +96,58 @@ def _truth(x) -> float:
 # --- texts --------------------------------------------------------------------
 
 
+#: Draws' hashes that a worker keeps: so many columns (slots), over blocks of columns.
+SLOTS, STEP = 1 << 14, 1 << 10
+_kept: dict[tuple[int, int], list[np.ndarray]] = {}
+
+
+def _hashes(draws: int, seed: int, at: int) -> np.ndarray:
+    """(draws, STEP) numbers of ``functions.draws.draw`` before the modulo, for slots from ``at``; the same for every text."""
+    from hashlib import md5
+
+    kept = _kept.setdefault((draws, seed), [])
+    k = at // STEP
+    if k < len(kept):
+        return kept[k]
+    tail = [f"-{i}-{seed}".encode() for i in range(at, at + STEP)]
+    raw = b"".join(md5(b + x).digest()[:4] for b in (str(b).encode() for b in range(draws)) for x in tail)
+    out = np.frombuffer(raw, ">u4").astype(np.uint32).reshape(draws, STEP)
+    if k == len(kept) and at < SLOTS:
+        kept.append(out)
+    return out
+
+
+def hashed_means(values: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Means of the hashed resamples of ``values``, a draw each."""
+    n, total = len(values), np.zeros(draws)
+    for at in range(0, n, STEP):
+        total += values[_hashes(draws, seed, at)[:, : n - at] % np.uint32(n)].sum(axis=1)
+    return total / n
+
+
 def text_ci(spark: SparkSession, hits: DataFrame, draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """``slug, ci_low, ci_high`` from ordered in-lexicon scores ``slug, tok_id, score``, with hashed draws.
 
     A text's scores are gathered in one array (bounded by the text) and all
     its draws are taken in that row, so neither draws nor tokens are shuffled.
+    The hashes do not depend on the text, so a worker makes each once.
     """
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("tok_id", "score"))), lambda x: x["score"])
-    per = hits.groupBy("slug").agg(rows.alias("s"))
-
-    def mean_of(s, b):
-        n = F.size(s)
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda t, i: t + F.element_at(s, (draw(b, i, seed, n) + 1).cast("int"))) / n
-
-    means = per.select("slug", F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: mean_of(F.col("s"), b))).alias("m"))
-    lo, hi = _interval("m")
-    return means.groupBy("slug").agg(lo.alias("ci_low"), hi.alias("ci_high"))
+    return _text_intervals(hits, lambda v: hashed_means(v, draws, seed))
 
 
 def text_ci_numpy(hits: DataFrame, draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """As above with NumPy's draws: every text starts the same seeded stream."""
+    return _text_intervals(hits, lambda v: numpy_means(v, draws, seed))
+
+
+def _text_intervals(hits: DataFrame, means: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     import pandas as pd
 
     rows = F.transform(F.sort_array(F.collect_list(F.struct("tok_id", "score"))), lambda x: x["score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ends = [np.percentile(numpy_means(np.asarray(s, float), draws, seed), CI_PERCENTILES) for s in pdf["s"]]
+            ends = [np.percentile(means(np.asarray(s, float)), CI_PERCENTILES) for s in pdf["s"]]
             yield pd.DataFrame({"slug": pdf["slug"], "ci_low": [float(e[0]) for e in ends], "ci_high": [float(e[1]) for e in ends]})
 
     slug = next(f.dataType.simpleString() for f in hits.schema.fields if f.name == "slug")
