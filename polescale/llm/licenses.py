@@ -8,9 +8,12 @@ cosine is at least ``threshold``; a file takes the template of its best
 unit, ties to the first in order of name.
 
 Most units cannot reach the threshold. For each template its heaviest words
-(single letters last) are kept as cues until the rest of its vector is shorter than the threshold;
-by Cauchy and Schwarz a unit without any cue stays below it, so only units
-with a cue are turned into rows. This drops no match.
+(single letters and common words last) are kept as cues until the rest of its vector is shorter than the threshold;
+by Cauchy and Schwarz a unit without any cue stays below it. Units with a cue
+that is no common word are turned into rows. Of other units the row itself
+tells an upper bound: the template's weights of the words there are, then the
+cosine with each word outside the templates counted once. Only units whose
+bound reaches the threshold are turned into rows. This drops no match.
 
 A licence file (base name LICENSE, LICENCE, COPYING or NOTICE, or a whole text
 that is a template) licenses its directory. A file without an own header
@@ -29,6 +32,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +58,7 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-# Words of the templates that most texts have; the few templates overrate them, so they weigh a quarter.
+# Words of the templates that most texts have; cues last, as they tell least. Their weights are those of all words.
 COMMON = {"a", "all", "and", "any", "are", "as", "be", "by", "can", "do", "for", "found", "has", "have", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "work", "you"}
 FILES = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -67,13 +72,13 @@ def model(templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str,
     """Inverse document frequencies, that of other words, (template, name, word, weight) rows with unit norms, and the cues."""
     bags = [Counter(_words(t)) for _, t in templates]
     df = Counter(w for b in bags for w in b)
-    idf = {w: (math.log((1 + len(bags)) / (1 + n)) + 1) * (0.25 if w in COMMON else 1) for w, n in df.items()}
+    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
     rows, cues = [], set()
     for k, ((name, _), bag) in enumerate(zip(templates, bags, strict=True)):
         v = {w: n * idf[w] for w, n in bag.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         rest = 1.0
-        for w, x in sorted(v.items(), key=lambda y: (len(y[0]) == 1, -y[1], y[0])):
+        for w, x in sorted(v.items(), key=lambda y: (y[0] in COMMON, len(y[0]) == 1, -y[1], y[0])):
             rows.append((k, name, w, x / norm))
             if rest >= (threshold * 0.999) ** 2:
                 cues.add(w)
@@ -85,13 +90,55 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def _words_of(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), SPLIT), lambda w: w != "")
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def bounds(idf: dict[str, float], other: float, rows: list[tuple[int, str, str, float]], rare: set[str], threshold: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Whether the words of a unit without a rare cue may reach the threshold: by the words there are, and by a bound of the cosine.
+
+    The first holds for a text if it holds for any of its units.
+    """
+    known = sorted(set(idf) - rare)
+    weights = {k: {w: x for j, _, w, x in rows if j == k and w not in rare} for k, *_ in rows}
+    weights = {k: v for k, v in weights.items() if sum(x * x for x in v.values()) >= (threshold * 0.999) ** 2}
+    literal = lambda xs: F.array(*map(F.lit, xs))
+    any_of = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+    def present(words: Column) -> Column:
+        share = lambda here, v: reduce(lambda a, b: a + b, [F.when(F.array_contains(here, w), x * x).otherwise(0.0) for w, x in v.items()])
+        return once(F.array_intersect(words, literal(known)), lambda here: any_of([share(here, v) >= (threshold * 0.999) ** 2 for v in weights.values()]))
+
+    def near(words: Column) -> Column:
+        def reaches(tf: Column) -> Column:
+            others = F.size(words) - _sum(tf)
+            square = _sum(F.zip_with(tf, literal([idf[w] for w in known]), lambda n, x: n * n * x * x)) + other * other * others
+            dots = [_sum(F.zip_with(tf, literal([idf[w] * v.get(w, 0.0) for w in known]), lambda n, x: n * x)) for v in weights.values()]
+            return any_of([d >= threshold * 0.999 * F.sqrt(square) for d in dots])
+
+        own = F.filter(words, lambda w: w.isin(*known))
+        return once(own, lambda mine: once(F.transform(literal(known), lambda k: F.size(F.filter(mine, lambda w: w == k)).cast("double")), reaches))
+
+    if not weights:
+        return (lambda words: F.lit(False)), (lambda words: F.lit(False))
+    return present, lambda words: present(words) & near(words)
+
+
 def own_licences(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``_uid, licence, score, whole`` of the files (_uid, _text) with a unit that matches; ``whole`` if it is the whole text."""
     idf, other, rows, cues = model(templates, threshold)
-    cue = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(map(re.escape, cues)) + r")(?:[^\p{L}\p{N}]|$)"
+    rare = [w for w in cues if w not in COMMON]
+    cue = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(map(re.escape, rare)) + r")(?:[^\p{L}\p{N}]|$)" if rare else "$^"
     has = lambda x: F.lower(x).rlike(cue)
-    found = files.select("_uid", "_text").where(has(F.col("_text")))
-    parts = F.array_distinct(F.concat(F.filter(F.split("_text", "\n"), has), F.filter(F.split("_text", r"\n[ \t\r]*\n"), has), F.array("_text")))
+    present, near = bounds(idf, other, rows, set(rare), threshold)
+    found = files.select("_uid", "_text").where(has(F.col("_text")) | present(_words_of(F.col("_text"))))
+    may = lambda x: has(x) | F.element_at(F.transform(F.array(_words_of(x)), near), 1)
+    parts = F.filter(F.array_distinct(F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n"), F.array("_text"))), may)
     unit = found.select("_uid", "_text", F.posexplode(parts).alias("unit", "line")).select("_uid", "unit", (F.col("line") == F.col("_text")).alias("whole"), "line")
     words = unit.select("_uid", "unit", "whole", F.explode(F.split(F.lower("line"), SPLIT)).alias("word")).where("word <> ''")
     tf = words.groupBy("_uid", "unit", "whole", "word").agg(F.count(F.lit(1)).alias("tf"))
