@@ -351,11 +351,10 @@ def word_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Row-local scores as a stream would have them, over the hold-out; the lexicon is that of words in 3 or more seeds."""
-    from polescale.streaming import row_local_scores
+    """Scores of all texts as a stream's batches would have them, with the whole lexicon."""
+    from polescale.streaming import joined_scores
 
-    lex = lbg(spark, d).where("n_docs >= 3")
-    return row_local_scores(texts(spark, d).where("category = 'holdout'").select("slug", "body"), lex).select("slug", r6("axis_score"), "n_hits", "n_tokens")
+    return joined_scores(texts(spark, d).select("slug", "body"), lbg(spark, d)).select("slug", r6("axis_score"), "n_hits", "n_tokens")
 
 
 _NAMES = """token_counts doc_counts pole_totals doc_frequency wordscores_lexicon lowe_lexicon axis_score_lbg axis_score_lowe graded_texts accuracy_by_category

@@ -10,15 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polescale.functions.text import tokens
+from polescale.operators.axis import axis_scores
 
-#: A lexicon of more rows than this is joined, not shipped in every row's expression.
+#: A lexicon of more rows than this is joined (``joined_scores``), not shipped in every row's expression.
 MOST_ROW_LOCAL = 50_000
 
 
+def scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
+    """Adds ``axis_score, n_hits, n_tokens`` to static ``texts`` (body), by the way that the lexicon's size asks for.
+
+    A stream with a large lexicon calls this in ``foreachBatch``; its batches are static.
+    """
+    small = lexicon.limit(MOST_ROW_LOCAL + 1).count() <= MOST_ROW_LOCAL
+    return (row_local_scores if small else joined_scores)(texts, lexicon, tokenize)
+
+
+def joined_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
+    """The same columns as ``row_local_scores`` for static ``texts`` and a lexicon of any size: distinct bodies are scored by a join."""
+    key = F.sha2(F.coalesce("body", F.lit("")), 256)
+    bodies = texts.select(key.alias("slug"), F.coalesce("body", F.lit("")).alias("body")).dropDuplicates(["slug"])
+    scored = axis_scores(bodies, lexicon.where("score is not null"), tokenize).withColumnRenamed("slug", "_body")
+    return texts.withColumn("_body", key).join(scored, "_body").select(*texts.columns, "axis_score", "n_hits", "n_tokens")
+
+
 def row_local_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
     """Adds ``axis_score, n_hits, n_tokens`` to ``texts`` (body), static or streaming, without a shuffle.
 
-    The lexicon (word, pos, score) is one broadcast row; its size is checked.
+    The lexicon (word, pos, score) is one broadcast row; its size is checked. For larger ones see ``scores``.
     """
     key = F.concat_ws("\x01", "word", "pos")
     few = lexicon.limit(MOST_ROW_LOCAL + 1).agg(F.map_from_entries(F.collect_list(F.struct(key, "score"))).alias("_lexicon"))
