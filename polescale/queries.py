@@ -69,10 +69,10 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("slug", p.alias("predicted_pole"))
 
 
-def graded(spark: SparkSession, d: str) -> DataFrame:
+def graded(spark: SparkSession, d: str, ci: DataFrame | None = None) -> DataFrame:
     all_ = texts(spark, d)
     scored = ax.axis_scores(all_, lbg(spark, d)).withColumn("axis_score", F.round("axis_score", 9))
-    return ax.graded(scored.join(all_.select("slug", "category", "gold_pole"), "slug"), MINUS, PLUS)
+    return ax.graded(scored.join(all_.select("slug", "category", "gold_pole"), "slug"), MINUS, PLUS, ci)
 
 
 # --- tokens, counts, lexicons -------------------------------------------------
@@ -173,10 +173,11 @@ def eval_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    """With every scored text's interval (NumPy's draws, as the published table) and sign robustness."""
     from polescale.sources.tables import comparison_columns
 
-    ci = F.lit(None).cast("double")
-    return comparison_columns(graded(spark, d).withColumns({"ci_low": ci, "ci_high": ci, "sign_robust": F.lit(False)}), "lbg")
+    ci = bootstrap.text_ci_numpy(ax.hits(texts(spark, d), lbg(spark, d)))
+    return comparison_columns(graded(spark, d, ci), "lbg")
 
 
 # --- segments and chunks ------------------------------------------------------
