@@ -3,16 +3,15 @@
 Intermediate results that several later steps read are written once as
 Parquet in the folder that the cluster names in ``spark.checkpoint.dir``.
 That folder is shared, so a lost executor costs only its running tasks, and
-the shuffle files behind a written table can be freed at once.
+the shuffle files behind a written table are freed with the write.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ from pyspark.sql.window import Window
 WHITE = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Whether Spark deletes the shuffle files of a query as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,20 +30,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of this machine if the session names none."""
+    """The folder of ``spark.checkpoint.dir``. A session on this machine alone may name none and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a shared folder for work tables")
         found = tempfile.mkdtemp(prefix="polescale-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end the work tables of all operators called within: for results that have been written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for ws in _scopes.pop():
+            ws.close()
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within it, each query's shuffle files go when the query ends, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Workspace:
     """Tables of one operator call in the shared folder.
 
     ``save`` writes a table and returns it read back, without its lineage.
-    ``drop`` deletes tables that no later step reads. What is left goes when
-    the session's process ends, as results may still be read lazily.
+    ``drop`` deletes tables that no later step reads, ``close`` all. What is
+    left goes at the end of the ``scratch`` around the operator's call, else
+    when the session's process ends, as results may still be read lazily.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -50,32 +79,23 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: set[str] = set()
+        if _scopes:
+            _scopes[-1].append(self)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str = "t", large: bool = False) -> DataFrame:
-        """``large``: much was shuffled for the table; wait until those files are gone before the next step needs room."""
+    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        self._free()
-        df.write.option("compression", "zstd").parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_table = path
         self._paths.add(path)
-        self._free()
-        for _ in range(2 * large):  # the cleaner works in its own thread, and what one collection frees may hold more
-            time.sleep(0.7)
-            self._free()
         return out
 
-    def _free(self) -> None:
-        """Let Spark delete the shuffle files that no plan refers to any more; events that still hold plans go first."""
-        gc.collect()
-        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        self.spark.sparkContext._jvm.System.gc()
-
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -96,26 +116,50 @@ class Workspace:
             self._delete(path)
 
     def close(self) -> None:
+        atexit.unregister(self.close)
         try:
             self._delete(self.root)
         except Exception:  # the session has ended; its folder is cleaned by whoever owns it
             pass
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of ``df`` has, however it is written."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        out.append(w)
+    return out
+
+
+def in_order(ws: Workspace, df: DataFrame, order: list[Column], name: str = "ranged") -> tuple[DataFrame, str, str]:
+    """``df`` range-partitioned and sorted, written with two more columns: partition and place in it. Also their names.
+
+    Rows alike in ``order`` are dealt over partitions too, by a number of
+    their own, so no task gets a large group of copies.
+    """
+    part, at = free_names(df, "_part", "_at")
+    salted = df.withColumn(at, F.monotonically_increasing_id())
+    ranged = salted.repartitionByRange(*order, F.col(at).asc()).sortWithinPartitions(*order, F.col(at).asc()).drop(at)
+    ranged = ranged.withColumn(at, F.monotonically_increasing_id())  # partition and place, as one number
+    ranged = ws.save(ranged, name).withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1))
+    return ranged, part, at
+
+
 def global_row_number(ws: Workspace, df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with ``out`` = 0, 1, ... in the given order, without a single-task window.
 
-    Rows are range-partitioned and written, so that a partition's rows stay
-    the same; each is numbered within its partition, then shifted by the rows
+    Places within a partition are written with it, then shifted by the rows
     of the partitions before it (one small row for each partition).
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ws.save(ranged, "ranged")
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_row", inner).join(F.broadcast(shift), "_part").withColumn(out, F.col("_row") - 1 + F.col("_shift")).drop("_part", "_row", "_shift")
+    ranged, part, at = in_order(ws, df, order)
+    sizes = ranged.groupBy(F.col(part).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("p").alias(part), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
+    [s] = free_names(ranged, "_shift")
+    return ranged.join(F.broadcast(shift.withColumnRenamed("_s", s)), part).withColumn(out, F.col(at) + F.col(s)).drop(part, at, s)
 
 
 def documents_of(ws: Workspace, docs: DataFrame, *more: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,31 +177,35 @@ def documents_of(ws: Workspace, docs: DataFrame, *more: Column, key: str = "doc_
     return global_row_number(ws, base, [F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_last()], "_uid")
 
 
-def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: a row ``(node, comp)`` for each node, ``comp`` the smallest node.
 
     Large-star and small-star steps in turn (Kiveris et al. 2014): each keeps
     the components and hangs neighbours on their smallest one, until nothing
-    changes. Every step is a partially aggregated minimum and an equi-join,
-    so no component's nodes are gathered in one task.
+    changes; there is no other end. Every step is a partially aggregated
+    minimum and an equi-join, so no component's nodes are gathered in one
+    task. The minima are dealt out anew before the join, which adaptive
+    execution then may split at a node with very many neighbours.
     """
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+
+    tasks = max(1, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
     e = ws.save(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
-        if e.isEmpty():
-            break
+    now = state(e)
+    while now[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(tasks)
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = ws.save(large, "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = down.groupBy("a").agg(F.min("b").alias("m")).repartition(tasks)
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         new = ws.save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        same = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        done = same(new) == same(e)
         ws.drop(large, e)
-        e = new
-        if done:
+        before, now, e = now, state(new), new
+        if before == now:
             break
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()

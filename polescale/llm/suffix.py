@@ -22,15 +22,18 @@ shuffle for each byte of text. Here the same rounds run on few positions:
 * Last round: where an anchor has several different units, their windows'
   100-byte names are ranked in order of (document, position); all but the
   first of each name are covered. An anchor with very many units is dealt out
-  by a part of the window's name, so no task holds an unbounded group.
+  by a part of the window's name, so no task holds an unbounded group. A unit's
+  windows come back as one bitmap a row, so rows out never exceed rows in.
 
 Names are 64-bit; only strings that agree on the anchor as well (another 64
 bits) are ever compared, so a false match takes a collision of both.
 
 Defined results: null or empty text gives 0 bytes, 0 removed and the digest of
-nothing. Texts shorter than ``length`` are left alone. Rows that repeat a
-doc_id are taken in order of their texts (nulls last), as documents of their
-own. Extra columns are not read.
+nothing. Texts shorter than ``length`` are left alone; very long ones are
+taken whole, one at a time. Rows that repeat a doc_id, or have none (last),
+are taken in order of their texts (nulls last), as documents of their own, so
+of equal texts all but one are emptied. An empty table gives an empty result.
+Extra columns, with whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -152,7 +155,7 @@ def _window_rows(out: list[list]) -> pa.RecordBatch:
 
 
 def _later(length: int):
-    """Rows sorted by (anchor, part, doc, at): the windows whose name came before, as covered byte ranges."""
+    """Rows sorted by (anchor, part, doc, at): for each at most one row, with a bitmap of its windows whose name came before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, np.zeros(0, U)  # the names of the group that goes on in the next batch
@@ -162,8 +165,7 @@ def _later(length: int):
             anchor, part, doc = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             names = [np.frombuffer(x, U) for x in b.column(4).to_pylist()]
             count = np.fromiter(map(len, names), np.int64, len(names))
-            at = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            places = np.concatenate([a + (np.arange(n) if x is None else np.frombuffer(x, np.int32)) for a, n, x in zip(at.tolist(), count.tolist(), b.column(5).to_pylist(), strict=True)]).astype(np.int64)
+            inner = [np.arange(n) if x is None else np.frombuffer(x, np.int32) for n, x in zip(count.tolist(), b.column(5).to_pylist(), strict=True)]
             new = np.concatenate([[last is None or (anchor[0], part[0]) != last], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
             group = np.cumsum(new)
             name, g = np.concatenate(names), np.repeat(group, count)
@@ -177,64 +179,83 @@ def _later(length: int):
             first = ~again & (g == group[-1])
             seen, last = name[first], (anchor[-1], part[-1])
             again = again[head:]
-            if again.any():
-                d, p = np.repeat(doc, count)[again], places[again]
-                cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
-                end = np.append(cut[1:], len(d)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut]), pa.array(p[end] + length)], names=["doc", "lo", "hi"])
+            cut = np.cumsum([0, *count])
+            hit = np.flatnonzero(np.add.reduceat(again, cut[:-1], dtype=np.int64)) if len(again) else np.zeros(0, np.int64)
+            if len(hit):
+                bits = []
+                for r in hit.tolist():
+                    gone = inner[r][again[cut[r] : cut[r + 1]]]
+                    mask = np.zeros(int(gone[-1]) + 1, np.uint8)
+                    mask[gone] = 1
+                    bits.append(np.packbits(mask, bitorder="little").tobytes())
+                at = b.column(3).take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), at, pa.nulls(len(hit), pa.int64()), pa.array(bits, pa.binary())], names=["doc", "at", "n", "bits"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, starts, ends, texts = b.column(0), b.column(1), b.column(2), b.column(3)
-        size, gone, spans, sha, kept = [], [], [], [], []
-        for r in range(b.num_rows):
-            text = (texts[r].as_py() or "").encode()
-            lo, hi = starts[r].values, ends[r].values
-            left = text
-            n_gone = n_spans = 0
-            if lo is not None and len(lo):
-                lo, hi = np.asarray(lo), np.asarray(hi)
-                order = np.argsort(lo, kind="stable")
-                lo, top = lo[order], np.maximum.accumulate(hi[order])
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > top[:-1]]))
-                a, z = lo[new], top[np.append(new[1:], len(lo)) - 1]
-                n_gone, n_spans = int((z - a).sum()), len(a)
-                left = b"".join(text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True))
-            size.append(len(text))
-            gone.append(n_gone)
-            spans.append(n_spans)
-            sha.append(hashlib.sha256(left).hexdigest())
-            # a cut may fall inside a character: what is left of it goes from the text, not from the digest
-            kept.append(None if texts[r].as_py() is None else left.decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["_uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def removed_ranges(ws: Workspace, texts: DataFrame, length: int = 100) -> DataFrame:
-    """``doc, lo, hi``: byte ranges of ``texts`` (_uid, _text) that go; they may overlap."""
-    found = lambda: texts.select("_uid", "_text").mapInArrow(_units(length), "anchor long, unit long, doc long, at long")
+def _covered(size: int, length: int, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal byte runs of a text under covered windows: ``n`` windows from ``at``, or those of a bitmap."""
+    step = np.zeros(size + 1, np.int64)
+    for x in found:
+        if x["bits"] is None:
+            lo, hi = np.array([x["at"]]), np.array([x["at"] + x["n"] + length - 1])
+        else:
+            on = np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8), bitorder="little")) + x["at"]
+            lo, hi = on, on + length
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi, -1)
+    under = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
+    return np.flatnonzero(under[1:] & ~under[:-1]), np.flatnonzero(under[:-1] & ~under[1:])
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found, texts = b.column(0), b.column(1), b.column(2)
+            size, gone, spans, sha, kept = [], [], [], [], []
+            for r in range(b.num_rows):
+                text = (texts[r].as_py() or "").encode()
+                left, n_gone, n_spans = text, 0, 0
+                if here := found[r].as_py():
+                    a, z = _covered(len(text), length, here)
+                    n_gone, n_spans = int((z - a).sum()), len(a)
+                    left = b"".join(text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True))
+                size.append(len(text))
+                gone.append(n_gone)
+                spans.append(n_spans)
+                sha.append(hashlib.sha256(left).hexdigest())
+                # a cut may fall inside a character: what is left of it goes from the text, not from the digest
+                kept.append(None if texts[r].as_py() is None else left.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["_uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    return run
+
+
+def removed_windows(ws: Workspace, texts: DataFrame, length: int = 100) -> DataFrame:
+    """``doc, at, n, bits``: windows of ``texts`` (_uid, _text) that go: n from ``at``, or those of a bitmap from ``at``."""
+    found = ws.save(texts.select("_uid", "_text").mapInArrow(_units(length), "anchor long, unit long, doc long, at long"), "found")
     # at: place of the first window, number of windows, whether they may repeat each other; in the order of the place
     place, count, loop = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(c.bitwiseAND((1 << 32) - 1), 1)), (lambda c: c.bitwiseAND(1))
     # round 32: anchors that stand more than once
-    again = ws.save(found().groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(loop(F.col("at"))).alias("loop")).where("c > 1 or loop = 1").select("anchor"), "anchors", large=True)
-    left = ws.save(found().join(again, "anchor"), "units", large=True)
-    ws.drop(again)
+    again = ws.save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(loop(F.col("at"))).alias("loop")).where("c > 1 or loop = 1").select("anchor"), "anchors")
+    left = ws.save(found.join(again, "anchor"), "units")
+    ws.drop(again, found)
     # the first of each unit; later ones are covered
     first = left.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("c"))
-    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "c"), "firsts", large=True)
+    first = ws.save(first.select("anchor", "unit", F.col("f.doc").alias("fdoc"), F.col("f.at").alias("fat"), "c"), "firsts")
     copies = left.join(first.where("c > 1").select("anchor", "unit", "fdoc", "fat"), ["anchor", "unit"]).where("doc <> fdoc or at <> fat")
-    copies = ws.save(copies.select("doc", place(F.col("at")).alias("lo"), (place(F.col("at")) + count(F.col("at")) + (length - 1)).alias("hi")), "copies", large=True)
+    copies = ws.save(copies.select("doc", place(F.col("at")).alias("at"), count(F.col("at")).alias("n"), F.lit(None).cast("binary").alias("bits")), "copies")
     ws.drop(left)
-    # anchors of several units: by window
+    # anchors of several units: by window. A table of its own, so that the join stands alone and a hot anchor can be split
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("u"), F.max(loop(F.col("fat"))).alias("loop")).where("u > 1 or loop = 1").select("anchor", F.ceil(F.col("u") / GROUP).cast("long").alias("parts"))
+    several = ws.save(several, "several")
     wanted = first.join(several, "anchor").select(F.col("fdoc").alias("_uid"), F.struct("anchor", place(F.col("fat")).alias("at"), count(F.col("fat")).alias("n"), "parts").alias("u"))
     wanted = wanted.groupBy("_uid").agg(F.collect_list("u").alias("wanted"))  # at most a text's own units
     rows = texts.join(wanted, "_uid").select("_uid", "_text", "wanted").mapInArrow(_windows(length), "anchor long, part long, doc long, at long, names binary, places binary")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "at")
-    later = ws.save(rows.mapInArrow(_later(length), "doc long, lo long, hi long"), "later", large=True)
-    ws.drop(first)
+    later = ws.save(rows.mapInArrow(_later(length), "doc long, at long, n long, bits binary"), "later")
+    ws.drop(first, several)
     return copies.union(later)
 
 
@@ -242,10 +263,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100) -> D
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` and ``_uid`` for each row of ``docs``."""
     ws = Workspace(spark, "suffix")
     base = documents_of(ws, docs)
-    ranges = removed_ranges(ws, base, length)
-    ranges = ranges.groupBy("doc").agg(F.collect_list("lo").alias("starts"), F.collect_list("hi").alias("ends"))  # at most a text's own
-    joined = base.join(ranges, F.col("_uid") == F.col("doc"), "left")
-    cut = joined.select("_uid", "starts", "ends", "_text", "_id")
+    gone = removed_windows(ws, base, length)
+    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "bits")).alias("found"))  # at most a text's own
+    joined = base.join(gone, F.col("_uid") == F.col("doc"), "left")
     kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    done = cut.select(F.struct("_uid", "_id").alias("key"), "starts", "ends", "_text").mapInArrow(_cut, f"_uid struct<_uid:long,_id:long>, {kinds}")
+    done = joined.select(F.struct("_uid", "_id").alias("key"), "found", "_text").mapInArrow(_cut(length), f"_uid struct<_uid:long,_id:long>, {kinds}")
     return done.select(F.col("_uid._id").alias("doc_id"), F.col("_uid._uid").alias("_uid"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
