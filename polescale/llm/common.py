@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +111,9 @@ class Workspace:
         for path in self._paths - {df._work_table for df in tables}:
             self._remove(path)
 
+    def close_tables(self) -> None:
+        self.keep()
+
     def _remove(self, path: str) -> None:
         if path in self._paths:
             self._paths.discard(path)
@@ -177,6 +181,31 @@ def documents_of(ws: Workspace, docs: DataFrame, *more: Column, key: str = "doc_
     return global_row_number(ws, base, [F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_last()], "_uid")
 
 
+class Bitmap:
+    """Bits of hashed 64-bit keys: tells most other keys apart, whatever their number."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def hit(self, keys: np.ndarray) -> np.ndarray:
+        at = place_of(keys, self.bits)
+        return self.words[at >> 6] >> (at & 63) & 1 == 1
+
+
+def place_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """As ``bitmap`` places them: ``bits`` is a power of two."""
+    return (keys ^ keys >> 32) & (bits - 1)
+
+
+def bitmap(df: DataFrame, key: str, bits: int) -> Bitmap:
+    """Of the keys (long, not null) of ``df``. ``bits / 64`` small rows at most reach the driver, for any number of keys."""
+    at = F.col(key).bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(bits - 1)
+    got = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(max(1, bits // 64), np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return Bitmap(words, bits)
+
+
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: a row ``(node, comp)`` for each node, ``comp`` the smallest node.
 

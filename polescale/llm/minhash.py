@@ -5,7 +5,7 @@ shingles (A-Z lower-cased; fewer words: all of them as one; no word: empty).
 Two documents are linked if their Jaccard similarity is at least
 ``percent``/100.
 
-1. Documents with equal sets form a class; only classes go on.
+1. Documents with equal sets form a class; only classes go on, as numbers.
 2. 252 MinHash samples of a class are cut into 42 bands of 6. A pair of
    similarity 0.85 shares no band with probability 2e-9.
 3. The samples are folded into a parity bitmap, the odd sketch (Mitzenmacher,
@@ -20,11 +20,17 @@ Two documents are linked if their Jaccard similarity is at least
    its links leaves the task. Equal buckets are checked once.
 6. Components of all links give the result.
 
+Full sets are made only of texts that a comparison needs. They are fetched by
+an exact join; before it, a bitmap of fixed size (``FILTER_BITS``, whatever
+the corpus) lets pass only texts that may be wanted, so others aren't shuffled.
+
 Defined results: null or blank text has an empty set, is linked with nothing
 and kept. Repeated rows have equal sets and so share a component; the rows
 with the smallest doc_id are kept. A component's id is its smallest non-null
 doc_id; a row whose doc_id is null is kept only if its whole component has
-none. Empty tables give empty results; extra columns are not read.
+none. A similarity of exactly ``percent`` links. Very long texts are taken
+whole, one at a time. Empty tables give empty results; extra columns, with
+whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polescale.llm import textnp
-from polescale.llm.common import Workspace, components
+from polescale.llm.common import Workspace, bitmap, components, documents_of
 from polescale.llm.textnp import U
 
 BANDS, ROWS = 42, 6
@@ -46,6 +53,8 @@ SKETCH_BITS = 1024
 #: Standard deviation of the similarity from SAMPLES samples and of the sketch is about 0.03 at 0.85; six of them.
 MARGIN = 0.18
 BLOCK = 512
+#: Size of the bitmap of wanted documents: 4 MB for any corpus.
+FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(20140407)
 _A = (_rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | U(1)).astype(np.uint32)[:, None]
@@ -78,8 +87,7 @@ def bands_and_sketches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column(0)
-        for i, j, data, offs in textnp.slices(b.column(1)):
+        for i, j, data, offs in textnp.slices(b.column(2)):
             sizes, node, rows, mins = [], [], [], []
             for r, v in enumerate(textnp.shingle_sets(data, offs)):
                 sizes.append(len(v))
@@ -97,14 +105,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at, r in enumerate(rows):
                     keys[r], marks[r] = k[at], s[at]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(node, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "keys", "sketch"],
+                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(node, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                names=["_uid", "_id", "n", "node", "keys", "sketch"],
             )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n`` (set size), ``node`` (fingerprint of the set, null if empty), ``keys`` (bands), ``sketch``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, "doc_id long, n long, node string, keys array<long>, sketch array<long>")
+def signatures(base: DataFrame) -> DataFrame:
+    """``_uid, _id, n`` (set size), ``node`` (fingerprint of the set, null if empty), ``keys`` (bands), ``sketch``."""
+    return base.select("_uid", "_id", "_text").mapInArrow(_signatures, "_uid long, _id long, n long, node string, keys array<long>, sketch array<long>")
 
 
 def _node(v: np.ndarray) -> str:
@@ -113,11 +121,24 @@ def _node(v: np.ndarray) -> str:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, _, data, offs in textnp.slices(b.column(0)):
-            sets = [v for v in textnp.shingle_sets(data, offs) if len(v)]
+        for i, j, data, offs in textnp.slices(b.column(1)):
+            sets = list(textnp.shingle_sets(data, offs))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64))], names=["node", "words", "n"])
+            own = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)]
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64))], names=["cid", "hub", "words", "n"])
+
+
+def _filtered(spark: SparkSession, base: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """``base`` without most rows whose ``_uid`` is not among ``wanted.first``: those that a bitmap of ``bits`` hashes tells apart."""
+    hashed = lambda c: F.xxhash64(c)
+    sent = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("first").alias("h")), "h", bits))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.hit(h.to_numpy()))
+
+    return base.where(may(F.xxhash64("_uid")))
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -129,12 +150,8 @@ def similarity(x: Column, y: Column) -> Column:
 
 def _links(percent: int):
     """Exact links across components within a block of classes, as a spanning forest."""
-    import pandas as pd
-
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        names, comps = pdf["node"].to_numpy(), pdf["comp"].to_numpy()
-        side = pdf["side"].to_numpy()
+        names, comps = pdf["cid"].to_numpy(), pdf["comp"].to_numpy()
         sizes = pdf["words"].map(len).to_numpy(np.int64)
         n = len(names)
         each = np.repeat(np.arange(n), sizes)
@@ -176,57 +193,66 @@ def _links(percent: int):
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``; see the module's text."""
     ws = Workspace(spark, "minhash")
-    sig = ws.save(signatures(docs), "signatures")
-    classes = ws.save(sig.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-
-    # buckets of two or more classes
-    banded = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
-    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).where("size > 1")
-    buckets = ws.save(counts, "buckets")
-    once = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))  # equal buckets once
-    members = ws.save(banded.join(once.select("key", "size", "times"), "key"), "members")
+    base = documents_of(ws, docs)
+    sig = ws.save(signatures(base), "signatures")
+    classes = sig.where("n > 0").groupBy("node").agg(F.min("_uid").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    # a class is a number from here on; it is written with the class, so every reader sees the same
+    classes = ws.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    # buckets of two or more classes, equal ones once
+    banded = classes.select("cid", F.posexplode("keys").alias("band", "key")).select("cid", F.xxhash64("band", "key").alias("key"))
+    again = ws.save(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated")
+    shared = ws.save(banded.join(again, "key"), "shared")
+    ws.drop(again)
+    buckets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cid")).alias("y"))
+    once = ws.save(buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "size", "times"), "buckets")
+    members = ws.save(shared.join(once, "key"), "members")
+    ws.drop(shared)
 
     # one centre for each bucket
-    weight = members.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
-    weighed = members.select("key", "node").join(weight, "node")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("centre"))
-    star = members.select("key", "node").join(centre, "key").where("node <> centre").select("node", "centre").distinct()
-    mark = classes.select("node", "sketch")
-    star = star.join(mark, "node").join(mark.select(F.col("node").alias("centre"), F.col("sketch").alias("other")), "centre")
-    star = ws.save(star.where(similarity(F.col("sketch"), F.col("other")) >= percent / 100 - MARGIN).select("node", "centre"), "star")
-
-    # full sets of the classes that stand in a bucket; a doc_id on several rows may bring other sets, which join nothing
-    wanted = members.select("node").distinct().join(classes, "node").select("first").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    # the same plan at every size: what is wanted grows with the corpus, so it is never broadcast
-    sets = texts.hint("merge").join(wanted.hint("merge"), texts["_id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-    sets = ws.save(sets.mapInArrow(_sets, "node string, words array<long>, n long").dropDuplicates(["node"]), "sets")
-
-    x = sets.select("node", "words", "n")
-    y = sets.select(F.col("node").alias("centre"), F.col("words").alias("others"), F.col("n").alias("m"))
+    weight = members.groupBy("cid").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
+    members_ = ws.save(members.select("key", "cid").join(ws.save(weight, "weights"), "cid"), "weighed")
+    centre = ws.save(members_.groupBy("key").agg(F.max(F.struct("weight", "cid")).getField("cid").alias("centre")), "centres")
+    star = members.select("key", "cid").join(centre, "key").where("cid <> centre").select("cid", "centre").distinct()
+    mark = classes.select("cid", "sketch")
+    star = star.join(mark, "cid").join(mark.select(F.col("cid").alias("centre"), F.col("sketch").alias("other")), "centre")
+    star = ws.save(star.where(similarity(F.col("sketch"), F.col("other")) >= percent / 100 - MARGIN).select("cid", "centre"), "star")
+    ws.drop(members_, centre)
+
+    # full sets of the classes that are compared: with a centre (hub: as one), or later within a bucket
+    needed = star.select("cid", F.lit(0).alias("hub")).union(star.select("centre", F.lit(1))).union(members.where("size > 2").select("cid", F.lit(0)))
+    wanted = needed.groupBy("cid").agg(F.max("hub").alias("hub")).join(classes.select("cid", "first"), "cid")
+    wanted = ws.save(wanted.select("cid", F.col("hub") == 1, "first").toDF("cid", "hub", "first"), "wanted")
+    texts = _filtered(spark, base, wanted, FILTER_BITS)
+    texts = texts.hint("merge").join(wanted.hint("merge"), F.col("_uid") == F.col("first")).select("cid", "_text", "hub")
+    sets = ws.save(texts.mapInArrow(_sets, "cid long, hub boolean, words array<long>, n long"), "sets")
+
+    y = sets.where("hub").select(F.col("cid").alias("centre"), F.col("words").alias("others"), F.col("n").alias("m"))
     both = F.size(F.array_intersect("words", "others"))
-    linked = star.join(x, "node").join(y, "centre").where(100 * both >= percent * (F.col("n") + F.col("m") - both))
-    edges = ws.save(linked.select(F.col("node").alias("a"), F.col("centre").alias("b")), "edges")
+    linked = star.join(sets.select("cid", "words", "n"), "cid").join(y, "centre").where(100 * both >= percent * (F.col("n") + F.col("m") - both))
+    edges = ws.save(linked.select(F.col("cid").alias("a"), F.col("centre").alias("b")), "edges")
     comp = ws.save(components(ws, edges), "components")
 
     # buckets whose links aren't all known yet; in one of two classes the star was the only pair
-    named = members.where("size > 2").select("key", "node", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = ws.save(named.join(open_, "key"), "open")
+    named = members.where("size > 2").select("key", "cid", "size").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = ws.save(named, "named")
+    open_ = ws.save(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open")
+    rest = named.join(open_, "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "comp", F.col("own").alias("side"))
-    more = rest.join(x.select("node", "words"), "node").groupBy("key", "p", "q").applyInPandas(_links(percent), "a string, b string")
+    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "comp")
+    more = rest.join(sets.select("cid", "words"), "cid").groupBy("key", "p", "q").applyInPandas(_links(percent), "a long, b long")
     edges = ws.save(edges.union(more), "links")
+    ws.drop(sets, named, open_)
     comp = components(ws, edges)
 
-    # class -> smallest doc_id of its component
-    named = classes.select("node", "first").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    low = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    place = ws.save(named.join(low, "comp").select("node", "component_id"), "places")
-    ws.keep(sig, place)
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "node").join(place, "node", "left")
-    own_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # class -> smallest doc_id of its component; _uid rises with doc_id, nulls last
+    named = classes.select("node", "cid", "first").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    low = ws.save(named.groupBy("comp").agg(F.min("first").alias("least")), "least")
+    place = named.join(low, "comp").select("node", "least")
+    place = ws.save(place.join(sig.select(F.col("_uid").alias("least"), F.col("_id").alias("component_id")), "least").select("node", "component_id"), "places")
+    out = sig.select("_id", F.col("n").alias("n_shingles"), "node").join(place, "node", "left")
+    own_id = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    return out.select(F.col("_id").alias("doc_id"), "n_shingles", own_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
