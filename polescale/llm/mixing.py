@@ -3,8 +3,10 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, 2, 3, ...
 and share ``budget`` times the words of all documents. A target stops at
 ``most`` (3) times its source's words; the excess is shared again by weight
-until no target is above. That is water filling: the level rises until no
-further source reaches its stop, one small aggregate over sources a round.
+until no target is above. That is water filling, in closed form: with sources
+in order of stop / weight, the level is what the stops before leave, over the
+weights left, at the first source that does not reach its stop. Prefix sums
+over sources go by partition, so no task sorts all of them.
 
 Draw: a document of a source has target / size expected copies. Documents of
 a source stand in order of their number of words (equal ones in the order of
@@ -16,10 +18,13 @@ words, salt) plus the groups' running totals; a group of n
 is dealt over about sqrt(n) salts, so no task sorts a hot source or a group
 of copies.
 
-Defined results: null text has no words; its copies are 0. Null source is a
-source of its own. Repeated rows are separate documents. A source without
-words has the target 0. Reruns agree, as the offset and the order come from
-hashes. An empty table gives an empty result; extra columns are not read.
+Defined results: null or empty text has no words and the size 0, so it takes
+0 words however often it is copied. Null source is a source of its own.
+Repeated rows, and rows with null or repeated ids, are separate documents;
+of equal numbers of words the hash decides. Very long texts are counted
+whole. A source without words has the target 0. Reruns agree, as the offset
+and the order come from hashes. An empty table gives an empty result; extra
+columns, with whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polescale.llm.common import BLANKS, Workspace, documents_of, global_row_number
+from polescale.llm.common import BLANKS, Workspace, documents_of, global_row_number, in_order
 from polescale.llm.quality import let
 
 MOST = 3
@@ -47,16 +52,20 @@ def targets(ws: Workspace, sizes: DataFrame, budget: float = 1.0, most: int = MO
     """``_source, source_size, target`` from ``_source, _size`` rows."""
     per = ws.save(sizes.groupBy("_source").agg(F.sum("_size").alias("source_size")), "sources")
     ranked = global_row_number(ws, per, [F.col("_source").asc_nulls_last()], "_rank")
-    ranked = ws.save(ranked.withColumn("_weight", (F.col("_rank") % 3 + 1).cast("double")).withColumn("_stop", (most * F.col("source_size")).cast("double")), "ranked")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    for _ in range(10_000):  # each round stops at least one more source
-        full = F.col("_stop") <= level * F.col("_weight")
-        held, weight = ranked.agg(F.sum(F.when(full, F.col("_stop")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_weight")))).first()
-        if not weight or (new := (budget * total - held) / weight) <= level:
-            break
-        level = new
-    return ranked.select("_source", "source_size", F.least("_stop", F.lit(level) * F.col("_weight")).alias("target"))
+    ranked = ws.save(ranked.select("_source", "source_size", (F.col("_rank") % 3 + 1).alias("_weight"), (most * F.col("source_size")).alias("_stop")), "ranked")
+    total, weights = ranked.agg(F.sum("source_size"), F.sum("_weight")).first()
+    filled, part, at = in_order(ws, ranked, [(F.col("_stop") / F.col("_weight")).asc()], "by-stop")
+    ahead = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = filled.groupBy(part).agg(F.sum("_stop").alias("_s"), F.sum("_weight").alias("_w"))  # a row for each partition
+    sums = sums.select(part, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_held"), F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_gone"))
+    held = F.col("_held") + F.coalesce(F.sum("_stop").over(ahead), F.lit(0))
+    gone = F.col("_gone") + F.coalesce(F.sum("_weight").over(ahead), F.lit(0))
+    line = filled.join(F.broadcast(sums), part).select("_stop", "_weight", ((budget * (total or 0) - held) / (F.lit(weights or 0) - gone)).alias("_level"))
+    level = line.where(F.col("_level") <= F.col("_stop") / F.col("_weight")).agg(F.max("_level")).first()[0]
+    # no such source: all reach their stops
+    goal = F.col("_stop").cast("double") if level is None else F.least(F.col("_stop").cast("double"), F.lit(level) * F.col("_weight"))
+    return ranked.select("_source", "source_size", goal.alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, budget: float = 1.0, most: int = MOST, seed: int = 10) -> DataFrame:

@@ -48,7 +48,7 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polescale.llm import decontam
 
-    return decontam.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_uid")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polescale.llm import quality
 
-    return quality.judge(spark, table(spark, sf_dir, "documents")).drop("_uid").withColumn("shrunk_rate", F.round("shrunk_rate", 9))
+    return quality.judge(spark, table(spark, sf_dir, "documents")).drop("_uid").withColumns({c: F.round(c, 9) for c in ("shrunk_rate", "low_rate")})
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +119,10 @@ def _quality_sql() -> str:
  f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM m),
  hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
  prior AS (SELECT sum(bad) / greatest(sum(n), 1) AS m, coalesce(var_pop(bad / n), 0.0) AS v, avg(1.0 / n) AS inv FROM hosts),
- beta AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, 1e-6) - 1, 2.0), 1e4) AS k FROM prior),
- rates AS (SELECT source, (bad + m * k) / (n + k) AS rate FROM hosts, beta)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS shrunk_rate, NOT base_failed AND rate <= {q.HOST_LIMIT} AS kept FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source"""
+ beta AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inv, {q.LEAST_VARIANCE!r}) - 1, 2.0), {q.MOST_STRENGTH!r}) AS k FROM prior),
+ shrunk AS (SELECT source, n + k + 1 AS z, m, (bad + m * k) / (n + k) AS rate FROM hosts, beta),
+ rates AS (SELECT source, m, rate, rate - {q.SIGMAS!r} * sqrt(rate * (1 - rate) / z) AS low FROM shrunk)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS shrunk_rate, round(low, 9) AS low_rate, NOT base_failed AND low <= least(greatest({q.HOST_TIMES!r} * m, {q.HOST_LEAST!r}), {q.HOST_MOST!r}) AS kept FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source"""
 
 
 def _near_sql(percent: int = 85) -> str:
@@ -161,7 +162,8 @@ def _license_sql() -> str:
     weights = ", ".join(f"({k}, '{name}', '{w}', {x!r}::DOUBLE)" for k, name, w, x in rows)
     return rf"""WITH known(word, idf) AS (VALUES {known}), weights(template, licence, word, weight) AS (VALUES {weights}),
  lines AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '
-[ 	]*
+[ 	
+]*
 '), [t]))) AS line FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
  units AS (SELECT *, row_number() OVER () AS unit FROM lines),
  words AS (SELECT doc_id, unit, unnest(string_split_regex(lower(line), '[^\p{{L}}\p{{N}}]+')) AS word FROM units),

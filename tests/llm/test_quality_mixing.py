@@ -35,6 +35,34 @@ def test_hosts(spark):
     assert 0 < got[1].shrunk_rate < 0.5 < got[200].shrunk_rate < 1
 
 
+def test_host_limits(spark):
+    """Against the same numbers by hand: a host goes only if its rate is surely above the limit."""
+    from math import sqrt
+
+    good = " ".join(f"w{i}" for i in range(40))
+    counts = {"clean": (300, 6), "worse": (300, 45), "foul": (300, 150), "few": (4, 3), None: (50, 30)}
+    rows = [(None if k == 7 else 1000 * h + k, "bad" if k < bad else good, host, "x") for h, (host, (n, bad)) in enumerate(counts.items()) for k in range(n)]
+    judged = quality.judge(spark, spark.createDataFrame(rows, ROWS + ", m string")).collect()
+    n, bad = sum(n for n, _ in counts.values()), sum(b for _, b in counts.values())
+    m, rates = bad / n, [b / n for n, b in counts.values()]
+    v = sum((r - sum(rates) / 5) ** 2 for r in rates) / 5 - m * (1 - m) * sum(1 / n for n, _ in counts.values()) / 5
+    k = min(max(m * (1 - m) / max(v, 1e-6) - 1, 2), 1e4)
+    limit = min(max(3 * m, 0.2), 0.5)
+    kept = {}
+    for host, (n, bad) in counts.items():
+        mean = (bad + m * k) / (n + k)
+        low = mean - 1.6448536 * sqrt(mean * (1 - mean) / (n + k + 1))
+        kept[host] = low <= limit
+    assert limit == 0.5 and kept == {"clean": True, "worse": True, "foul": True, "few": True, None: True}
+    assert sum(r.kept for r in judged) == sum(not r.base_failed for r in judged)
+    # rare failures: the least limit holds
+    counts = {f"h{i}": (100, 1) for i in range(8)} | {"foul": (200, 80), "doubtful": (20, 6)}
+    rows = [(1000 * h + k, "bad" if k < bad else good, host) for h, (host, (n, bad)) in enumerate(counts.items()) for k in range(n)]
+    judged = quality.judge(spark, spark.createDataFrame(rows, ROWS)).collect()
+    gone = {r.doc_id // 1000 for r in judged if not r.kept and not r.base_failed}
+    assert gone == {8}
+
+
 def test_empty_and_repeated(spark):
     assert quality.judge(spark, spark.createDataFrame([], ROWS)).count() == 0
     assert mixing.mix(spark, spark.createDataFrame([], ROWS)).count() == 0
@@ -43,6 +71,32 @@ def test_empty_and_repeated(spark):
     assert quality.judge(spark, df).count() == 3 and mixing.mix(spark, df).count() == 3
 
 
+def test_odd_rows(spark):
+    """Null ids, a very long text, ties, repeated rows and clashing names."""
+    long = "word " * 300_000
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (-(2**63), "a b c", "s"), (2**63 - 1, long, None), (7, "", "t"), (7, None, "t"), (7, "a b c", "s")]
+    names = "_uid string, _size string, _rank string, _row string, _at string, _part string, copies string, kept string, n_words string, _host string, m string"
+    df = spark.createDataFrame([(*r, *["x"] * 11) for r in rows], f"{ROWS}, {names}")
+    judged, mixed = quality.judge(spark, df).collect(), mixing.mix(spark, df).collect()
+    assert sorted(r.n_words for r in judged) == [0, 0, 3, 3, 3, 3, 300_000]
+    assert [r.n_repeat_words for r in judged if r.n_words > 3] == [300_000]
+    assert sorted(r.size for r in mixed) == [0, 0, 3, 3, 3, 3, 300_000] and {r.source_size for r in mixed} == {0, 12, 300_000}
+    assert all(r.taken <= 3 * r.size for r in mixed) and {r.target for r in mixed if r.source == "t"} == {0.0}
+
+
+def test_many_sources_stop(spark):
+    """Water filling where most sources reach their stop, over several partitions, and where all do."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * (rng.randrange(1, 4) if i % 50 else 3000)), f"s{i % 400:04d}") for i in range(800)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, ROWS)).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.source] += r.size
+    want = targets(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
+    assert all(r.target == 3.0 * r.source_size for r in mixing.mix(spark, spark.createDataFrame(rows[:5], ROWS), budget=9.0).collect())
+
+
 def targets(sizes):
     """Water filling by exhaustion."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
