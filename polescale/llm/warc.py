@@ -1,8 +1,10 @@
 """Deterministic sharded WARC archives: write, commit, read back.
 
-* Records are range-partitioned by page_id into shards of about
-  ``shard_bytes`` of payload. Borders come from an exact histogram of a few
-  bins a shard (at most ``BINS``), not from a sample, so every run and cluster size cuts alike.
+* Records are range-sorted by page_id into shards of about ``shard_bytes`` of
+  payload. Borders come from exact prefix sums of bytes along the sorted page
+  ids, not from a sample or from the ids' size, so every run and cluster size
+  cuts alike and an outlying id changes nothing. Only shards that hold records
+  are numbered; a record is never split.
 * Within a shard records are sorted by page_id; a file is closed, and the next
   opened, when its compressed size passes ``roll_bytes``. Each record is a
   gzip member of its own (without time stamps).
@@ -13,15 +15,21 @@
 * A task writes a file under a temporary name of its own and renames it when
   complete; a repeated task puts the same bytes under the same name. The
   manifest, written last, is the commit: readers only open files it names,
-  and compare their size and digest.
+  and compare their size and digest. Temporary files that failed attempts left
+  are deleted after it.
+
+Shards' first ids go to the tasks as a sorted array while they are at most
+``MOST_BORDERS`` (8 MB); beyond, pages get their shard by a join.
 
 Files are opened through ``pyarrow.fs``, so any store with a URI that pyarrow
 knows (file, hdfs, s3, gs) will do.
 
 Defined results: null html is an empty payload, null url an empty target;
 null page_id is written and read back as null, last of all. Of rows that
-repeat a page_id and payload, one is the response. An empty table gives no
-file and an empty result; extra columns are not read.
+repeat a page_id and payload, one is the response; rows that repeat a page_id
+stand in order of their payloads. Very long payloads are written whole, as
+one record. An empty table gives no file and an empty result; extra columns,
+with whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +41,18 @@ import io
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polescale.llm.common import Workspace, documents_of
+from polescale.llm.common import Workspace, documents_of, freed_shuffles, global_row_number, in_order
 
-BINS = 1 << 16
+MOST_BORDERS = 1 << 20
+#: Tasks that write or read; each takes consecutive shards if there are more of them.
+MOST_TASKS = 50_000
 DATE = "1970-01-01T00:00:00Z"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed namespace for URLs of RFC 4122
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -147,7 +159,7 @@ def _write(folder: str, roll_bytes: int):
     return run
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, ws: Workspace | None = None) -> DataFrame:
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, most_borders: int = MOST_BORDERS, ws: Workspace | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in ``folder``; the manifest, also as Parquet in ``folder``/manifest."""
     ws = ws or Workspace(spark, "warc")
     base = documents_of(ws, pages, F.col("url").cast("string").alias("_url"), key="page_id", text="html")
@@ -155,32 +167,58 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes
 
     # largest page_id of each payload; a null one only if there is no other
     place = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id"), F.col("uid"))
-    best = facts.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(place).alias("best"))
-    facts = facts.join(best, "digest", "left")
+    best = ws.save(facts.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(place).alias("best")), "best")
+    facts = facts.join(best, "digest", "left")  # a plain join, which can be split at the digest of very many pages
     refers = F.when(F.col("best").isNotNull() & (F.col("best.uid") != F.col("uid")), F.struct(F.col("best.uid").alias("uid"), F.col("best.page_id").alias("page_id")))
-    facts = ws.save(facts.select("uid", F.struct("digest", "size", refers.alias("refers")).alias("fact")), "facts")
-
-    # shards by an exact histogram of bytes over uid
-    lo, hi, total = facts.agg(F.min("uid"), F.max("uid"), F.sum(F.col("fact.size") + 512)).first()
-    n_bins = min(BINS, max(64, 16 * -(-(total or 0) // shard_bytes)))
-    lo, width = lo or 0, max(1, -(-((hi or 0) - (lo or 0) + 1) // n_bins))
-    bin_of = F.floor((F.col("uid") - lo) / F.lit(width))
-    bins = facts.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("fact.size") + 512).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = ws.save(bins.select("bin", F.floor(before / shard_bytes).alias("shard")), "bins")
-    n = (bins.agg(F.max("shard")).first()[0] or 0) + 1
-    with_shard = lambda df: df.withColumn("bin", bin_of).join(F.broadcast(bins), "bin").drop("bin")  # noqa: E731  BINS rows at most
+    facts = facts.select("uid", F.struct("digest", "size", refers.alias("refers")).alias("fact"))
+
+    # shards by prefix sums of bytes over uid
+    facts, part, at = in_order(ws, facts, [F.col("uid").asc()], "facts")
+    weight = F.col("fact.size") + 512
+    sums = facts.groupBy(F.col(part).alias("p")).agg(F.sum(weight).alias("b"))  # a row for each partition
+    sums = sums.select(F.col("p").alias(part), F.coalesce(F.sum("b").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(weight).over(Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    facts = facts.withColumn("_inner", inner).join(F.broadcast(sums), part).select("uid", "fact", F.floor((F.col("_before") + F.col("_inner")) / shard_bytes).alias("s"))
+    facts = ws.save(facts, "places")
+    borders = global_row_number(ws, facts.groupBy("s").agg(F.min("uid").alias("lowest")), [F.col("s").asc()], "shard")
+    borders = ws.save(borders.select("s", "lowest", "shard"), "borders")
+    n = max(1, borders.count())
+    pages_ = base.withColumnRenamed("_uid", "uid")
+    if n <= most_borders:
+        lowest = spark.sparkContext.broadcast(np.sort(borders.select("lowest").toArrow()["lowest"].to_numpy()))
+
+        @F.pandas_udf("long")
+        def shard_of(uid: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(lowest.value, uid.to_numpy(), "right") - 1)
+
+        first, pages_ = (df.withColumn("shard", shard_of("uid")) for df in (facts, pages_))
+    else:
+        first = ws.save(facts.join(borders.select("s", "shard"), "s"), "sharded")
+        pages_ = pages_.join(first.select("uid", "shard"), "uid")
 
     kind = "struct<digest:string,size:long,refers:struct<uid:long,page_id:long>>"
-    first = with_shard(facts).select("shard", "uid", "fact", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    then = with_shard(base.withColumnRenamed("_uid", "uid")).select("shard", "uid", F.lit(None).cast(kind).alias("fact"), F.col("_id").alias("page_id"), F.col("_url").alias("url"), F.col("_text").alias("html"))
-    rows = first.union(then).repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", "uid", F.col("fact").isNull())
+    none = lambda k: F.lit(None).cast(k)
+    first = first.select("shard", "uid", "fact", none("long").alias("page_id"), none("string").alias("url"), none("string").alias("html"))
+    then = pages_.select("shard", "uid", none(kind).alias("fact"), F.col("_id").alias("page_id"), F.col("_url").alias("url"), F.col("_text").alias("html"))
+    tasks = min(n, MOST_TASKS)
+    rows = first.union(then).repartitionById(tasks, F.floor(F.col("shard") * tasks / n).cast("int")).sortWithinPartitions("shard", "uid", F.col("fact").isNull())
     manifest = rows.mapInArrow(_write(folder, roll_bytes), "file string, shard long, seq long, n_records long, n_bytes long, sha256 string")
-    manifest.write.parquet(f"{folder}/manifest")
-    ws.drop(facts, bins)
+    with freed_shuffles(spark):
+        manifest.write.parquet(f"{folder}/manifest")
+    _clean(spark, folder)
+    ws.close_tables()
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
+def _clean(spark: SparkSession, folder: str) -> None:
+    """Delete temporary archives: after the commit nobody needs them."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary-*")
+    store = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.globStatus(glob) or ():
+        store.delete(status.getPath(), True)
+
+
 def _read(folder: str):
     def number(x: str | None) -> int | None:
         return int(x) if x else None
@@ -222,6 +260,6 @@ def _page_rows(out: list[tuple]) -> pa.RecordBatch:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, html, file`` of all records the manifest names; a revisit has no html."""
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "n_bytes", "sha256")
-    n = max(1, manifest.count())
+    n = min(MOST_TASKS, max(1, manifest.count()))
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string, file string"
     return manifest.repartition(n).mapInArrow(_read(folder), kinds)

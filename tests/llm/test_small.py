@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from polescale.llm import decontam, licenses, textnp, tokencount, urlfilter, warc
+from polescale.llm import licenses, textnp, tokencount, urlfilter, warc
 
 
 def test_urls(spark):
@@ -84,60 +84,6 @@ def test_prefix_tables(spark, library):
     assert got[0].counts[-1] == library("It's a test,  twice.") and got[1].counts == []
 
 
-ITEM = " ".join(f"q{i}" for i in range(40))
-
-
-def pairs(spark, docs, items=None, **more):
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(1, ITEM), (2, None), (3, "too short item"), (4, "r1 r2 r3 r4 r5 r6 r7")] if items is None else items, "item_id long, text string")
-    return {(r.doc_id, r.item_id): (r.n_covered, r.n_tiles) for r in decontam.leaks(spark, d, b, **more).collect()}
-
-
-def test_leaks(spark):
-    w = ITEM.split()
-    moved = " ".join(w[20:] + ["x", "y"] + w[:20])
-    half = " ".join(w[:18])
-    docs = [(1, f"before {ITEM.upper()} after"), (2, moved), (3, half), (4, None), (5, ""), (6, "clean " * 500), (7, "too short item"), (8, "z r1 r2 r3 r4 r5 r6 r7"), (9, " ".join(w[:21])), (None, ITEM)]
-    assert pairs(spark, docs) == {(1, 1): (40, 1), (2, 1): (40, 2), (8, 4): (7, 1), (9, 1): (21, 1), (None, 1): (40, 1)}
-    assert pairs(spark, docs, []) == {} and pairs(spark, []) == {}
-
-
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 64)
-    assert pairs(spark, [(1, ITEM), (8, "r1 r2 r3 r4 r5 r6 r7")]) == {(1, 1): (40, 1), (8, 4): (7, 1)}
-
-
-def greedy(a, b, least):
-    """Greedy string tiling by exhaustion: words covered."""
-    used_a, used_b = set(), set()
-    while True:
-        best = (0, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used_a and j + k not in used_b:
-                    k += 1
-                if k > best[0]:
-                    best = (k, i, j)
-        k, i, j = best
-        if k < least:
-            return len(used_a)
-        used_a |= set(range(i, i + k))
-        used_b |= set(range(j, j + k))
-
-
-def test_tiles_against_exhaustion():
-    rng = random.Random(3)
-    for _ in range(60):
-        a = [rng.choice("abc") for _ in range(25)]
-        b = [rng.choice("abc") for _ in range(10)] + a[5:15] + a[:9]
-        hits = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]
-        t = decontam.tiles(hits)
-        assert all(a[i : i + n] == b[j : j + n] for i, j, n in t)
-        assert len({i + k for i, _, n in t for k in range(n)}) == sum(n for *_, n in t) == len({j + k for _, j, n in t for k in range(n)})
-        assert t[0][2] if greedy(a, b, 5) else not t
-
-
 def pages(spark):
     rows = [(5, "http://a/1", "same"), (7, "http://a/2", "same"), (6, None, "été"), (8, "http://a/ 3", None), (9, "u", ""), (None, "v", "same"), (7, "w", "same")]
     rows += [(100 + i, f"http://b/{i}", f"<p>{i % 7}</p>" * (i % 5 * 40)) for i in range(60)]
@@ -172,6 +118,34 @@ def test_archives_are_the_same_again(spark, tmp_path):
     assert not list(tmp_path.glob("*/_temporary*"))
 
 
+def test_outlying_ids(spark, tmp_path):
+    """Ids as far apart as they can be: shards hold the same bytes, and reading gives every page."""
+    rows = [(i, f"u{i}", "x" * 400 + str(i)) for i in range(300)] + [(-(2**63), "low", "low"), (2**63 - 1, "high", None), (2**60, "far", "y" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for k, more in enumerate(({}, {"most_borders": 0})):
+        manifest = warc.write_archives(spark, df, f"file://{tmp_path}/{k}", shard_bytes=9200, **more).collect()
+        by = {}
+        for m in manifest:
+            by[m.shard] = by.get(m.shard, 0) + m.n_records
+        assert sorted(by) == list(range(len(by))) and len(by) > 25 and max(by.values()) <= 11
+        assert sorted(r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}/{k}").collect()) == sorted(i for i, *_ in rows)
+        assert k == 0 or sorted((m.file, m.sha256) for m in manifest) == before
+        before = sorted((m.file, m.sha256) for m in manifest)
+
+
+def test_left_over_files_go(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "_temporary-0-shard.warc.gz").write_bytes(b"of an attempt that failed")
+    long = "é" * 3_000_000
+    names = "uid int, _text int, fact int, shard int, size int, _url int, s int, p int"
+    df = spark.createDataFrame([(1, "u", long, *range(8)), (None, None, long, *range(8)), (1, "u", long, *range(8))], f"page_id long, url string, html string, {names}")
+    warc.write_archives(spark, df, f"file://{tmp_path}/w")
+    assert not list((tmp_path / "w").glob("_temporary*"))
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.record_type for r in got) == ["response", "revisit", "revisit"] and {r.payload_bytes for r in got} == {6_000_000}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {1}
+
+
 def test_small_payloads_and_empty(spark, tmp_path):
     warc.write_archives(spark, pages(spark), f"file://{tmp_path}/w", min_bytes=5)
     got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
