@@ -194,40 +194,46 @@ def _later(length: int):
     return run
 
 
-def _covered(size: int, length: int, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal byte runs of a text under covered windows: ``n`` windows from ``at``, or those of a bitmap."""
-    step = np.zeros(size + 1, np.int64)
-    for x in found:
-        if x["bits"] is None:
-            lo, hi = np.array([x["at"]]), np.array([x["at"] + x["n"] + length - 1])
-        else:
-            on = np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8), bitorder="little")) + x["at"]
-            lo, hi = on, on + length
-        np.add.at(step, lo, 1)
-        np.add.at(step, hi, -1)
-    under = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
-    return np.flatnonzero(under[1:] & ~under[:-1]), np.flatnonzero(under[:-1] & ~under[1:])
+def _spans(found: pa.ListArray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes under covered windows: row, start and end, in order. ``found``: for each row n windows from ``at``, or those of a bitmap."""
+    counts = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at, n, bits = found.flatten().flatten()
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = n.is_valid().to_numpy(zero_copy_only=False)
+    n = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[whole]
+    raw = [b for b in bits.to_pylist() if b is not None]
+    here = np.repeat(np.flatnonzero(~whole), [8 * len(b) for b in raw])
+    first = np.repeat(np.cumsum([0, *(8 * len(b) for b in raw)])[:-1], [8 * len(b) for b in raw])
+    on = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), bitorder="little"))
+    lo = np.concatenate([at[whole], at[here[on]] + on - first[on]])
+    hi = np.concatenate([at[whole] + n + (length - 1), lo[len(n) :] + length])
+    base = np.cumsum([0, *(sizes + 1)])  # rows side by side, a byte apart
+    row = np.concatenate([row[whole], row[here[on]]])
+    lo, hi = lo + base[row], hi + base[row]
+    order = np.argsort(lo, kind="stable")
+    lo, top, row = lo[order], np.maximum.accumulate(hi[order]), row[order]
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > top[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    end = np.append(new[1:], len(lo))[: len(new)] - 1
+    return row[new], lo[new] - base[row[new]], top[end] - base[row[new]]
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found, texts = b.column(0), b.column(1), b.column(2)
-            size, gone, spans, sha, kept = [], [], [], [], []
-            for r in range(b.num_rows):
-                text = (texts[r].as_py() or "").encode()
-                left, n_gone, n_spans = text, 0, 0
-                if here := found[r].as_py():
-                    a, z = _covered(len(text), length, here)
-                    n_gone, n_spans = int((z - a).sum()), len(a)
-                    left = b"".join(text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True))
-                size.append(len(text))
-                gone.append(n_gone)
-                spans.append(n_spans)
-                sha.append(hashlib.sha256(left).hexdigest())
-                # a cut may fall inside a character: what is left of it goes from the text, not from the digest
-                kept.append(None if texts[r].as_py() is None else left.decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["_uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            for i, j, data, offs in textnp.slices(b.column(2)):
+                row, lo, hi = _spans(b.column(1).slice(i, j - i), np.diff(offs), length)
+                known = b.column(2).slice(i, j - i).is_valid().to_pylist()
+                first = np.searchsorted(row, np.arange(j - i + 1))
+                sha, kept = [], []
+                for r in range(j - i):
+                    text, own = data[offs[r] : offs[r + 1]], slice(first[r], first[r + 1])
+                    left = b"".join(text[x:y].tobytes() for x, y in zip([0, *hi[own].tolist()], [*lo[own].tolist(), len(text)], strict=True))
+                    sha.append(hashlib.sha256(left).hexdigest())
+                    # a cut may fall inside a character: what is left of it goes from the text, not from the digest
+                    kept.append(left.decode("utf-8", "ignore") if known[r] else None)
+                gone = np.bincount(row, weights=hi - lo, minlength=j - i).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offs).astype(np.int64)), pa.array(gone), pa.array(np.diff(first).astype(np.int64)), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["_uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return run
 
