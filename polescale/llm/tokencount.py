@@ -10,14 +10,27 @@ in one pass, and a truncation or a budget question needs no new encoding.
 Two tokens are compatible if no merge across their border happens before the
 pieces beside it are merged away within their own tokens.
 
+A text cut short may be cut into other pieces at its end: a run of white space
+is one piece where nothing follows it, half of a contraction is two, and half
+of a special string is ordinary text. The counts of those prefixes are put
+right, so each is what the library gives for the text cut there.
+
+``prefix_table`` stores the counts of all prefixes of a text as ``steps``, a
+signed byte for each byte of text: by how much the count changes with the
+character that ends there (``INSIDE``, where none ends; four bytes each for a
+text with a step of 127 or more). ``count_tokens`` stores that table and reads
+totals from it; ``budgets`` and ``truncations`` answer from it alone.
+
 Supported: ``tokenizers`` files of byte-level BPE with the library's usual
 pattern, and added tokens that are plain strings. Special strings in a text
 count as the one token the library makes of them.
 
 Defined results: null text is empty and has 0 bytes and 0 tokens. Rows are
-judged one by one, so repeated rows are repeated, and an empty table gives
-an empty result; extra columns are not read. Texts of any length are taken
-whole; pieces above ``CACHED`` bytes are counted without being remembered.
+judged one by one, so repeated rows, or rows with null ids, are repeated; a
+text of exactly the limit is not over it; an empty table gives an empty
+result; extra columns, with whatever names, are not read. Texts of any length
+are taken whole; pieces above ``CACHED`` bytes are counted without being
+remembered.
 """
 
 from __future__ import annotations
@@ -31,9 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polescale.llm.common import Workspace
+
 LIMIT = 1024
 CACHED, MOST_CACHED = 256, 1 << 20
 NEVER = 1 << 60
+#: Step at a byte that ends no character.
+INSIDE = -128
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +91,10 @@ class PrefixCounter:
         self.left = cache(lambda t: self._spine(t, 0))
         self.right = cache(lambda t: self._spine(t, 1))
         self.tokens = {t for t in self.tokens if self.whole(t)}
-        self.count = _Counts(self)
+        self.space = regex.compile(r"\s+")
+        self.before_word = regex.compile(r"\s{2,}(?=\S)")
+        self.steps_of = _Steps(self)
+        self.regained = lru_cache(1 << 16)(self._regained)
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The pieces that lie at one border of the token while it is built, each with the rank at which it is merged away."""
@@ -133,52 +153,111 @@ class PrefixCounter:
                 if part:
                     yield part, bool(k % 2)
 
-    def total(self, text: str) -> int:
-        count = self.count.__getitem__
-        return sum(1 if special else sum(map(count, self.piece.findall(run))) for run, special in self.runs(text))
-
-    def prefix_table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Byte offsets of the ends of all pieces, and the tokens up to each."""
-        ends, counts = [], []
-        for run, special in self.runs(text):
-            for p in [run] if special else self.piece.findall(run):
-                ends.append(len(p.encode()))
-                counts.append(1 if special else self.count[p])
-        return np.cumsum(ends, dtype=np.int64), np.cumsum(counts, dtype=np.int64)
-
-    def within(self, text: str, ends: np.ndarray, counts: np.ndarray, n_bytes: int) -> int:
-        """Tokens of the first ``n_bytes`` bytes of ``text``, from its table.
-
-        Only the stretch from the last border that a cut cannot move is looked
-        at again: the two pieces before the cut may be cut otherwise when what
-        follows them is gone.
-        """
-        raw = text.encode()
-        n_bytes = min(n_bytes, len(raw))
-        k = max(0, int(np.searchsorted(ends, n_bytes, "left")) - 2)
-        start, done = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
-        return done + self.total(raw[start:n_bytes].decode("utf-8", "ignore"))
-
-    def fitting(self, text: str, ends: np.ndarray, counts: np.ndarray, budget: int) -> int:
-        """The most bytes of ``text``, up to the end of a piece, that take at most ``budget`` tokens."""
-        k = int(np.searchsorted(counts, budget, "right"))
-        return int(ends[k - 1]) if k else 0
+    def prefixes(self, piece: str) -> np.ndarray:
+        """Steps of the prefixes of one piece (int32)."""
+        raw = piece.encode()
+        count = np.array(self.counts(raw), np.int64)
+        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # half a contraction is an apostrophe and letters
+            for k in range(2, len(piece)):
+                count[len(piece[:k].encode())] = sum(int(self.steps_of.total(p)) for p in self.piece.findall(piece[:k]))
+        ends = np.append(np.frombuffer(raw, np.uint8)[1:] & 0xC0 != 0x80, True)
+        out = np.full(len(raw), INSIDE, np.int32)
+        out[ends] = np.diff(count[1:][ends], prepend=0)
+        return out
 
+    def _regained(self, run: str) -> int:
+        """Tokens that a run of white space takes at the end of a text, less those before a word up to the same place."""
+        last = self.steps_of.steps(run[-1])
+        return self.steps_of.total(run) - self.steps_of.total(run[:-1]) - int(last[last != INSIDE].sum())
 
-class _Counts(dict):
-    """Piece -> its number of tokens; forgets everything when it grows too large."""
+    def _ordinary(self, run: str) -> np.ndarray:
+        """Steps of a stretch without special strings."""
+        parts = list(map(self.steps_of.__getitem__, self.piece.findall(run)))
+        if None in parts:
+            out = np.concatenate([self.prefixes(p) for p in self.piece.findall(run)])
+        else:
+            out = np.frombuffer(b"".join(parts), np.int8)
+        last = at = 0
+        fixed = None
+        for m in self.before_word.finditer(run):
+            if more := self.regained(m[0]):
+                fixed = out.astype(np.int32) if fixed is None else fixed
+                at += len(run[last : m.end()].encode())
+                last = m.end()
+                fixed[at - 1] += more
+                fixed[at - 1 + len(run[last].encode())] -= more
+        return out if fixed is None else fixed
+
+    def steps(self, text: str) -> np.ndarray:
+        """Steps of all prefixes of a text."""
+        out, done = [], ""
+        for run, special in self.runs(text):
+            if not special:
+                done = run
+                out.append(self._ordinary(run))
+                continue
+            # cut within, it is ordinary text behind the last two pieces of what stands before
+            tail = "".join(self.piece.findall(done)[-2:])
+            base = self._total(tail)
+            inner = np.full(len(run.encode()), INSIDE, np.int32)
+            before = 0
+            for k in range(1, len(run) + 1):
+                now = 1 if k == len(run) else self._total(tail + run[:k]) - base
+                inner[len(run[:k].encode()) - 1] = now - before
+                before = now
+            out.append(inner)
+            done = ""
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int8), *out])
+
+    def _total(self, run: str) -> int:
+        return sum(map(self.steps_of.total, self.piece.findall(run)))
+
+
+def packed(steps: np.ndarray) -> bytes:
+    """A byte a step, or four where one of them needs more."""
+    if steps.dtype == np.int8:
+        return steps.tobytes()
+    if not len(steps) or np.abs(steps).max() < 128 or (steps[steps != INSIDE].size and np.abs(steps[steps != INSIDE]).max() < 127):
+        return steps.astype(np.int8).tobytes()
+    return np.where(steps == INSIDE, np.iinfo(np.int32).min, steps).astype(np.int32).tobytes()
+
+
+def counts_of(steps: bytes, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a text's characters in bytes, and the tokens of the text up to each; both begin with 0."""
+    x = np.frombuffer(steps, np.int8 if len(steps) == n_bytes else np.int32)
+    ends = np.flatnonzero(x != np.iinfo(x.dtype).min)
+    return np.append(0, ends + 1), np.append(0, np.cumsum(x[ends], dtype=np.int64))
+
+
+class _Steps(dict):
+    """Piece -> steps of its prefixes as bytes, None where they need more; forgets everything when it grows too large."""
 
     def __init__(self, owner: PrefixCounter):
         super().__init__()
         self.owner = owner
+        self.totals: dict[str, int] = {}
 
-    def __missing__(self, piece: str) -> int:
-        raw = piece.encode()
-        n = self.owner.counts(raw)[-1]
-        if len(raw) <= CACHED:
+    def __missing__(self, piece: str) -> bytes | None:
+        steps = self.owner.prefixes(piece)
+        own = packed(steps)
+        own = own if len(own) == len(steps) else None
+        if len(steps) <= CACHED:
             if len(self) >= MOST_CACHED:
                 self.clear()
-            self[piece] = n
+            self[piece] = own
+        return own
+
+    def steps(self, piece: str) -> np.ndarray:
+        own = self[piece]
+        return self.owner.prefixes(piece) if own is None else np.frombuffer(own, np.int8)
+
+    def total(self, piece: str) -> int:
+        if (n := self.totals.get(piece)) is None:
+            n = self.owner.counts(piece.encode())[-1] if piece else 0
+            if len(piece) <= CACHED:
+                if len(self.totals) >= MOST_CACHED:
+                    self.totals.clear()
+                self.totals[piece] = n
         return n
 
 
@@ -187,28 +266,55 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``."""
+def prefix_table(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, steps`` for each row of ``docs``: the exact tokens of every prefix of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            texts = [x.as_py() or "" for x in b.column(1)]
-            n = np.fromiter((c.total(x) for x in texts), np.int64, len(texts))
-            size = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for at in range(0, b.num_rows, 256):
+                texts = [x.as_py() or "" for x in b.column(1).slice(at, 256)]
+                found = [packed(c.steps(x)) for x in texts]
+                size = [len(x.encode()) for x in texts]
+                n = [int(counts_of(x, k)[1][-1]) for x, k in zip(found, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "steps"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, steps binary")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``, from its stored prefix table."""
+    table = Workspace(docs.sparkSession, "tokens").save(prefix_table(docs, path), "prefixes")
+    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ends, counts``: byte offsets of the ends of a text's pieces and the exact tokens up to each."""
+def budgets(table: DataFrame, budget: int) -> DataFrame:
+    """``doc_id, fit_bytes, fit_tokens``: the longest prefix (of whole characters) of at most ``budget`` tokens, from a prefix table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
         for b in batches:
-            for r in range(b.num_rows):
-                ends, counts = c.prefix_table(b.column(1)[r].as_py() or "")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([ends], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=["doc_id", "ends", "counts"])
+            out = []
+            for n, steps in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                ends, counts = counts_of(steps.as_buffer() if n else b"", n)
+                k = int(np.flatnonzero(counts <= max(0, budget))[-1])
+                out.append((int(ends[k]), int(counts[k])))
+            size, tokens = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "fit_bytes", "fit_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")
+    return table.select("doc_id", "n_bytes", "steps").mapInArrow(run, "doc_id long, fit_bytes long, fit_tokens long")
+
+
+def truncations(table: DataFrame, n_bytes: int) -> DataFrame:
+    """``doc_id, cut_bytes, cut_tokens``: the whole characters in a text's first ``n_bytes`` bytes and their tokens, from a prefix table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, steps in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                ends, counts = counts_of(steps.as_buffer() if n else b"", n)
+                k = int(np.searchsorted(ends, max(0, n_bytes), "right")) - 1
+                out.append((int(ends[k]), int(counts[k])))
+            size, tokens = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "cut_bytes", "cut_tokens"])
+
+    return table.select("doc_id", "n_bytes", "steps").mapInArrow(run, "doc_id long, cut_bytes long, cut_tokens long")

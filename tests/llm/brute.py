@@ -21,7 +21,7 @@ def shingles(text, k=5):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def near(rows):
+def near(rows, percent=85):
     """rows (doc_id, text) with distinct ids -> {doc_id: (n_shingles, component_id, kept)}."""
     sets = {d: shingles(t) for d, t in rows}
     up = {d: d for d in sets}
@@ -41,7 +41,7 @@ def near(rows):
             for b in ids[i + 1 :]:
                 both[a, b] += 1
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((root(a), root(b)))
             up[y] = x
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}

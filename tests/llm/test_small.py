@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from polescale.llm import licenses, textnp, tokencount, urlfilter, warc
@@ -62,26 +63,42 @@ def test_tokens_as_the_library(spark, library):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
 
 
+def prefixes(library, x):
+    """Ends of characters in bytes and the library's tokens up to each."""
+    return [(len(x[:k].encode()), library(x[:k])) for k in range(len(x) + 1)]
+
+
 def test_every_prefix(library):
     c = tokencount.counter(PATH)
     rng = random.Random(2)
-    for _ in range(60):
-        x = strange(rng)
-        ends, counts = c.prefix_table(x)
-        for k in range(len(x) + 1):
-            assert c.within(x, ends, counts, len(x[:k].encode())) == library(x[:k])
-        cut = c.fitting(x, ends, counts, 5)
-        assert library(x.encode()[:cut].decode()) <= 5
-    for piece in (b" international", b"abcabcabcabc", "Straßenbahnhöfe".encode(), b"aaaaaaaaaaaa"):
-        n = c.counts(piece)
-        for k in range(len(piece) + 1):
-            if (text := piece[:k].decode("utf-8", "ignore")).encode() == piece[:k] and len(c.piece.findall(text)) <= 1:
-                assert n[k] == library(text)
-
-
-def test_prefix_tables(spark, library):
-    got = tokencount.prefix_counts(spark.createDataFrame([(1, "It's a test,  twice."), (2, None)], "doc_id long, text string"), PATH).collect()
-    assert got[0].counts[-1] == library("It's a test,  twice.") and got[1].counts == []
+    texts = [strange(rng) for _ in range(400)] + ["", "I'll we've they're 'tis x'", "a   b \n\n c\t\td  ", "\n\n\nword", "x" * 300, " " * 60 + "y", "é" * 50, "a <|endoftext|><|endoftext|> b", "<|endoftext", "Straßenbahnhöfe international abcabcabc"]
+    for x in texts:
+        n = len(x.encode())
+        ends, counts = tokencount.counts_of(tokencount.packed(c.steps(x)), n)
+        assert list(zip(ends.tolist(), counts.tolist(), strict=True)) == prefixes(library, x), repr(x)
+
+
+def test_wide_steps():
+    steps = np.array([1, tokencount.INSIDE, 300, -300, 2], np.int32)
+    ends, counts = tokencount.counts_of(tokencount.packed(steps), 5)
+    assert ends.tolist() == [0, 1, 3, 4, 5] and counts.tolist() == [0, 1, 301, 1, 3]
+
+
+def test_budgets_and_truncations(spark, library):
+    rng = random.Random(4)
+    rows = [(i, strange(rng)) for i in range(60)] + [(100, None), (101, "x" * 5000), (None, "word " * 40)]
+    table = tokencount.prefix_table(spark.createDataFrame(rows, "doc_id long, text string"), PATH).cache()
+    for budget in (0, 5, 60):
+        for r in tokencount.budgets(table, budget).collect():
+            fit = max((e, n) for e, n in prefixes(library, dict(rows)[r.doc_id] or "") if n <= budget) if r.doc_id != 101 else None
+            assert fit is None and 0 < r.fit_bytes < 5000 - budget * (budget == 0) or (r.fit_bytes, r.fit_tokens) == (fit or (0, 0))
+            if r.doc_id == 101:
+                assert library("x" * r.fit_bytes) <= budget and (all(library("x" * k) > budget for k in range(r.fit_bytes + 1, r.fit_bytes + 40)))
+    for size in (0, 7, 1 << 20):
+        for r in tokencount.truncations(table, size).collect():
+            x = (dict(rows)[r.doc_id] or "").encode()[:size].decode("utf-8", "ignore")
+            assert (r.cut_bytes, r.cut_tokens) == (len(x.encode()), library(x))
+    assert tokencount.budgets(table.where("false"), 3).count() == 0
 
 
 def pages(spark):
