@@ -1,7 +1,7 @@
-"""Katz backoff scores of whole texts from a bigram model of the training texts.
+"""Katz backoff scores of whole texts from an n-gram model (trigrams by default) of the training texts.
 
-Tokens of a text are its words (A-Z lower-cased) and one end; the end is also
-the history of a text's first token. Counts are of training texts only.
+Tokens of a text are its words (A-Z lower-cased) and one end; ends are also
+what stands before a text's first token. Counts are of training texts only.
 
 * Discounts are Good-Turing's for counts up to K (Katz 1987), from the counts
   of counts; K is for each order the largest up to 5 that gives ratios between
@@ -9,9 +9,10 @@ the history of a text's first token. Counts are of training texts only.
   from 2 does, as on tiny corpora, an absolute discount D = n1 / (n1 + 2 n2)
   is taken instead.
 * Unigrams leave the discounted mass to one unknown type.
-* P(w | h) = disc(c(h, w)) / c(h) if the pair was seen, else a(h) P(w), with
-  a(h) = (1 - seen mass of h) / (1 - sum of P over words seen after h), so
-  that each history's probabilities sum to 1 exactly. A history whose counts
+* P(w | h) = disc(c(h, w)) / c(h) if the n-gram was seen, else a(h) P(w | h'),
+  h' being h without its first word, and so on down to unigrams, with
+  a(h) = (1 - seen mass of h) / (1 - sum of P(w | h') over words seen after h),
+  so that each history's probabilities sum to 1 exactly. A history whose counts
   are all too large to be discounted leaves 1 / (c(h) + 1). An unseen history
   backs off with weight 1.
 
@@ -21,15 +22,21 @@ as they are read. A block asks for each of its distinct n-grams once: its
 sorted fingerprints go to the tables' partitions with the block's own counts,
 which are added up there and answered in the same order. So what is shuffled
 is a few bytes for each distinct n-gram of a block, never a row for a token,
-and a frequent word is one entry a block. Three such rounds give unigram
-counts, bigram counts and backoff weights; the last pass evaluates each token:
-its bigram, else its history's weight and its unigram.
+and a frequent word is one entry a block. A round for each order gives counts,
+then one for each length of history the backoff weights (answered only where a
+token of the block backs off); the last pass evaluates the recursion for each
+distinct n-gram of a block, from unigrams up.
+
+The number of partitions follows the measured bytes of the blocks
+(``BUCKET_BYTES`` of them a partition, but ``spark.sql.shuffle.partitions`` at
+least), so what a task holds does not grow with the corpus. There is a row for
+each block and partition: on executors with more memory raise both sizes.
 
 Defined results: null text is a text of no words (one end). A text trains
 unless crc32 of its doc_id mod 5 is 1; null doc_ids train. Repeated rows
-count and are scored each. Without training texts every token has
-probability 1 of the unknown type. An empty table gives an empty result;
-extra columns are not read.
+count and are scored each. Very long texts are a block of their own. Without
+training texts every token has probability 1 of the unknown type. An empty
+table gives an empty result; extra columns, with whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -48,10 +55,13 @@ from polescale.llm.common import Workspace, documents_of
 from polescale.llm.textnp import U
 
 K = 5
+ORDER = 3
 BLOCK = 1_500_000
+BUCKET_BYTES = 64 << 20
 END = textnp.mix(np.array([0x656E64], U))
 SCHEMA = "dest long, block long, kind int, bucket int, data binary"
-STREAM, UNIGRAMS, BIGRAMS, WEIGHTS, STATS = range(5)
+#: Kinds of rows; counts of k-grams and weights of histories of k words are COUNTS + k and WEIGHTS + k.
+STREAM, STATS, COUNTS, WEIGHTS = 0, 1, 100, 200
 
 
 # --- packed arrays --------------------------------------------------------------
@@ -123,30 +133,60 @@ def answers(data: pa.Table, kind: int) -> list[np.ndarray]:
 
 
 class Block:
-    """Documents of one block: tokens as numbers of the block's vocabulary, sorted by fingerprint."""
+    """Documents of one block, and its distinct n-grams of lengths up to ``order``, once numbered.
+
+    ``keys[k]`` are the sorted fingerprints of the distinct k-grams, ``gram[k]``
+    each token's place among them, ``last[k]`` a token that ends each of them.
+    Before a text's first token there are ends only.
+    """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, order: int):
         vocabulary, self.uids, self.lengths, self.train, tokens = (unpack_sorted(x) if i == 0 else unpack(x) for i, x in enumerate(split(data)))
-        self.vocabulary = vocabulary
-        self.tokens = tokens.astype(np.int64)
+        self.block = int(self.uids[0])
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.end = int(np.searchsorted(vocabulary, END[0]))
-
-    def histories(self) -> np.ndarray:
-        h = np.empty_like(self.tokens)
-        h[1:], h[:1] = self.tokens[:-1], self.end
-        return h  # a text's first token follows the end of the text before it
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted fingerprints of the distinct pairs, their histories and words, and each token's pair."""
-        local = self.histories() * len(self.vocabulary) + self.tokens
-        distinct, pair = np.unique(local, return_inverse=True)
-        h, w = np.divmod(distinct, len(self.vocabulary))
-        key = textnp.mix(textnp.pair(self.vocabulary[h], self.vocabulary[w]))
-        order = np.argsort(key)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        return key[order], h[order], w[order], place[pair]
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.training = self.train.astype(bool)[self.doc]
+        tokens = tokens.astype(np.int64)
+        self.keys, self.gram, self.last = {1: vocabulary}, {1: tokens}, {1: np.zeros(len(vocabulary), np.int64)}
+        self.last[1][tokens] = np.arange(len(tokens))
+        #: fingerprints of the grams that end at each token, and of as many ends
+        self.here, self.ends = {1: vocabulary[tokens]}, {1: END[0]}
+        for k in range(1, order):
+            before = np.empty_like(self.here[k])  # the k words before each token
+            before[1:] = self.here[k][:-1]
+            before[self.first] = self.ends[k]
+            self.here[k + 1] = textnp.mix(textnp.pair(before, self.here[1]))
+            self.ends[k + 1] = textnp.mix(textnp.pair(np.array([self.ends[k]], U), END))[0]
+
+    def number(self, k: int) -> None:
+        """Fill ``keys``, ``gram`` and ``last`` for grams of k words."""
+        if k not in self.keys:
+            self.keys[k], self.last[k], self.gram[k] = np.unique(self.here[k], return_index=True, return_inverse=True)
+
+    def histories(self, k: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+        """Sorted fingerprints of the grams of k words and of k ends, each token's history among them, the place of the ends, and whether they are added."""
+        self.number(k)
+        keys = self.keys[k]
+        at = int(np.searchsorted(keys, self.ends[k]))
+        added = at == len(keys) or keys[at] != self.ends[k]
+        place = np.empty_like(self.gram[k])
+        place[1:] = self.gram[k][:-1]
+        if added:
+            keys = np.insert(keys, at, self.ends[k])
+            place += place >= at
+        place[self.first] = at
+        return keys, place, at, added
+
+    def seen(self, k: int, c: dict[int, np.ndarray]) -> np.ndarray:
+        """How often each of ``histories(k)`` stands in training texts, from the counts of this block's grams.
+
+        A history is a gram of its text, but for the ends before its first
+        token, which stand there once for each training text.
+        """
+        _, _, at, added = self.histories(k)
+        out = np.insert(c[k], at, 0) if added else c[k].copy()
+        out[at] = c[1][np.searchsorted(self.keys[1], END[0])]
+        return out
 
     def add(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, weights=values, minlength=len(self.lengths))
@@ -242,97 +282,119 @@ def unigram(c: np.ndarray, d: Discount) -> np.ndarray:
     return np.where(c > 0, d(c) / d.tokens, 1.0 - d.mass)
 
 
-def _of_block(data: pa.Table) -> Block:
-    return Block(next(d for k, d in zip(data["kind"].to_pylist(), data["data"].to_pylist(), strict=True) if k == STREAM))
+def _of_block(data: pa.Table, order: int) -> Block:
+    return Block(next(d for k, d in zip(data["kind"].to_pylist(), data["data"].to_pylist(), strict=True) if k == STREAM), order)
 
 
-def _ask_counts(kind: int, buckets: int):
-    """Streams to a block's questions for unigram or bigram counts, with its own counts in training texts."""
+def _ask_counts(k: int, buckets: int):
+    """Streams to a block's questions for counts of k-grams, with its own counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(4).to_pylist():
-                b = Block(data)
-                if kind == UNIGRAMS:
-                    key, of = b.vocabulary, b.tokens
-                else:
-                    key, _, _, of = b.bigrams()
-                train = np.repeat(b.train, b.lengths).astype(bool)
-                yield rows(asks(int(b.uids[0]), kind, buckets, key, np.bincount(of[train], minlength=len(key)).astype(np.int64)))
+                b = Block(data, k)
+                b.number(k)
+                own = np.bincount(b.gram[k][b.training], minlength=len(b.keys[k])).astype(np.int64)
+                yield rows(asks(b.block, COUNTS + k, buckets, b.keys[k], own))
 
     return run
 
 
-def _ask_weights(buckets: int, one: Discount, two: Discount):
-    """For each history: c(h), and of the pairs that this block is first to have, their discounted counts and P(w)."""
+def _probabilities(b: Block, data: pa.Table, order: int, discounts: list[Discount]) -> np.ndarray:
+    """P(last word | words before) of the block's distinct grams of ``order`` words, from unigrams up."""
+    c = {k: answers(data, COUNTS + k)[0] >> 1 for k in range(1, order + 1)}
+    p = unigram(c[1], discounts[0])
+    for k in range(2, order + 1):
+        b.number(k)
+        place = b.histories(k - 1)[1]
+        h, weight = b.seen(k - 1, c), answers(data, WEIGHTS + k - 1)[0]
+        mine = place[b.last[k]]  # each gram's history
+        room = np.where(weight[mine] < 0, h[mine] / (h[mine] + 1.0), 1.0)
+        own = room * discounts[k - 1](c[k]) / np.maximum(h[mine], 1)
+        p = np.where(c[k] > 0, own, np.abs(weight[mine]) * p[b.gram[k - 1][b.last[k]]])
+    return p
+
+
+def _ask_weights(k: int, buckets: int, discounts: list[Discount]):
+    """For each history of k words: its count in the block's training texts; the discounted counts and P(w | h') of those
+    grams behind it that this block is first to have; and whether a token of the block backs off from it."""
 
     def run(data: pa.Table) -> pa.Table:
-        b = _of_block(data)
-        c = answers(data, UNIGRAMS)[0] >> 1
-        r = answers(data, BIGRAMS)[0]
-        _, h, w, _ = b.bigrams()
+        b = _of_block(data, k + 1)
+        b.number(k + 1)
+        keys, place, *_ = b.histories(k)
+        r = answers(data, COUNTS + k + 1)[0]
+        size, mine = len(keys), place[b.last[k + 1]]
         own = ((r & 1) == 1) & (r > 1)
-        size = len(b.vocabulary)
-        mass = np.bincount(h[own], weights=two(r[own] >> 1), minlength=size)
-        low = np.bincount(h[own], weights=unigram(c, one)[w[own]], minlength=size)
-        return table(asks(int(b.uids[0]), WEIGHTS, buckets, b.vocabulary, c, mass, low))
+        lower = _probabilities(b, data, k, discounts)[b.gram[k][b.last[k + 1]]]
+        count = np.bincount(place[b.training], minlength=size).astype(np.int64)
+        mass = np.bincount(mine[own], weights=discounts[k](r[own] >> 1), minlength=size)
+        low = np.bincount(mine[own], weights=lower[own], minlength=size)
+        back = np.zeros(size, np.uint8)
+        back[mine[r < 2]] = 1
+        return table(asks(b.block, WEIGHTS + k, buckets, keys, count, mass, low, back))
+
+    return run
+
+
+def _weigh(k: int):
+    """Backoff weights, negative where the seen mass has to make room; 1 for an unseen history; 0 where nobody asks."""
+
+    def run(data: pa.Table) -> pa.Table:
+        bucket = data["bucket"][0].as_py()
+        blocks, sizes, keys, more = _merged(data)
+        c, mass, low, back = (np.concatenate([unpack(m[i]) for m in more]) for i in range(4))
+        _, inverse = np.unique(keys, return_inverse=True)
+        c, mass, low = (np.bincount(inverse, weights=x) for x in (c, mass, low))
+        left = np.where(c > 0, 1 - mass / np.maximum(c, 1), 1.0)
+        full = left < 1e-12
+        left = np.where(full, 1 / (c + 1), left)
+        weight = np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0)
+        value = np.where(full, -weight, weight)[inverse]
+        value = np.where((value < 0) | (back > 0), value, 0.0)
+        cut = np.cumsum([0, *sizes])
+        return table([(b, b, WEIGHTS + k, bucket, join(pack(value[i:j]))) for b, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)])
 
     return run
 
 
-def _weigh(data: pa.Table) -> pa.Table:
-    """Backoff weights, negative where the seen mass has to make room; 1 for an unseen history."""
-    bucket = data["bucket"][0].as_py()
-    blocks, sizes, keys, more = _merged(data)
-    c, mass, low = (np.concatenate([unpack(m[i]) for m in more]) for i in range(3))
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    c = c[first].astype(float)
-    mass, low = np.bincount(inverse, weights=mass), np.bincount(inverse, weights=low)
-    left = np.where(c > 0, 1 - mass / np.maximum(c, 1), 1.0)
-    full = left < 1e-12
-    left = np.where(full, 1 / (c + 1), left)
-    weight = np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0)
-    value = np.where(full, -weight, weight)[inverse]
-    cut = np.cumsum([0, *sizes])
-    return table([(b, b, WEIGHTS, bucket, join(pack(value[i:j]))) for b, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)])
-
-
-def _score(one: Discount, two: Discount):
+def _score(order: int, discounts: list[Discount]):
     def run(data: pa.Table) -> pa.Table:
-        b = _of_block(data)
-        c = answers(data, UNIGRAMS)[0] >> 1
-        r = answers(data, BIGRAMS)[0] >> 1
-        weight = answers(data, WEIGHTS)[0]
-        _, h, w, pair = b.bigrams()
-        p1 = unigram(c, one)
-        room = np.where(weight[h] < 0, c[h] / (c[h] + 1.0), 1.0)
-        # of each distinct pair: its own probability, else its history's weight times the word's
-        p = np.where(r > 0, room * two(r) / np.maximum(c[h], 1), np.abs(weight[h]) * p1[w])
+        b = _of_block(data, order)
+        c = answers(data, COUNTS + 1)[0] >> 1
+        p = _probabilities(b, data, order, discounts)
+        one = discounts[0]
         base = np.log10((c + 0.5) / (one.tokens + 0.5 * (one.types + 1)))
-        n = len(b.uids)
-        return pa.table({"_uid": pa.array(b.uids), "held_out": pa.array(b.train == 0), "n_tokens": pa.array(b.lengths), "n_known": pa.array(b.add((c > 0)[b.tokens]).astype(np.int64)), "train_tokens": pa.array(np.full(n, one.tokens)), "base_score": pa.array(b.add(base[b.tokens])), "score": pa.array(b.add(np.log10(p)[pair]))})
+        n, word = len(b.uids), b.gram[1]
+        return pa.table({"_uid": pa.array(b.uids), "held_out": pa.array(b.train == 0), "n_tokens": pa.array(b.lengths), "n_known": pa.array(b.add((c > 0)[word]).astype(np.int64)), "train_tokens": pa.array(np.full(n, one.tokens)), "base_score": pa.array(b.add(base[word])), "score": pa.array(b.add(np.log10(p)[b.gram[order]]))})
 
     return run
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, order: int = ORDER, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``."""
     ws = Workspace(spark, "katz")
     base = documents_of(ws, docs)
     train = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 1, F.lit(True)).cast("int")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stream = ws.save(base.select("_uid", train.alias("t"), "_text").mapInArrow(_blocks(block), SCHEMA), "blocks")
+    size = stream.agg(F.sum(F.length("data"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     by = lambda df, f: df.groupBy("dest").applyInArrow(f, SCHEMA)
 
     def stat(df: DataFrame) -> Discount:
-        got = [unpack(split(r["data"])[0]) for r in df.where(F.col("kind") == STATS).select("data").toLocalIterator()]  # nine numbers a bucket
+        # nine numbers a bucket, of which there is one for BUCKET_BYTES of text
+        got = [unpack(split(r["data"])[0]) for r in df.where(F.col("kind") == STATS).select("data").toLocalIterator()]
         return Discount(np.sum(got, axis=0) if got else np.zeros(K + 3, np.int64))
 
-    one_ = ws.save(by(stream.mapInArrow(_ask_counts(UNIGRAMS, buckets), SCHEMA), _count(UNIGRAMS)), "unigrams")
-    one, ones = stat(one_), one_.where(F.col("kind") == UNIGRAMS)
-    two_ = ws.save(by(stream.mapInArrow(_ask_counts(BIGRAMS, buckets), SCHEMA), _count(BIGRAMS)), "bigrams")
-    two, twos = stat(two_), two_.where(F.col("kind") == BIGRAMS)
-    weights = ws.save(by(by(stream.union(ones).union(twos), _ask_weights(buckets, one, two)), _weigh), "weights")
+    known, discounts = stream, []
+    for k in range(1, order + 1):
+        counts = ws.save(by(stream.mapInArrow(_ask_counts(k, buckets), SCHEMA), _count(COUNTS + k)), f"counts-{k}")
+        discounts.append(stat(counts))
+        known = known.union(counts.where(F.col("kind") == COUNTS + k))
+    for k in range(1, order):
+        # a round needs the counts of up to k + 1 words and the weights before
+        weights = ws.save(by(by(known.where(F.col("kind") < WEIGHTS + k).where((F.col("kind") <= COUNTS + k + 1) | (F.col("kind") >= WEIGHTS)), _ask_weights(k, buckets, discounts)), _weigh(k)), f"weights-{k}")
+        known = known.union(weights)
     kinds = "_uid long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = stream.union(ones).union(twos).union(weights).groupBy("dest").applyInArrow(_score(one, two), kinds)
+    scored = ws.save(known.groupBy("dest").applyInArrow(_score(order, discounts), kinds), "scores")
     return base.select("_uid", F.col("_id").alias("doc_id")).join(scored, "_uid").drop("_uid")

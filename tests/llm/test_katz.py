@@ -8,9 +8,9 @@ import pytest
 from polescale.llm import katz
 
 
-def check(spark, rows, **more):
-    want = brute_katz.scores(rows)
-    got = {r.doc_id: r for r in katz.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()}
+def check(spark, rows, order=3, **more):
+    want = brute_katz.scores(rows, order)
+    got = {r.doc_id: r for r in katz.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), order=order, **more).collect()}
     assert got.keys() == want.keys()
     for d, (held, n, known, train, base, score) in want.items():
         r = got[d]
@@ -18,29 +18,46 @@ def check(spark, rows, **more):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
-def text(rng, n):
-    return " ".join("w" + str(int(rng.paretovariate(0.7)) % 400) for _ in range(n))
+def text(rng, n, alpha=0.7):
+    return " ".join("w" + str(int(rng.paretovariate(alpha)) % 400) for _ in range(n))
 
 
-@pytest.mark.parametrize("block", [50, 1_000_000])
-def test_against_dictionaries(spark, block):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_against_dictionaries(spark, order):
     rng = random.Random(1)
     rows = [(i, text(rng, rng.randrange(0, 120))) for i in range(150)] + [(900, None), (901, "  "), (902, "Only ONCE only")]
-    check(spark, rows, block=block)
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 150, 3)]  # copies: histories whose only word is seen often
+    rows += [(2000 + i, "again and again the same line") for i in range(12)]
+    check(spark, rows, order, block=50)
+    if order == 3:
+        check(spark, rows, order, block=50, bucket_bytes=64)
+        check(spark, rows, order)
 
 
 def test_tiny_and_empty(spark):
     check(spark, [(0, "a b a b"), (1, "a b c"), (2, None)])
+    check(spark, [(0, "a b"), (5, "")])
     assert katz.score_texts(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    rows = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2), (None, "b", 3)], "doc_id long, text string, kind int")
-    assert katz.score_texts(spark, rows).count() == 3
+    names = "kind int, dest int, block int, bucket int, data int, _uid string, score string"
+    rows = spark.createDataFrame([(1, "a b", *range(7)), (1, "a b", *range(7)), (None, "b", *range(7)), (None, None, *range(7))], f"doc_id long, text string, {names}")
+    assert katz.score_texts(spark, rows).count() == 4
 
 
-def test_histories_are_normalised():
+def test_very_long_text(spark):
+    rows = [(0, "a b c " * 100_000), (2, "a b d"), (5, "x")]
+    got = {r.doc_id: r for r in katz.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), block=1000).collect()}
+    want = brute_katz.scores(rows, 3)
+    assert all(got[d].n_tokens == w[1] and got[d].score == pytest.approx(w[5], rel=1e-9) for d, w in want.items())
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_histories_are_normalised(order):
     rng = random.Random(2)
-    _, _, p, one = brute_katz.model([(i, text(rng, 80)) for i in range(60)])
+    _, _, p, one = brute_katz.model([(i, text(rng, 80)) for i in range(60)], order)
     vocabulary = [*one, "never seen"]
-    for h in [*list(one)[:40], "never seen"]:
+    some = list(one)[:12]
+    for h in [("never seen",), *((w,) for w in some), *((v, w) for v in some for w in some[:4])]:
+        h = ((brute_katz.END,) * 2 + h)[-(order - 1) :]
         assert math.isclose(sum(p(w, h) for w in vocabulary), 1.0, rel_tol=1e-9)
 
 
