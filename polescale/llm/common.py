@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 WHITE = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Whether Spark deletes the shuffle files of a query as soon as the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a work table is written: Spark deletes a query's shuffle files as soon as it has ended, and Python gets texts in batches of a few MB.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,14 @@ def scratch():
 @contextmanager
 def freed_shuffles(spark: SparkSession):
     """Within it, each query's shuffle files go when the query ends, and not when the driver happens to collect its garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Workspace:

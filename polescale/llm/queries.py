@@ -18,10 +18,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths, so they stand in a made-up tree: folders of ten below folders of a hundred below the
+    source. The first document of each folder of ten is its LICENSE, the second of each hundred is that folder's COPYING."""
     from polescale.llm import licenses
 
-    docs = table(spark, sf_dir, "documents")
-    return licenses.scan(spark, docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")))
+    i = F.col("doc_id")
+    part = lambda c, n: F.concat(F.lit(c), F.floor(i / n).cast("string"))
+    name = F.when(i % 10 == 0, "LICENSE").otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    path = F.when(i % 100 == 1, F.concat_ws("/", "source", part("p", 100), F.lit("COPYING"))).otherwise(F.concat_ws("/", "source", part("p", 100), part("q", 10), name))
+    return licenses.scan(spark, table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +101,7 @@ def _url_sql() -> str:
 
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in u.RULES)
     hit = lambda terms: " + ".join(rf"CAST(regexp_matches(low, '(^|[^\p{{L}}\p{{N}}]){t}([^\p{{L}}\p{{N}}]|$)') AS BIGINT)" for t in terms)
-    return f"""WITH cut AS (SELECT page_id, coalesce(url, '') AS u, {_LOWER.format(x="coalesce(url, '')")} AS low FROM pages),
+    return f"""WITH cut AS (SELECT page_id, coalesce(url, '') AS u, {_LOWER.format(x="url_decode(coalesce(url, ''))")} AS low FROM pages),
  parts AS (SELECT page_id, low, {_LOWER.format(x="regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, {hit(u.STRICT)} AS strict_hits, {hit(u.SOFT)} AS soft_hits FROM cut),
  rules(h, p, v) AS (VALUES {rules}),
  fit AS (SELECT page_id, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1)
@@ -154,7 +159,7 @@ def _mix_sql(most: int = 3, seed: int = 10) -> str:
 
 
 def _license_sql() -> str:
-    """Own licences of all units; no document of the tables licenses a directory (none is named so, none is a template as a whole)."""
+    """Own licences of all units, then those of the folder or of the one above; no document of the tables is a template as a whole."""
     from polescale.llm import licenses as m
 
     idf, other, rows, _ = m.model(m.TEMPLATES, m.THRESHOLD)
@@ -171,35 +176,46 @@ def _license_sql() -> str:
  v AS (SELECT doc_id, unit, tf.word, tf * coalesce(idf, {other!r}) AS x FROM tf LEFT JOIN known ON tf.word = known.word),
  norms AS (SELECT unit, sqrt(sum(x * x)) AS n FROM v GROUP BY unit),
  dots AS (SELECT doc_id, unit, template, licence, sum(x * weight) AS d FROM v JOIN weights ON v.word = weights.word GROUP BY doc_id, unit, template, licence),
- best AS (SELECT doc_id, licence, round(d / n, 9) AS score FROM dots JOIN norms ON dots.unit = norms.unit WHERE round(d / n, 9) >= {m.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(d / n, 9) DESC, licence) = 1)
- SELECT d.doc_id, concat_ws('/', source, lang, concat(d.doc_id, '.txt')) AS path, licence, score, CASE WHEN licence IS NOT NULL THEN 'own' END AS origin, CAST(NULL AS VARCHAR) AS inherited_from FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id"""
+ best AS (SELECT doc_id, licence, round(d / n, 9) AS score FROM dots JOIN norms ON dots.unit = norms.unit WHERE round(d / n, 9) >= {m.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(d / n, 9) DESC, licence) = 1),
+ placed AS (SELECT doc_id, concat_ws('/', source, 'p' || (doc_id // 100)) AS above, CASE WHEN doc_id % 100 = 1 THEN concat_ws('/', source, 'p' || (doc_id // 100)) ELSE concat_ws('/', source, 'p' || (doc_id // 100), 'q' || (doc_id // 10)) END AS dir,
+  CASE WHEN doc_id % 100 = 1 THEN 'COPYING' WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END AS name FROM documents),
+ own AS (SELECT p.*, licence, score FROM placed p LEFT JOIN best b ON p.doc_id = b.doc_id),
+ grants AS (SELECT dir, licence, score FROM own WHERE licence IS NOT NULL AND name IN ('LICENSE', 'COPYING') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1)
+ SELECT o.doc_id, concat(o.dir, '/', o.name) AS path, coalesce(o.licence, g.licence, h.licence) AS licence, CASE WHEN o.licence IS NOT NULL THEN o.score WHEN g.licence IS NOT NULL THEN g.score ELSE h.score END AS score,
+  CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN coalesce(g.licence, h.licence) IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.licence IS NULL THEN coalesce(g.dir, h.dir) END AS inherited_from
+ FROM own o LEFT JOIN grants g ON o.dir = g.dir LEFT JOIN grants h ON o.above = h.dir"""
 
 
 def _discount_sql(name: str, counts: str) -> str:
-    """One row: Good-Turing ratios d1 to d5, whether they hold, and the absolute discount."""
+    """One row: Good-Turing ratios of the largest K that has them (null if none), and the absolute discount."""
     n = ", ".join(f"count(*) FILTER (c = {r})::DOUBLE AS n{r}" for r in range(1, 7))
-    d = ", ".join(f"(({r + 1} * n{r + 1}) / ({r} * n{r}) - x) / (1 - x) AS d{r}" for r in range(1, 6))
-    good = " AND ".join(f"d{r} > 0 AND d{r} < 1" for r in range(1, 6))
-    return f"""{name}_n AS (SELECT {n} FROM {counts}), {name}_x AS (SELECT *, 6 * n6 / nullif(n1, 0) AS x FROM {name}_n),
- {name}_d AS (SELECT *, {d} FROM {name}_x), {name} AS (SELECT *, coalesce(n6 > 0 AND x < 1 AND {good}, false) AS good, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS m FROM {name}_d)"""
+    ratio = lambda r, k: f"(({r + 1} * n{r + 1}) / ({r} * n{r}) - {k + 1} * n{k + 1} / n1) / (1 - {k + 1} * n{k + 1} / n1)"
+    lists = ", ".join(f"CASE WHEN {' AND '.join(f'n{r} > 0' for r in range(1, k + 2))} THEN CASE WHEN {k + 1} * n{k + 1} < n1 THEN [{', '.join(ratio(r, k) for r in range(1, k + 1))}] END END AS d{k}" for k in range(5, 1, -1))
+    good = lambda k: f"d{k} IS NOT NULL AND list_min(d{k}) > 0 AND list_max(d{k}) < 1"
+    pick = " ".join(f"WHEN {good(k)} THEN d{k}" for k in range(5, 1, -1))
+    return f"""{name}_n AS (SELECT {n} FROM {counts}), {name}_d AS (SELECT *, {lists} FROM {name}_n),
+ {name} AS (SELECT CASE {pick} END AS d, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS m FROM {name}_d)"""
 
 
 def _katz_sql() -> str:
-    disc = lambda c, d: f"CASE WHEN {d}.good THEN {c} * CASE {c} {' '.join(f'WHEN {r} THEN {d}.d{r}' for r in range(1, 6))} ELSE 1 END ELSE greatest({c} - {d}.m, 0) END"
+    """Of order 3: the ends stand twice before a text."""
+    disc = lambda c, d: f"CASE WHEN {d}.d IS NULL THEN greatest({c} - {d}.m, 0) ELSE {c} * coalesce({d}.d[{c}], 1) END"
+    weigh = "ch, 1 - mass / ch < 1e-12 AS filled, CASE WHEN 1 - mass / ch < 1e-12 THEN 1 / (ch + 1.0) ELSE 1 - mass / ch END / (1 - low) AS a"
     return f"""WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
  docs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 5 = 1 AS held, {_SPLIT.format(x=_LOWER.format(x="text"))} AS ws FROM documents, crc),
- tk AS (SELECT doc_id, held, unnest(list_append(ws, ' end')) AS w, unnest(list_prepend(' end', ws)) AS h FROM docs),
- one AS (SELECT w, count(*) AS c FROM tk WHERE NOT held GROUP BY w), two AS (SELECT h, w, count(*) AS c FROM tk WHERE NOT held GROUP BY h, w),
- s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM one), {_discount_sql("a", "one")}, {_discount_sql("b", "two")},
- p1 AS (SELECT w, c, ({disc("c", "a")}) / n AS p FROM one, a, s), unk AS (SELECT 1 - sum(p) AS u FROM p1),
- hist AS (SELECT h, sum({disc("two.c", "b")}) AS mass, sum(p1.p) AS low FROM two JOIN p1 ON two.w = p1.w, b GROUP BY h),
- back AS (SELECT h, c AS ch, 1 - mass / c AS rest, low FROM hist JOIN one ON h = w),
- pairs AS (SELECT DISTINCT h, w FROM tk),
- prob AS (SELECT x.h, x.w, CASE WHEN two.c > 0 THEN CASE WHEN rest < 1e-12 THEN ch / (ch + 1.0) ELSE 1 END * ({disc("two.c", "b")}) / ch
-  ELSE CASE WHEN ch IS NULL THEN 1 WHEN rest < 1e-12 THEN 1 / (ch + 1.0) / (1 - low) ELSE rest / (1 - low) END * coalesce(p1.p, u) END AS p, coalesce(p1.c, 0) AS c
-  FROM pairs x LEFT JOIN two ON x.h = two.h AND x.w = two.w LEFT JOIN back ON x.h = back.h LEFT JOIN p1 ON x.w = p1.w, b, unk)
- SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score, round(sum(log10(p)), 6) AS score
- FROM tk JOIN prob ON tk.h = prob.h AND tk.w = prob.w, s GROUP BY doc_id, held"""
+ tk AS (SELECT doc_id, held, unnest(list_append(ws, ' end')) AS w, unnest(list_prepend(' end', ws)) AS v, unnest(list_resize(list_concat([' end', ' end'], ws), len(ws) + 1)) AS u FROM docs),
+ one AS (SELECT w, count(*) AS c FROM tk WHERE NOT held GROUP BY w), two AS (SELECT v, w, count(*) AS c FROM tk WHERE NOT held GROUP BY v, w), three AS (SELECT u, v, w, count(*) AS c FROM tk WHERE NOT held GROUP BY u, v, w),
+ s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM one), {_discount_sql("e", "one")}, {_discount_sql("f", "two")}, {_discount_sql("g", "three")},
+ p1 AS (SELECT w, c, ({disc("c", "e")}) / n AS p FROM one, e, s), unk AS (SELECT 1 - sum(p) AS rest FROM p1),
+ h2 AS (SELECT v, sum(two.c) AS ch, sum({disc("two.c", "f")}) AS mass, sum(p1.p) AS low FROM two JOIN p1 ON two.w = p1.w, f GROUP BY v), b2 AS (SELECT v, {weigh} FROM h2),
+ p2 AS (SELECT two.v, two.w, CASE WHEN filled THEN ch / (ch + 1.0) ELSE 1 END * ({disc("two.c", "f")}) / ch AS p FROM two JOIN b2 ON two.v = b2.v, f),
+ h3 AS (SELECT u, three.v, sum(three.c) AS ch, sum({disc("three.c", "g")}) AS mass, sum(p2.p) AS low FROM three JOIN p2 ON three.v = p2.v AND three.w = p2.w, g GROUP BY u, three.v), b3 AS (SELECT u, v, {weigh} FROM h3),
+ p3 AS (SELECT three.u, three.v, three.w, CASE WHEN filled THEN ch / (ch + 1.0) ELSE 1 END * ({disc("three.c", "g")}) / ch AS p FROM three JOIN b3 ON three.u = b3.u AND three.v = b3.v, g),
+ grams AS (SELECT DISTINCT u, v, w FROM tk),
+ prob AS (SELECT x.u, x.v, x.w, coalesce(p3.p, coalesce(b3.a, 1) * coalesce(p2.p, coalesce(b2.a, 1) * coalesce(p1.p, unk.rest))) AS p, coalesce(p1.c, 0) AS c
+  FROM grams x LEFT JOIN p3 ON x.u = p3.u AND x.v = p3.v AND x.w = p3.w LEFT JOIN b3 ON x.u = b3.u AND x.v = b3.v LEFT JOIN p2 ON x.v = p2.v AND x.w = p2.w LEFT JOIN b2 ON x.v = b2.v LEFT JOIN p1 ON x.w = p1.w, unk)
+ SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 0.5) / (n + 0.5 * (s.v + 1)))), 6) AS base_score, round(sum(log10(p)), 6) AS score
+ FROM tk JOIN prob ON tk.u = prob.u AND tk.v = prob.v AND tk.w = prob.w, s GROUP BY doc_id, held"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -133,15 +133,18 @@ class PrefixCounter:
         last: list[bytes | None] = [None]
         out = [0]
         tokens, fits, longest = self.tokens, self.fits, self.longest
+        start = 0  # of the last token so far: often the next one is that with a byte more
         for i in range(1, len(piece) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = piece[j:i]
-                if t in tokens and (j == 0 or fits(last[j], t)):
-                    last.append(t)
-                    out.append(out[j] + 1)
-                    break
-            else:
-                raise ValueError(f"no encoding ends at byte {i} of {piece[:80]!r}")
+            t = piece[start:i]
+            if t not in tokens or start and not fits(last[start], t):
+                for start in range(i - longest if i > longest else 0, i):
+                    t = piece[start:i]
+                    if t in tokens and (start == 0 or fits(last[start], t)):
+                        break
+                else:
+                    raise ValueError(f"no encoding ends at byte {i} of {piece[:80]!r}")
+            last.append(t)
+            out.append(out[start] + 1)
         return out
 
     def runs(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -156,15 +159,32 @@ class PrefixCounter:
     def prefixes(self, piece: str) -> np.ndarray:
         """Steps of the prefixes of one piece (int32)."""
         raw = piece.encode()
-        count = np.array(self.counts(raw), np.int64)
-        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # half a contraction is an apostrophe and letters
-            for k in range(2, len(piece)):
-                count[len(piece[:k].encode())] = sum(int(self.steps_of.total(p)) for p in self.piece.findall(piece[:k]))
+        count = self._corrected(piece, self.counts(raw))
         ends = np.append(np.frombuffer(raw, np.uint8)[1:] & 0xC0 != 0x80, True)
         out = np.full(len(raw), INSIDE, np.int32)
-        out[ends] = np.diff(count[1:][ends], prepend=0)
+        out[ends] = np.diff(np.array(count, np.int64)[1:][ends], prepend=0)
         return out
 
+    def _corrected(self, piece: str, count: list[int]) -> list[int]:
+        if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():  # half a contraction is an apostrophe and letters
+            for k in range(2, len(piece)):
+                count[len(piece[:k].encode())] = sum(self.steps_of.total(p) for p in self.piece.findall(piece[:k]))
+        return count
+
+    def short(self, piece: str, raw: bytes) -> bytes:
+        """Steps of a piece of fewer than 128 bytes, where none needs more than a byte."""
+        count = self._corrected(piece, self.counts(raw))
+        if len(raw) == len(piece):
+            return bytes([(b - a) & 255 for a, b in zip(count, count[1:], strict=False)])
+        out, last = bytearray(), 0
+        for i, c in enumerate(count[1:], 1):
+            if i < len(raw) and raw[i] & 0xC0 == 0x80:
+                out.append(INSIDE & 255)
+            else:
+                out.append((c - last) & 255)
+                last = c
+        return bytes(out)
+
     def _regained(self, run: str) -> int:
         """Tokens that a run of white space takes at the end of a text, less those before a word up to the same place."""
         last = self.steps_of.steps(run[-1])
@@ -238,10 +258,14 @@ class _Steps(dict):
         self.totals: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> bytes | None:
-        steps = self.owner.prefixes(piece)
-        own = packed(steps)
-        own = own if len(own) == len(steps) else None
-        if len(steps) <= CACHED:
+        raw = piece.encode()
+        if len(raw) < 128:
+            own = self.owner.short(piece, raw)
+        else:
+            steps = self.owner.prefixes(piece)
+            own = packed(steps)
+            own = own if len(own) == len(steps) else None
+        if len(raw) <= CACHED:
             if len(self) >= MOST_CACHED:
                 self.clear()
             self[piece] = own

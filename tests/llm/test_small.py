@@ -20,11 +20,14 @@ def test_urls(spark):
         "x://b.net/fr": ("b.net", "/fr", None, "allow"),
         "x://a.com?q": ("a.com", "", None, "allow"),
         "http://casino.example.org/": ("casino.example.org", "/", None, "block"),
-        "http://casinos.example.org/": ("casinos.example.org", "/", None, "allow"),
+        "http://casinox.example.org/": ("casinox.example.org", "/", None, "allow"),
         "http://free.example.org/": ("free.example.org", "/", None, "allow"),
         "http://free-free.example.org/": ("free-free.example.org", "/", None, "allow"),
         "http://free-bets.example.org/": ("free-bets.example.org", "/", None, "block"),
         "no scheme casino": ("", "", None, "block"),
+        "http://a.example.org/c%61sino": ("a.example.org", "/c%61sino", None, "block"),
+        "http://a.example.org/%zz%": ("a.example.org", "/%zz%", None, "allow"),
+        "x://" + "a/" * 200_000 + "porn": ("a", "/" + "a/" * 199_999 + "porn", None, "block"),
         "a://b://c/d": ("b:", "//c/d", None, "allow"),
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
@@ -35,6 +38,15 @@ def test_urls(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_terms_and_ties(spark):
+    rows = spark.createDataFrame([(1, "http://x.org/alpha-beta", "r"), (None, "http://x.org/Gamma", "r"), (None, "http://x.org/Gamma", "r"), (3, "http://x.org/alpha", "r")], "page_id long, url string, rule string")
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in urlfilter.filter_urls(rows, [], {"alpha": 0.4, "beta": 0.6, "gamma": 1.0}).collect())
+    assert got == [("1", None, "block"), ("3", None, "allow"), ("None", None, "block"), ("None", None, "block")]
+    both = [("x.org", "/al", "block"), ("org", "/alpha", "allow"), ("x.org", "/al", "allow")]
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(rows, both, {}).collect()}[3] == ("org/alpha", "allow")
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(rows, both[::2], {}).collect()}[3] == ("x.org/al", "block")
+
+
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 POOL = " \n\t\x1c\x85  'sdtlmrveabcXYZ019٠½²éßあ漢🙂́!?.,-_<|endoftext|>"
 
