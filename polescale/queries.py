@@ -2,7 +2,8 @@
 
 The driver's tables stand in for a corpus: ``documents`` are the texts,
 ``labels.quality`` 0 / 1 the minus / plus pole, ``doc_id % 5`` the split
-(0 hold-out, 1 inversions, else seeds); of embeddings, labels 0 to 3 are the
+(0 hold-out, 1 inversions, else seeds; unlabelled texts are hold-outs without
+a gold pole, and never seeds); of embeddings, labels 0 to 3 are the
 poles' seeds and 4 to 9 chunks of pseudo-documents ``vec_id % 20``;
 conversations are texts of several paragraphs.
 """
@@ -23,8 +24,6 @@ from polescale.operators import wordscores as ws
 
 MINUS, PLUS = "hors_sol", "terrestre"
 ACCURACY_DRAWS = 1000
-#: Draws of the DuckDB SQL only, which is too slow for the queries' own (config.TEXT_CI_DRAWS, WORD_CI_DRAWS).
-TEXT_DRAWS, WORD_DRAWS = 50, 40
 SEED = 42
 NUDGE = 1e-12
 
@@ -42,10 +41,10 @@ def r6(c: str):
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    j = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    j = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     s = F.col("doc_id")
-    pole = F.when(F.col("quality") == 0, MINUS).otherwise(PLUS)
-    category = F.when(s % 5 == 0, "holdout").when(s % 5 == 1, "inversion").otherwise("seed")
+    pole = F.when(F.col("quality") == 0, MINUS).when(F.col("quality").isNotNull(), PLUS)
+    category = F.when(F.col("quality").isNull() | (s % 5 == 0), "holdout").when(s % 5 == 1, "inversion").otherwise("seed")
     j = j.select(s.alias("slug"), F.col("text").alias("body"), pole.alias("pole"), category.alias("category"))
     gold = F.when(F.col("category") == "seed", F.col("pole")).when(F.col("slug") % 13 == 0, None).when(F.col("slug") % 11 == 0, "local").otherwise(F.col("pole"))
     return j.withColumn("gold_pole", gold)
@@ -275,11 +274,12 @@ def hypotheses(spark: SparkSession) -> DataFrame:
 
 def stance_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Each turn of a conversation is a chunk."""
-    return t(spark, d, "conversations").where("turn >= 1").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
 
 
 def talk_docs(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    """Conversations, and a text -1 without any turn."""
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().union(spark.range(-1, 0))
 
 
 def entailments(spark: SparkSession, d: str) -> DataFrame:
@@ -368,8 +368,8 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 # --- DuckDB -------------------------------------------------------------------
 
 _TEXTS = f"""texts AS (SELECT slug, body, pole, category, CASE WHEN category = 'seed' THEN pole WHEN slug % 13 = 0 THEN NULL WHEN slug % 11 = 0 THEN 'local' ELSE pole END AS gold_pole
- FROM (SELECT d.doc_id AS slug, d.text AS body, CASE WHEN l.quality = 0 THEN '{MINUS}' ELSE '{PLUS}' END AS pole,
- CASE d.doc_id % 5 WHEN 0 THEN 'holdout' WHEN 1 THEN 'inversion' ELSE 'seed' END AS category FROM documents d JOIN labels l ON d.doc_id = l.doc_id))"""
+ FROM (SELECT d.doc_id AS slug, d.text AS body, CASE WHEN l.quality = 0 THEN '{MINUS}' WHEN l.quality IS NOT NULL THEN '{PLUS}' END AS pole,
+ CASE WHEN l.quality IS NULL OR d.doc_id % 5 = 0 THEN 'holdout' WHEN d.doc_id % 5 = 1 THEN 'inversion' ELSE 'seed' END AS category FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id))"""
 _TOK = r"""lists AS (SELECT slug, pole, category, regexp_extract_all(lower(coalesce(body, '')), '(\p{L}{2,})', 1) AS ws FROM texts),
 tok AS (SELECT slug, pole, category, unnest(ws) AS word, unnest(range(len(ws))) AS tok_id FROM lists)"""
 _COUNTS = "counts AS (SELECT slug, pole, word, 'X' AS pos, count(*) AS n FROM tok WHERE category = 'seed' GROUP BY slug, pole, word)"
@@ -440,7 +440,7 @@ for _o, _s, _w in HYPOTHESES:
     _seen[_o, _s] += 1
 _HYP = _HYP.format(", ".join(_rows))
 _STANCE = rf"""{_HYP},
-turns AS (SELECT conv_id AS doc_id, turn AS chunk_id, regexp_extract_all(lower(text), '(\p{{L}}{{2,}})', 1) AS ws FROM conversations WHERE turn >= 1),
+turns AS (SELECT conv_id AS doc_id, turn AS chunk_id, regexp_extract_all(lower(text), '(\p{{L}}{{2,}})', 1) AS ws FROM conversations),
 good AS (SELECT * FROM turns WHERE (doc_id + chunk_id) % 11 <> 0),
 ent AS (SELECT g.doc_id, g.chunk_id, h.pole_ord, h.pole, h.polarity, h.idx, h.hypothesis, least(1.0, coalesce(len(list_filter(g.ws, lambda w: w = h.hypothesis)) * 20.0 / nullif(len(g.ws), 0), 0.0)) AS p FROM good g CROSS JOIN hyp h),
 answered AS (SELECT doc_id, chunk_id FROM ent GROUP BY doc_id, chunk_id HAVING max(p) > 0),
@@ -448,7 +448,7 @@ best AS (SELECT e.doc_id, e.chunk_id, pole_ord, pole, polarity, max(p) AS p FROM
 side AS (SELECT doc_id, pole_ord, pole, polarity, avg(p) AS m FROM best GROUP BY doc_id, pole_ord, pole, polarity),
 both_ AS (SELECT doc_id, pole_ord, max(CASE WHEN polarity = 'pro' THEN m END) AS a, max(CASE WHEN polarity = 'contra' THEN m END) AS b FROM side GROUP BY doc_id, pole_ord),
 stance AS (SELECT d.doc_id, h.pole_ord, h.pole, coalesce(b.a, 0.0) AS pro_mean, coalesce(b.b, 0.0) AS contra_mean, greatest(-1.0, least(1.0, coalesce(b.a, 0.0) - coalesce(b.b, 0.0))) AS stance, coalesce(c.n, 0) AS n_chunks, CASE WHEN c.n IS NULL THEN 'empty_text' END AS error
- FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d CROSS JOIN (SELECT DISTINCT pole_ord, pole FROM hyp) h LEFT JOIN both_ b ON d.doc_id = b.doc_id AND h.pole_ord = b.pole_ord LEFT JOIN (SELECT doc_id, count(*) AS n FROM turns GROUP BY doc_id) c ON d.doc_id = c.doc_id)"""
+ FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations UNION ALL SELECT -1) d CROSS JOIN (SELECT DISTINCT pole_ord, pole FROM hyp) h LEFT JOIN both_ b ON d.doc_id = b.doc_id AND h.pole_ord = b.pole_ord LEFT JOIN (SELECT doc_id, count(*) AS n FROM turns GROUP BY doc_id) c ON d.doc_id = c.doc_id)"""
 _BLEND = f"""{_GEOMETRY}, {_STANCE},
 joined AS (SELECT c.doc_id, c.pole_ord, c.pole, c.score, s.stance AS st, count(s.stance) OVER w = 0 OR count(s.error) OVER w > 0 AS pure, greatest(0.0, c.score + coalesce(s.stance, 0.0)) AS raw FROM cos c LEFT JOIN stance s ON c.doc_id = s.doc_id AND c.pole = s.pole WINDOW w AS (PARTITION BY c.doc_id)),
 gam AS (SELECT doc_id, pole_ord, pole, CASE WHEN pure THEN score WHEN sum(raw) OVER w <= 0 THEN 1.0 / count(*) OVER w ELSE raw / nullif(sum(raw) OVER w, 0) END AS score, CASE WHEN NOT pure THEN score END AS cosine_score, CASE WHEN NOT pure THEN coalesce(st, 0.0) END AS stance_score FROM joined WINDOW w AS (PARTITION BY doc_id))"""
@@ -487,7 +487,6 @@ ORACLE_SQL = {
     "fold_labels": f"{_CORPUS} SELECT * FROM corpus",
     "seed_pool": f"{_CORPUS} SELECT slug, expected_pole FROM corpus WHERE use_for_seeds",
     "eval_pool": f"{_CORPUS} SELECT slug, expected_pole, role FROM corpus WHERE role = 'INVERSION-HOLD' UNION ALL SELECT -item_id - 1, NULL, 'TEST' FROM benchmark",
-    "comparison_table": f"{_GRADED} SELECT slug, category, coalesce(gold_pole, '') AS gold_pole, coalesce(predicted_pole, '') AS predicted_pole, round(axis_score, 6) AS axis_score, '' AS axis_score_ci_low, '' AS axis_score_ci_high, 'False' AS sign_robust, n_hits AS n_lexicon_hits, n_tokens, CASE WHEN correct THEN '1' WHEN NOT correct THEN '0' ELSE '' END AS on_axis_correct, 'lbg' AS scoring FROM graded",
     "segment_strategy": f"WITH {_segments('documents', 'doc_id')} SELECT doc_id, strategy, CAST(len(segments) AS BIGINT) AS n_segments FROM seg",
     "paragraph_segments": f"WITH talks AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id), {_segments('talks', 'conv_id')} SELECT conv_id, strategy, seg_id, array_to_string(parts, ' ') AS segment FROM flat",
     "single_newline_segments": f"WITH {_segments('documents', 'doc_id')} SELECT doc_id, seg_id, array_to_string(parts, ' ') AS segment FROM flat WHERE strategy = 'single_newline'",
@@ -508,18 +507,15 @@ ORACLE_SQL = {
     "score_block": f"{_BLEND} SELECT doc_id, arg_max(pole, struct_pack(s := score, o := -pole_ord)) AS dominant_pole, {', '.join(f"round(max(CASE WHEN pole = '{p}' THEN score END), 6) AS {p}" for p in POLES)} FROM gam GROUP BY doc_id",
     "accuracy_ci": f"{_boot('CAST(correct AS DOUBLE)')} SELECT point, mean, ci_lo, ci_hi, n, CAST({ACCURACY_DRAWS} AS BIGINT) AS n_iter, CAST({SEED} AS BIGINT) AS seed FROM got, size",
     "paired_diff_ci": f"{_boot('CAST(correct AS DOUBLE) - CAST(theirs AS DOUBLE)')} SELECT point AS diff, mean, ci_lo, ci_hi, n, CAST({ACCURACY_DRAWS} AS BIGINT) AS n_iter, CAST({SEED} AS BIGINT) AS seed, ci_lo <= 0 AND ci_hi >= 0 AS inconclusive FROM got, size",
-    "text_ci": f"""{_BASE}, h AS (SELECT t.slug, list(x.score ORDER BY tok_id) AS s FROM tok t JOIN lbg x ON t.word = x.word WHERE t.category = 'holdout' GROUP BY t.slug),
- m AS (SELECT slug, list_avg(list_transform(range(len(s)), lambda i: s[{_draw("b", "i", SEED, "len(s)")} + 1])) AS a FROM h, (SELECT unnest(range({TEXT_DRAWS})) AS b))
- SELECT slug, round(quantile_cont(a, {_LO}), 6) AS ci_low, round(quantile_cont(a, {_HI}), 6) AS ci_high FROM m GROUP BY slug""",
     "word_ci": f"""{_BASE}, placed AS (SELECT slug, pole, row_number() OVER (PARTITION BY pole ORDER BY slug) - 1 AS i, count(*) OVER (PARTITION BY pole) AS n FROM texts WHERE category = 'seed'),
- drawn AS (SELECT b, pole, {_draw("concat(pole, '/', b)", "i", 12345, "n")} AS i FROM placed, (SELECT unnest(range({WORD_DRAWS})) AS b)),
+ drawn AS (SELECT b, pole, {_draw("concat(pole, '/', b)", "i", 12345, "n")} AS i FROM placed, (SELECT unnest(range({WORD_CI_DRAWS})) AS b)),
  times AS (SELECT d.b, d.pole, p.slug, count(*) AS k FROM drawn d JOIN placed p ON d.pole = p.pole AND d.i = p.i GROUP BY d.b, d.pole, p.slug),
  tot AS (SELECT b, sum(CASE WHEN t.pole = '{MINUS}' THEN k * len(ws) ELSE 0 END) AS am, sum(CASE WHEN t.pole = '{PLUS}' THEN k * len(ws) ELSE 0 END) AS ap FROM times t JOIN lists l ON t.slug = l.slug GROUP BY b),
  per AS (SELECT t.b, c.word, c.pos, sum(CASE WHEN c.pole = '{MINUS}' THEN k * n ELSE 0 END) AS m, sum(CASE WHEN c.pole = '{PLUS}' THEN k * n ELSE 0 END) AS p FROM counts c JOIN times t ON c.slug = t.slug WHERE c.word IN (SELECT word FROM freqs WHERE n_docs >= 3) GROUP BY t.b, c.word, c.pos),
  s AS (SELECT word, pos, {_RATE.format(p="p", m="m", ap="ap", am="am")} AS s FROM per JOIN tot ON per.b = tot.b)
  SELECT word, pos, round(quantile_cont(s, {_LO}), 6) AS ci_low, round(quantile_cont(s, {_HI}), 6) AS ci_high FROM s WHERE s IS NOT NULL GROUP BY word, pos""",
-    "stream_scores": f"""{_BASE}, lex AS (SELECT * FROM lbg WHERE n_docs >= 3), {_scored("lex")} SELECT s.slug, round(axis_score, 6) AS axis_score, n_hits, n_tokens FROM scored s JOIN texts t ON s.slug = t.slug WHERE category = 'holdout'""",
+    "stream_scores": f"{_BASE}, {_scored('lbg')} SELECT slug, round(axis_score, 6) AS axis_score, n_hits, n_tokens FROM scored",
 }
 
 _ROUND = re.compile(r"round\(((?:quantile_cont|avg|max)\((?:[^()]|\([^()]*\))*\)|[\w.]+), 6\)")
-ORACLE_SQL = {k: v if k == "comparison_table" else _ROUND.sub(rf"round(\1 + {NUDGE}, 6)", v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: _ROUND.sub(rf"round(\1 + {NUDGE}, 6)", v) for k, v in ORACLE_SQL.items()}
