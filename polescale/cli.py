@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -19,9 +20,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--gamma", type=float, default=GAMMA)
     s.add_argument("--no-stance", action="store_true")
     s.add_argument("--json", action="store_true")
+    s.add_argument("--stand-in", action="store_true", help="deterministic stand-ins instead of pretrained models")
     for name in ("calibrate", "compare"):
         c = sub.add_parser(name)
-        c.add_argument("--root", default="/data/corpus")
+        c.add_argument("--root", default=os.environ.get("POLESCALE_ROOT", "/data/corpus"))
         c.add_argument("--axis", required=True)
         c.add_argument("--dry-run", action="store_true")
         if name == "calibrate":
@@ -45,11 +47,19 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("polescale").getOrCreate()
     if a.command == "score":
-        from polescale.plans.providers import hashed_embedder, overlap_entailment
-        from polescale.plans.score import score
+        from polescale.plans import models, providers
+        from polescale.plans.score import score_payload
         from polescale.sources.corpus import direct
 
-        row = score(spark, direct(spark, text), hashed_embedder(), overlap_entailment(), gamma=a.gamma, use_stance=not a.no_stance).first()
+        wanted = ["embedder"] if a.no_stance else ["embedder", "entailment"]
+        missing = [models.PACKAGES[k] for k in wanted if not models.installed(k)]
+        if missing and not a.stand_in:
+            print(f"not installed: {', '.join(missing)}; scores below come from stand-ins and mean nothing", file=sys.stderr)
+        if missing or a.stand_in:
+            embedder, entailment, name = providers.hashed_embedder(), providers.overlap_entailment(), "stand-in"
+        else:
+            embedder, entailment, name = models.embedder(), models.entailment(), models.ENTAILMENT
+        row = score_payload(spark, direct(spark, text), embedder, None if a.no_stance else entailment, gamma=a.gamma, use_stance=not a.no_stance, model=name).first()
         if a.json:
             print(json.dumps(row.asDict(True), ensure_ascii=False))
         else:

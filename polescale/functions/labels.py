@@ -20,7 +20,7 @@ def fold_pole_or_none(raw: Column) -> Column:
 
 def fold_pole(raw: Column) -> Column:
     """As above, but an unknown or missing label is an error."""
-    return F.coalesce(fold_pole_or_none(raw), F.raise_error(F.concat(F.lit("Unknown attractor label: "), F.coalesce(raw, F.lit("null")))).cast("string"))
+    return F.coalesce(fold_pole_or_none(raw), F.raise_error(F.concat(F.lit("no pole is named "), F.coalesce(raw, F.lit("null")))).cast("string"))
 
 
 def role(raw: Column) -> Column:

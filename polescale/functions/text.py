@@ -78,21 +78,29 @@ def segment(text: Column, sentence_split=sentences) -> Column:
 def pack(parts: Column, target: int = CHUNK_WORDS) -> Column:
     """Greedy packing of sentences to chunks of at most ``target`` words.
 
-    The buffer is flushed when the next sentence would pass the target; a
-    longer sentence is a chunk of its own. Blank sentences are skipped.
+    A chunk ends when the next sentence would pass the target; a longer
+    sentence is a chunk of its own. Blank sentences are skipped. A first pass
+    numbers each sentence's chunk from its words alone, so that no pass
+    carries texts along; then each chunk's sentences, a slice, are joined.
     """
-    join = lambda b: F.array_join(b, " ")
-    none = F.array().cast("array<string>")
     sized = F.filter(F.transform(not_blank(parts), lambda s: F.struct(s.alias("t"), n_words(s).alias("n"))), lambda s: s["n"] > 0)
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (F.size(acc["buf"]) > 0) & (acc["n"] + s["n"] > target)
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(join(acc["buf"]))).alias("done"), F.array(s["t"]).alias("buf"), s["n"].alias("n"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.concat(acc["buf"], F.array(s["t"])).alias("buf"), (acc["n"] + s["n"]).alias("n"))
-        )
+    def starts(xs: Column) -> Column:
+        """Places of the sentences that begin a chunk."""
+
+        def step(acc: Column, n: Column) -> Column:
+            full = (acc["k"] == 0) | (acc["n"] + n > target)
+            return F.struct(F.when(full, F.concat(acc["at"], F.array(acc["k"]))).otherwise(acc["at"]).alias("at"), (acc["k"] + 1).alias("k"), F.when(full, n).otherwise(acc["n"] + n).alias("n"))
+
+        none = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+        return F.aggregate(F.transform(xs, lambda s: s["n"]), none, step, lambda a: a["at"])
+
+    def cut(xs: Column, at: Column) -> Column:
+        texts = F.transform(xs, lambda s: s["t"])
+        end = lambda i: F.coalesce(F.get(at, i + 1), F.size(xs))
+        return let(texts, lambda t: F.transform(at, lambda a, i: F.array_join(F.slice(t, a + 1, end(i) - a), " ")))
 
-    start = F.struct(none.alias("done"), none.alias("buf"), F.lit(0).alias("n"))
-    return F.aggregate(sized, start, step, lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["done"], F.array(join(a["buf"])))).otherwise(a["done"]))
+    return let(sized, lambda xs: let(starts(xs), lambda at: cut(xs, at)))
 
 
 def word_slices(text: Column, target: int = CHUNK_WORDS) -> Column:
@@ -102,9 +110,10 @@ def word_slices(text: Column, target: int = CHUNK_WORDS) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<string>")))
 
 
-def chunks(text: Column, target: int = CHUNK_WORDS) -> Column:
-    """``array<string>``: all segments' chunks in order."""
-    return let(segment(text)["segments"], lambda segs: F.flatten(F.transform(segs, lambda s: pack(s, target))))
+def chunks(text: Column, target: int = CHUNK_WORDS, sentence_split=sentences) -> Column:
+    """``array<string>``: all segments' chunks in order; fixed slices of a text in which the splitter finds no sentence."""
+    packed = let(segment(text, sentence_split)["segments"], lambda segs: F.flatten(F.transform(segs, lambda s: pack(s, target))))
+    return let(packed, lambda p: F.when(F.size(p) > 0, p).otherwise(word_slices(text, target)))
 
 
 def tokens(text: Column) -> Column:

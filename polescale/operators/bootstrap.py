@@ -52,13 +52,13 @@ def accuracy_ci(spark: SparkSession, rows: DataFrame, order: str = "slug", value
 
 
 def paired_diff_ci(spark: SparkSession, rows: DataFrame, a: str, b: str, order: str = "slug", draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
-    """One row for the accuracy difference a - b on the same texts; inconclusive if the interval holds 0."""
-    p = _places(rows.select(order, (F.col(a).cast("double") - F.col(b).cast("double")).alias("v")), order)
+    """One row for the accuracies of a and b on the same texts and their difference a - b; inconclusive if the interval holds 0."""
+    p = _places(rows.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).withColumn("v", F.col("a") - F.col("b")), order)
     each = accuracy_draws(spark, p, draws, seed).join(F.broadcast(p.select("_i", "v")), "_i").groupBy("b").agg(F.avg("v").alias("a"))
     lo, hi = _interval("a")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    j = p.agg(F.avg("v").alias("point"), F.count(F.lit(1)).alias("n")).join(each.agg(F.avg("a").alias("mean"), lo.alias("lo"), hi.alias("hi")))
-    j = j.select(zero(F.col("point")).alias("diff"), zero(F.col("mean")).alias("mean"), zero(F.col("lo")).alias("ci_lo"), zero(F.col("hi")).alias("ci_hi"), "n", F.lit(draws).cast("long").alias("n_iter"), F.lit(seed).cast("long").alias("seed"))
+    j = p.agg(F.avg("v").alias("point"), F.avg("a").alias("pa"), F.avg("b").alias("pb"), F.count(F.lit(1)).alias("n")).join(each.agg(F.avg("a").alias("mean"), lo.alias("lo"), hi.alias("hi")))
+    j = j.select(zero(F.col("pa")).alias("point_a"), zero(F.col("pb")).alias("point_b"), zero(F.col("point")).alias("diff"), zero(F.col("mean")).alias("mean"), zero(F.col("lo")).alias("ci_lo"), zero(F.col("hi")).alias("ci_hi"), "n", F.lit(draws).cast("long").alias("n_iter"), F.lit(seed).cast("long").alias("seed"))
     return j.withColumn("inconclusive", (F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0))
 
 
@@ -83,10 +83,11 @@ def paired_diff_ci_numpy(a: list, b: list, draws: int = TEXT_CI_DRAWS, seed: int
         raise ValueError("both methods must be graded on the same texts")
     v = np.asarray([_truth(x) - _truth(y) for x, y in zip(a, b, strict=True)], float)
     if not len(v):
-        return {"diff": 0.0, "mean": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "n": 0, "n_iter": draws, "seed": seed, "inconclusive": True}
+        return {"point_a": 0.0, "point_b": 0.0, "diff": 0.0, "mean": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "n": 0, "n_iter": draws, "seed": seed, "inconclusive": True}
     m = numpy_means(v, draws, seed)
     lo, hi = np.percentile(m, CI_PERCENTILES)
-    return {"diff": float(v.mean()), "mean": float(m.mean()), "ci_lo": float(lo), "ci_hi": float(hi), "n": len(v), "n_iter": draws, "seed": seed, "inconclusive": bool(lo <= 0 <= hi)}
+    own = [float(np.mean([_truth(x) for x in xs])) for xs in (a, b)]
+    return {"point_a": own[0], "point_b": own[1], "diff": float(v.mean()), "mean": float(m.mean()), "ci_lo": float(lo), "ci_hi": float(hi), "n": len(v), "n_iter": draws, "seed": seed, "inconclusive": bool(lo <= 0 <= hi)}
 
 
 def _truth(x) -> float:

@@ -14,7 +14,11 @@ from polescale.operators import bootstrap, wordscores
 from polescale.sources import corpus, tables
 
 log = logging.getLogger(__name__)
-SCORINGS = ("lbg", "lowe")
+#: Where a text's score comes from, by scoring.
+SCORINGS = {
+    "lbg": "lbg: mean of the lexicon's stored word scores in [-1, 1], reference scores weighted by relative frequency",
+    "lowe": "lowe: mean of smoothed log-odds of each word between the poles, computed anew from the lexicon's counts; not bounded",
+}
 
 
 def category_texts(root: DataFrame, holdout: DataFrame | None, minus: str, plus: str, book: DataFrame | None = None, book_pole: str | None = None) -> DataFrame:
@@ -52,7 +56,7 @@ def report(rows: DataFrame, axis: str, scoring: str, predictions: DataFrame | No
     name = lambda p: LABELS.get(p, p) if p else "—"
     rows = rows.select("slug", "category", "gold_pole", "predicted_pole", "axis_score", "n_hits", "on_axis", "correct").persist()
     acc = {r["category"]: (r["n_correct"], r["n_graded"]) for r in ax.accuracy_by_category(rows).collect()}
-    out = [f"# Axis {name(minus)} – {name(plus)}", "", f"Scoring: {scoring}.", "", "| Texts | Correct of gradable |", "|---|---|"]
+    out = [f"# Axis {name(minus)} – {name(plus)}", "", f"Scoring: {SCORINGS[scoring]}.", "", "| Texts | Correct of gradable |", "|---|---|"]
     out += [f"| {c} | {share(*acc.get(c, (0, 0)))} |" for c in ("seed", "holdout", "inversion", "oracle") if c in acc or c in ("seed", "holdout")]
     out += ["", "## Seeds by pole", "", "| Pole | Texts | Correct | Undecided |", "|---|---|---|---|"]
     by = {r["gold_pole"]: r for r in ax.confusion(rows).collect()}
@@ -72,7 +76,9 @@ def report(rows: DataFrame, axis: str, scoring: str, predictions: DataFrame | No
         other = f"{name(r['other_pole'])} | " if predictions is not None else ""
         out.append(f"| {r['slug']} | {name(r['gold_pole'])} | {name(r['predicted_pole'])} | {other}{r['axis_score']:+.3f} | {r['n_hits']} |")
     for r in rows.where("category = 'oracle'").toLocalIterator():
-        out += ["", "## Reference book", "", f"{r['slug']}: predicted {name(r['predicted_pole'])} at {r['axis_score']:+.3f} ({r['n_hits']} hits); expected {name(r['gold_pole'])}."]
+        # a book without a sign does not lie on the expected side, so it counts as the other
+        side = r["predicted_pole"] or (minus if r["gold_pole"] == plus else plus)
+        out += ["", "## Reference book", "", f"{r['slug']} lies on the {name(side)} half at {r['axis_score']:+.3f} ({r['n_hits']} hits); expected {name(r['gold_pole'])}: {'as it should' if side == r['gold_pole'] else 'not as it should'}."]
     rows.unpersist()
     return "\n".join(out) + "\n"
 
@@ -97,6 +103,6 @@ def compare(spark: SparkSession, root: str, axis: str, dry_run: bool = False, le
     if not dry_run:
         suffix = "" if scoring == "lbg" else f"_{scoring}"
         tables.write_comparison(rows, f"{root}/axes/{axis}/comparison{suffix}.csv", scoring)
-        spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/axes/{axis}/comparison-report{suffix}.md")
+        tables.write_one(spark.createDataFrame([(said.rstrip("\n"),)], "value string"), f"{root}/axes/{axis}/comparison-report{suffix}.md", "text")
     print(said)
     return 0

@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 _loaded: dict = {}
 
 
-def _once(provider: Callable):
+def once(provider: Callable):
+    """The provider's model, loaded at the first call in this process."""
     key = (getattr(provider, "__module__", ""), getattr(provider, "__qualname__", repr(provider)))
     if key not in _loaded:
         _loaded[key] = provider()
@@ -41,39 +43,50 @@ def device(name: str | None, cuda: bool = False) -> str:
 
 
 def embed(chunks: DataFrame, provider: Callable, column: str = "text") -> DataFrame:
-    """Adds ``embedding array<double>``. Equal texts are embedded once: only distinct ones reach the model."""
+    """Adds ``embedding array<double>``, in place: no shuffle. A text that a batch repeats is embedded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _once(provider)
+        model = once(provider)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            v = np.asarray(model(texts), float).reshape(len(texts), -1) if texts else np.zeros((0, 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["_text", "embedding"])
+            texts = b.column(b.schema.get_field_index(column)).dictionary_encode()
+            known = texts.dictionary.to_pylist()
+            v = np.asarray(model(known), float).reshape(len(known), -1) if known else np.zeros((0, 0))
+            found = pa.array(list(v), pa.list_(pa.float64())).take(texts.indices)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "embedding"])
 
-    vectors = chunks.select(F.col(column).alias("_text")).distinct().mapInArrow(run, "_text string, embedding array<double>")
-    return chunks.join(vectors, chunks[column] == vectors["_text"]).drop("_text")
+    kinds = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return chunks.mapInArrow(run, kinds)
 
 
 def entail(chunks: DataFrame, hypotheses: list[str], provider: Callable) -> DataFrame:
-    """``doc_id, chunk_id, hypothesis, p``; a chunk on which the model fails has one row with null p."""
+    """``doc_id, chunk_id, hypothesis, p``; a chunk on which the model fails has one row with null p.
+
+    In place: no shuffle. A text that a batch repeats is asked about once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _once(provider)
+        model = once(provider)
         for b in batches:
-            out: list[tuple] = []
-            for text in b.column(0).to_pylist():
-                try:
-                    found = model(text, hypotheses)
-                    out += [(text, h, float(found[h])) for h in hypotheses if h in found]
-                except Exception as e:  # one chunk must not end the run; it is left out of the means
-                    log.warning("entailment failed on a chunk: %s", e)
-                    out.append((text, hypotheses[0], None))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["_text", "hypothesis", "p"])
-
-    blank = F.length(F.trim(F.col("text"))) == 0
-    known = chunks.where(~blank).select(F.col("text").alias("_text")).distinct().mapInArrow(run, "_text string, hypothesis string, p double")
-    return chunks.join(known, chunks["text"] == known["_text"]).select("doc_id", "chunk_id", "hypothesis", "p")
+            known: dict[str, list[tuple]] = {}
+            row, names, values = [], [], []
+            for r, text in enumerate(b.column(2).to_pylist()):
+                if text not in known:
+                    try:
+                        found = model(text, hypotheses)
+                        known[text] = [(h, float(found[h])) for h in hypotheses if h in found]
+                    except Exception as e:  # one chunk must not end the run; it is left out of the means
+                        log.warning("entailment failed on a chunk: %s", e)
+                        known[text] = [(hypotheses[0], None)]
+                for h, p in known[text]:
+                    row.append(r)
+                    names.append(h)
+                    values.append(p)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["doc_id", "chunk_id", "hypothesis", "p"])
+
+    kind = {f.name: f.dataType for f in chunks.schema.fields}
+    kinds = T.StructType([T.StructField("doc_id", kind["doc_id"]), T.StructField("chunk_id", kind["chunk_id"]), T.StructField("hypothesis", T.StringType()), T.StructField("p", T.DoubleType())])
+    return chunks.where(F.length(F.trim(F.col("text"))) > 0).select("doc_id", "chunk_id", "text").mapInArrow(run, kinds)
 
 
 def hashed_embedder(dimensions: int = 64) -> Callable:

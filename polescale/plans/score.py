@@ -58,3 +58,51 @@ def stance_rows(spark: SparkSession, docs: DataFrame, entailment: Callable | Non
     rows = chunk_rows(docs).where(F.length(F.trim("text")) > 0)
     texts = list(dict.fromkeys(t for h in hypotheses for t in (*h.pro, *h.contra)))
     return stance.stance(docs, rows, providers.entail(rows, texts, entailment), hypotheses_frame(spark, hypotheses))
+
+
+def score_payload(spark: SparkSession, docs: DataFrame, embedder: Callable, entailment: Callable | None = None, poles: tuple[Pole, ...] = DEFAULT_POLES, hypotheses: tuple[Hypotheses, ...] = DEFAULT_HYPOTHESES, gamma: float | None = GAMMA, alpha: float | None = None, use_stance: bool = True, softmax_tau: float | None = TAU_SCORE, language: str = "fr", model: str | None = None, hypotheses_file: str = "") -> DataFrame:
+    """``doc_id`` and the full result of a text: ``scores, labels, pole_order, dominant_pole`` always; with stance
+    ``cosine_scores, stance_scores`` and the ``blend_gamma`` or ``blend_alpha`` that was used (null where an error leaves
+    the cosine scores alone), and ``stance``: its own scores, method, model, hypotheses, details, chunks and error."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cos = theme_scores(spark, docs, poles, embedder, softmax_tau)
+    by_pole = lambda df, c, name: df.groupBy("doc_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pole_ord", "pole", c))), lambda e: F.struct(e["pole"], e[c]))).alias(name))  # noqa: E731  the few poles of a text
+    found = stance_rows(spark, docs, entailment, hypotheses, poles, language) if use_stance else None
+    mixed = blend.blend(cos, found, gamma if use_stance else None, alpha)
+    out = blend.score_block(mixed)
+    keys = F.array(*[F.lit(p.key) for p in poles])
+    labels = F.map_from_arrays(keys, F.array(*[F.lit(p.label) for p in poles]))
+    out = out.withColumn("labels", labels).withColumn("pole_order", keys)
+    if found is None:
+        return out
+    for c, name in (("cosine_score", "cosine_scores"), ("stance_score", "stance_scores")):
+        out = out.join(by_pole(mixed.where(F.col(c).isNotNull()), c, name), "doc_id", "left")
+    used = F.col("cosine_scores").isNotNull()
+    by_gamma = gamma is not None
+    out = out.withColumn("blend_gamma", F.when(used, F.lit(max(0.0, gamma) if by_gamma else None).cast("double")))
+    out = out.withColumn("blend_alpha", F.when(used, F.lit(None if by_gamma or alpha is None else min(1.0, max(0.0, alpha))).cast("double")))
+
+    first = found.groupBy("doc_id").agg(F.first("n_chunks").alias("n"), F.first("error").alias("e"))
+    block = by_pole(found, "stance", "s").join(first, "doc_id")
+    own = {p.key: h for p in poles for h in hypotheses if h.key == p.key}
+    texts = lambda side: F.map_from_arrays(keys, F.array(*[F.array(*map(F.lit, getattr(own[p.key], side) if p.key in own else ())).cast("array<string>") for p in poles]))
+    means = F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pole_ord", "pole", "pro_mean", "contra_mean"))), lambda e: F.struct(e["pole"], F.struct(e["pro_mean"].alias("pro_mean"), e["contra_mean"].alias("contra_mean")))))
+    details = found.where("error is null").groupBy("doc_id").agg(means.alias("details"))
+    block = block.join(details, "doc_id", "left")
+    per = _per_hypothesis(spark, docs, entailment, hypotheses, language)
+    block = block.join(per, "doc_id", "left") if per is not None else block.withColumn("per", F.lit(None).cast("map<string,struct<pro:array<double>,contra:array<double>>>"))
+    failed = F.col("e").isNotNull()
+    result = F.struct(F.col("s").alias("scores"), labels.alias("labels"), keys.alias("pole_order"), F.lit("nli_zero_shot").alias("method"), F.when(~failed, F.lit(model).cast("string")).alias("model"), F.lit(hypotheses_file).alias("hypotheses_file"), F.when(~failed, texts("pro")).alias("hypotheses_pro"), F.when(~failed, texts("contra")).alias("hypotheses_contra"), "details", F.when(~failed, F.col("per")).alias("per_hypothesis"), F.col("n").alias("n_chunks"), F.col("e").alias("error"))
+    return out.join(block.select("doc_id", result.alias("stance")), "doc_id", "left")
+
+
+def _per_hypothesis(spark: SparkSession, docs: DataFrame, entailment: Callable | None, hypotheses: tuple[Hypotheses, ...], language: str) -> DataFrame | None:
+    """``doc_id, per``: pole -> mean probabilities of its hypotheses, in their order."""
+    if entailment is None or language != "fr" or not any(h.pro or h.contra for h in hypotheses):
+        return None
+    rows = chunk_rows(docs).where(F.length(F.trim("text")) > 0)
+    asked = list(dict.fromkeys(t for h in hypotheses for t in (*h.pro, *h.contra)))
+    d = stance.stance_details(rows, providers.entail(rows, asked, entailment), hypotheses_frame(spark, hypotheses))
+    side = lambda s: F.transform(F.sort_array(F.filter(F.collect_list(F.struct("polarity", "idx", "mean_p")), lambda x: x["polarity"] == s)), lambda x: x["mean_p"])  # noqa: E731  a pole's hypotheses
+    each = d.groupBy("doc_id", "pole").agg(F.struct(side("pro").alias("pro"), side("contra").alias("contra")).alias("v"))
+    return each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pole", "v"))).alias("per"))

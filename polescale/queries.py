@@ -333,7 +333,7 @@ def accuracy_ci(spark: SparkSession, d: str) -> DataFrame:
 def paired_diff_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = graded(spark, d).where("category = 'holdout' and correct is not null")
     rows = ax.with_predictions(rows, predictions(spark, d)).withColumn("other", F.coalesce(F.col("other_pole") == F.col("gold_pole"), F.lit(False)))
-    return bootstrap.paired_diff_ci(spark, rows, "correct", "other", draws=ACCURACY_DRAWS, seed=SEED).select(r6("diff"), r6("mean"), r6("ci_lo"), r6("ci_hi"), "n", "n_iter", "seed", "inconclusive")
+    return bootstrap.paired_diff_ci(spark, rows, "correct", "other", draws=ACCURACY_DRAWS, seed=SEED).select(r6("point_a"), r6("point_b"), r6("diff"), r6("mean"), r6("ci_lo"), r6("ci_hi"), "n", "n_iter", "seed", "inconclusive")
 
 
 def text_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -495,6 +495,9 @@ ORACLE_SQL = {
  f AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN a.n + x.n > 64 THEN {{'done': list_append(a.done, a.buf), 'buf': x.buf, 'n': x.n}} ELSE {{'done': a.done, 'buf': a.buf || ' ' || x.buf, 'n': a.n + x.n}} END) AS r FROM s WHERE len(parts) > 0),
  c AS (SELECT doc_id, list_append(r.done, r.buf) AS cs FROM f)
  SELECT doc_id, unnest(range(len(cs))) AS chunk_id, unnest(cs) AS chunk, CAST(len(list_filter(string_split_regex(unnest(cs), '{_W}+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM c""",
+    "document_chunks": f"""WITH {_segments('documents', 'doc_id')}, s AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: len(list_filter(string_split_regex(x, '{_W}+'), lambda w: w <> ''))), lambda n: n > 0) AS ns FROM flat),
+ k AS (SELECT doc_id, list_sum(ns) AS words, list_reduce(list_transform(ns, lambda n: {{'c': 1, 'n': n}}), lambda a, x: CASE WHEN a.n + x.n > 256 THEN {{'c': a.c + 1, 'n': x.n}} ELSE {{'c': a.c, 'n': a.n + x.n}} END).c AS chunks FROM s WHERE len(ns) > 0)
+ SELECT d.doc_id, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS n_chunks, CAST(coalesce(sum(words), 0) AS BIGINT) AS n_words FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
     "pole_vectors": f"{_GEOMETRY} SELECT pole_ord, pole, dim, round(value, 6) AS value FROM poles",
     "cosine_matrix": f"{_GEOMETRY} SELECT doc_id, chunk_id, pole, round(sim, 6) AS sim FROM sims",
     "chunk_softmax": f"{_GEOMETRY} SELECT doc_id, chunk_id, pole, round(prob, 6) AS prob FROM prob",
@@ -506,7 +509,7 @@ ORACLE_SQL = {
     "blend_alpha": f"{_BLEND} SELECT doc_id, pole, round(CASE WHEN pure THEN score ELSE 0.4 * score + 0.6 * (coalesce(st, 0.0) + 1.0) / 2.0 END, 6) AS score, round(CASE WHEN NOT pure THEN score END, 6) AS cosine_score, round(CASE WHEN NOT pure THEN coalesce(st, 0.0) END, 6) AS stance_score FROM joined",
     "score_block": f"{_BLEND} SELECT doc_id, arg_max(pole, struct_pack(s := score, o := -pole_ord)) AS dominant_pole, {', '.join(f"round(max(CASE WHEN pole = '{p}' THEN score END), 6) AS {p}" for p in POLES)} FROM gam GROUP BY doc_id",
     "accuracy_ci": f"{_boot('CAST(correct AS DOUBLE)')} SELECT point, mean, ci_lo, ci_hi, n, CAST({ACCURACY_DRAWS} AS BIGINT) AS n_iter, CAST({SEED} AS BIGINT) AS seed FROM got, size",
-    "paired_diff_ci": f"{_boot('CAST(correct AS DOUBLE) - CAST(theirs AS DOUBLE)')} SELECT point AS diff, mean, ci_lo, ci_hi, n, CAST({ACCURACY_DRAWS} AS BIGINT) AS n_iter, CAST({SEED} AS BIGINT) AS seed, ci_lo <= 0 AND ci_hi >= 0 AS inconclusive FROM got, size",
+    "paired_diff_ci": f"{_boot('CAST(correct AS DOUBLE) - CAST(theirs AS DOUBLE)')} SELECT (SELECT round(avg(CAST(correct AS DOUBLE)), 6) FROM hold WHERE correct IS NOT NULL) AS point_a, (SELECT round(avg(CAST(theirs AS DOUBLE)), 6) FROM hold WHERE correct IS NOT NULL) AS point_b, point AS diff, mean, ci_lo, ci_hi, n, CAST({ACCURACY_DRAWS} AS BIGINT) AS n_iter, CAST({SEED} AS BIGINT) AS seed, ci_lo <= 0 AND ci_hi >= 0 AS inconclusive FROM got, size",
     "word_ci": f"""{_BASE}, placed AS (SELECT slug, pole, row_number() OVER (PARTITION BY pole ORDER BY slug) - 1 AS i, count(*) OVER (PARTITION BY pole) AS n FROM texts WHERE category = 'seed'),
  drawn AS (SELECT b, pole, {_draw("concat(pole, '/', b)", "i", 12345, "n")} AS i FROM placed, (SELECT unnest(range({WORD_CI_DRAWS})) AS b)),
  times AS (SELECT d.b, d.pole, p.slug, count(*) AS k FROM drawn d JOIN placed p ON d.pole = p.pole AND d.i = p.i GROUP BY d.b, d.pole, p.slug),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from polescale.config import INVERSION_HOLD
 from polescale.functions.labels import fold_pole, fold_pole_or_none, is_seed, role
 from polescale.functions.text import strip
 
+log = logging.getLogger(__name__)
 BOM = "\ufeff"
 
 
@@ -89,7 +91,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_holdout(spark: SparkSession, folder: str) -> DataFrame | None:
     """As :func:`read_corpus` without demanding poles; None if there is no such folder."""
-    return read_corpus(spark, folder, require_pole=False) if _exists(spark, folder) else None
+    if not _exists(spark, folder):
+        log.warning("no hold-out texts at %s", folder)
+        return None
+    return read_corpus(spark, folder, require_pole=False)
 
 
 def seed_pool(corpus: DataFrame) -> DataFrame:

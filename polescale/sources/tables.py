@@ -14,12 +14,27 @@ def lexicon_schema(minus: str, plus: str) -> T.StructType:
     return T.StructType([T.StructField(n, t, n.startswith("ci_")) for n, t in fields])
 
 
+def write_one(df: DataFrame, path: str, kind: str, **options) -> None:
+    """Write ``df`` as one file at ``path``: a lexicon's or a benchmark's rows, not a corpus. It appears when it is complete."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    df.coalesce(1).write.mode("overwrite").format(kind).options(**options).save(f"{path}.parts")
+    [part] = [f.getPath() for f in store.listStatus(parts) if f.getPath().getName().startswith("part-")]
+    store.delete(target, True)
+    if not store.rename(part, target):
+        raise OSError(f"cannot write {path}")
+    store.delete(parts, True)
+
+
 def write_lexicon(rows: DataFrame, folder: str, minus: str, plus: str) -> None:
-    """Sorted CSV and snappy Parquet with axis-named frequency columns; a null interval is an empty CSV field."""
+    """A sorted CSV file and a snappy Parquet file with axis-named frequency columns; a null interval is an empty CSV field."""
     named = rows.withColumnRenamed("freq_minus", f"freq_{minus}").withColumnRenamed("freq_plus", f"freq_{plus}")
     named = named.select(*lexicon_schema(minus, plus).fieldNames()).orderBy("word", "pos")
-    named.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{folder}/lexicon.csv")
-    named.write.mode("overwrite").option("compression", "snappy").parquet(f"{folder}/lexicon.parquet")
+    write_one(named, f"{folder}/lexicon.csv", "csv", header=True, emptyValue="")
+    write_one(named, f"{folder}/lexicon.parquet", "parquet", compression="snappy")
 
 
 def _last(df: DataFrame, *values: str) -> DataFrame:
@@ -66,4 +81,4 @@ def comparison_columns(rows: DataFrame, scoring: str) -> DataFrame:
 
 
 def write_comparison(rows: DataFrame, path: str, scoring: str) -> None:
-    comparison_columns(rows, scoring).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    write_one(comparison_columns(rows, scoring), path, "csv", header=True, emptyValue="")

@@ -53,7 +53,7 @@ def test_reading(spark, root):
     assert {r.slug: r.expected_pole for r in hold.collect()} == {"good": M, "both": None, "none": None}
     assert corpus.read_holdout(spark, f"{root}/nowhere") is None
     assert {r.slug for r in corpus.eval_pool(hold, corpus.read_corpus(spark, f"{root}/corpus")).collect()} == {"good", "both", "none", "inv"}
-    with pytest.raises(Exception, match="Unknown attractor label"):
+    with pytest.raises(Exception, match="no pole is named"):
         corpus.read_corpus(spark, f"{root}/corpus/tests").collect()
 
 
@@ -96,7 +96,10 @@ def test_calibrate_and_compare(spark, root, scoring):
     rows = {(r.slug, r.category): r for r in spark.read.option("header", True).csv(f"{folder}/comparison{suffix}.csv").collect()}
     assert len(rows) == 6 + 1 + 3 + 1 and rows["inv", "inversion"].on_axis_correct == "0" and rows["good", "holdout"].on_axis_correct == "1"
     assert rows["book.txt", "oracle"].predicted_pole == P and rows["none", "holdout"].sign_robust == "False" and rows["hs0", "seed"].scoring == scoring
-    said = "".join(p.read_text() for p in (folder / f"comparison-report{suffix}.md").glob("part-*"))
+    assert {p.name for p in folder.iterdir() if not p.name.startswith(".")} == {"lexicon.csv", "lexicon.parquet", f"comparison{suffix}.csv", f"comparison-report{suffix}.md"}
+    assert all(p.is_file() for p in folder.iterdir())
+    said = (folder / f"comparison-report{suffix}.md").read_text(encoding="utf-8")
+    assert compare.SCORINGS[scoring] in said and "book.txt lies on the Terrestre half" in said
     assert "Misclassified: 1 of 1" in said and "good: gold Hors-Sol, lexical Hors-Sol, other Terrestre" in said
 
 
@@ -174,7 +177,8 @@ def test_command_line(spark, root, capsys):
     assert cli.main(["score", "  "]) == 2
     (root / "x.txt").write_text("Nous dépendons des sols.", encoding="utf-8")
     assert cli.main(["score", "other", "--file", f"{root}/x.txt", "--json"]) == 0
-    assert abs(sum(json.loads(capsys.readouterr().out.strip().splitlines()[-1])["scores"].values()) - 1) < 1e-6
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert abs(sum(said["scores"].values()) - 1) < 1e-6 and said["pole_order"] == list(config.POLES) and said["blend_gamma"] == 1 and said["stance"]["n_chunks"] == 1
     assert cli.main(["score", "un mot", "--no-stance"]) == 0 and "←" in capsys.readouterr().out
     assert cli.main(["calibrate", "--axis", "x"]) == 1
     assert cli.main(["calibrate", "--axis", "hors-sol-terrestre", "--root", str(root), "--bootstrap-n", "0"]) == 0

@@ -91,7 +91,7 @@ def test_fold(spark, raw, pole):
     if pole:
         assert column(spark, raw, labels.fold_pole) == pole
     else:
-        with pytest.raises(Exception, match="Unknown attractor label"):
+        with pytest.raises(Exception, match="no pole is named"):
             column(spark, raw, labels.fold_pole)
 
 
