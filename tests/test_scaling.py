@@ -78,8 +78,8 @@ def test_tokens_and_lemmas(spark):
 
 
 def test_format_ci(spark):
-    r = spark.range(1).select(text.format_ci(F.lit(0.905), F.lit(0.762), F.lit(1.0)).alias("a")).first()
-    assert r.a == "0.905 [0.762, 1.000]"
+    r = spark.range(1).select(text.format_ci(F.lit(0.4375), F.lit(-0.25), F.lit(2.0)).alias("a")).first()
+    assert r.a == "0.438 [-0.250, 2.000]"
 
 
 # --- labels -------------------------------------------------------------------
@@ -103,21 +103,32 @@ def test_truth(spark):
 # --- lexicons -----------------------------------------------------------------
 
 
-def test_pure_and_shared_words(spark):
-    got = lexicon(spark, (M, {"marche": 10, "commun": 5}), (P, {"terre": 10, "commun": 5}))
-    assert (got["marche"].score, got["terre"].score, got["commun"].score) == (-1, 1, 0)
-    assert (got["marche"].freq_minus, got["marche"].freq_plus, got["commun"].n_docs) == (10, 0, 2)
+def test_word_scores_by_formula(spark):
+    """Words of one pole, of both in unequal texts, and of both alike, against the formula."""
+    docs = [(M, {"orbite": 7, "fusée": 2, "route": 9}), (M, {"orbite": 1, "prix": 4}), (P, {"haie": 6, "route": 3, "prix": 2}), (P, {"haie": 1, "mare": 5})]
+    got = lexicon(spark, *docs)
+    total = {p: sum(n for q, d in docs if q == p for n in d.values()) for p in (M, P)}
+    of = {w: {p: sum(d.get(w, 0) for q, d in docs if q == p) for p in (M, P)} for w in got}
+    for w, r in got.items():
+        a, b = (of[w][p] / total[p] for p in (M, P))
+        assert r.score == pytest.approx((b - a) / (a + b)) and (r.freq_minus, r.freq_plus) == (of[w][M], of[w][P])
+        assert r.n_docs == sum(w in d for _, d in docs)
+    assert {w for w, r in got.items() if r.score == -1} == {"orbite", "fusée"} and {w for w, r in got.items() if r.score == 1} == {"haie", "mare"}
 
 
-def test_unequal_poles(spark):
-    got = lexicon(spark, (M, {"w": 100, "a": 900}), (P, {"w": 10, "b": 90}))
-    assert got["w"].score == pytest.approx(0)
+@pytest.mark.parametrize("factor", [1, 3, 40])
+def test_length_of_a_pole_does_not_count(spark, factor):
+    """A word that both poles use for the same share of their words scores 0, however long their texts are."""
+    got = lexicon(spark, (M, {"chemin": 6 * factor, "autre": 18 * factor}), (P, {"chemin": 2, "reste": 6}))
+    assert got["chemin"].score == pytest.approx(0)
 
 
-def test_lowe(spark):
-    df = spark.createDataFrame([("marché", 8, 0), ("croissance", 4, 0), ("terre", 0, 6), ("vivant", 0, 4)], "word string, freq_minus long, freq_plus long").withColumn("pos", F.lit("NOUN"))
+def test_lowe_by_formula(spark):
+    freqs = {"orbite": (9, 0), "prix": (5, 2), "haie": (0, 7), "mare": (1, 3)}
+    df = spark.createDataFrame([(w, *n) for w, n in freqs.items()], "word string, freq_minus long, freq_plus long").withColumn("pos", F.lit("NOUN"))
     got = {r.word: r.score for r in ws.lowe(df).collect()}
-    assert got["marché"] == pytest.approx(np.log(0.5 / 12) - np.log(8.5 / 14))
+    total = [sum(n[i] for n in freqs.values()) + 0.5 * len(freqs) for i in (0, 1)]
+    assert got == pytest.approx({w: np.log((p + 0.5) / total[1]) - np.log((m + 0.5) / total[0]) for w, (m, p) in freqs.items()})
 
 
 # --- scores and grades --------------------------------------------------------
@@ -129,10 +140,14 @@ def scored(spark, bodies, lex):
 
 
 def test_axis_scores(spark):
-    got = scored(spark, [("a", "marché terre inconnu"), ("b", "rien connu"), ("c", None), ("d", "terre terre marché")], {"marché": -0.9, "terre": 0.9})
-    assert (got["a"].axis_score, got["a"].n_hits, got["a"].n_tokens) == (0.0, 2, 3)
-    assert (got["b"].axis_score, got["b"].n_hits) == (0.0, 0) and got["c"].n_tokens == 0
-    assert got["d"].axis_score == pytest.approx(0.3)
+    lex = {"orbite": -0.7, "haie": 0.4, "mare": 1.0}
+    bodies = {"both": "Orbite, haie; Zut", "out": "zut zut alors", "none": None, "twice": "mare orbite mare haie mare", "case": "HAIE"}
+    got = scored(spark, list(bodies.items()), lex)
+    for slug, body in bodies.items():
+        words = [w.strip(",;").lower() for w in (body or "").split()]
+        found = [lex[w] for w in words if w in lex]
+        assert (got[slug].n_hits, got[slug].n_tokens) == (len(found), len(words))
+        assert got[slug].axis_score == pytest.approx(sum(found) / len(found) if found else 0.0)
 
 
 def rows(spark, *r):
@@ -223,54 +238,63 @@ def test_stance(spark):
 
 
 def test_accuracy_numpy():
-    assert bootstrap.accuracy_ci_numpy([1] * 5)["ci_lo"] == bootstrap.accuracy_ci_numpy([1] * 5)["ci_hi"] == 1
-    r = bootstrap.accuracy_ci_numpy([1] * 19 + [0] * 2)
-    assert r["point"] == pytest.approx(19 / 21) and r["ci_lo"] < 0.9 and r == bootstrap.accuracy_ci_numpy([1] * 19 + [0] * 2)
-    assert bootstrap.accuracy_ci_numpy(["True", "True", "False", "True"])["point"] == 0.75
-    assert bootstrap.accuracy_ci_numpy([])["n"] == 0
+    for values in ([1] * 7, [0] * 3):
+        r = bootstrap.accuracy_ci_numpy(values)
+        assert r["ci_lo"] == r["ci_hi"] == r["point"] == values[0]
+    v = np.array([1.0] * 23 + [0.0] * 4)
+    r = bootstrap.accuracy_ci_numpy(v.tolist())
     rng = np.random.default_rng(42)
-    v = np.array([1.0] * 19 + [0.0] * 2)
-    means = [v[rng.integers(0, 21, 21)].mean() for _ in range(1000)]
-    assert r["ci_lo"] == pytest.approx(np.percentile(means, 2.5))
+    means = [v[rng.integers(0, len(v), len(v))].mean() for _ in range(1000)]
+    assert (r["point"], r["mean"]) == pytest.approx((v.mean(), np.mean(means))) and (r["ci_lo"], r["ci_hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    assert bootstrap.accuracy_ci_numpy([" TRUE", "no", "true ", "False", "1"])["point"] == 0.4
+    assert bootstrap.accuracy_ci_numpy([]) == {"point": 0.0, "mean": 0.0, "ci_lo": 0.0, "ci_hi": 0.0, "n": 0, "n_iter": 1000, "seed": 42}
 
 
 def test_paired_numpy():
-    assert bootstrap.paired_diff_ci_numpy([1, 0], [1, 0])["inconclusive"]
-    assert bootstrap.paired_diff_ci_numpy([1] * 19 + [0] * 2, [1] * 18 + [0] * 3)["inconclusive"]
-    r = bootstrap.paired_diff_ci_numpy([1] * 20, [0] * 20)
-    assert r["diff"] == 1 and not r["inconclusive"] and bootstrap.paired_diff_ci_numpy([], [])["inconclusive"]
+    a, b = [1] * 16 + [0] * 4, [0] * 2 + [1] * 13 + [0] * 5
+    r = bootstrap.paired_diff_ci_numpy(a, b)
+    rng, v = np.random.default_rng(42), np.array(a) - np.array(b)
+    means = [v[rng.integers(0, 20, 20)].mean() for _ in range(1000)]
+    assert (r["point_a"], r["point_b"], r["diff"]) == pytest.approx((0.8, 0.65, 0.15)) and (r["ci_lo"], r["ci_hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    assert r["inconclusive"] == bool(r["ci_lo"] <= 0 <= r["ci_hi"])
+    clear = bootstrap.paired_diff_ci_numpy([1] * 9, [0] * 9)
+    assert clear["diff"] == 1 and not clear["inconclusive"] and bootstrap.paired_diff_ci_numpy(a, a)["inconclusive"] and bootstrap.paired_diff_ci_numpy([], [])["inconclusive"]
     with pytest.raises(ValueError, match="same texts"):
-        bootstrap.paired_diff_ci_numpy([1], [])
+        bootstrap.paired_diff_ci_numpy([1, 0], [1])
 
 
 def test_accuracy_hashed(spark):
-    df = spark.createDataFrame([(f"t{i}", i < 19, i < 18) for i in range(21)], "slug string, correct boolean, other boolean")
+    df = spark.createDataFrame([(f"t{i}", i < 23, i < 22) for i in range(27)], "slug string, correct boolean, other boolean")
     r = bootstrap.accuracy_ci(spark, df, draws=300).first()
-    assert r.point == pytest.approx(19 / 21) and r.ci_lo < 0.9 <= r.ci_hi and r.n == 21
-    assert bootstrap.paired_diff_ci(spark, df, "correct", "other", draws=300).first().inconclusive
+    assert r.point == pytest.approx(23 / 27) and r.ci_lo < r.point <= r.ci_hi and r.n == 27
+    pair = bootstrap.paired_diff_ci(spark, df, "correct", "other", draws=300).first()
+    assert pair.inconclusive and (pair.point_a, pair.point_b) == pytest.approx((23 / 27, 22 / 27))
     none = bootstrap.accuracy_ci(spark, df.where("false"), draws=10).first()
     assert (none.point, none.n, none.ci_hi) == (0, 0, 0)
 
 
+AGREED, SPLIT = [0.35, 0.6, 0.41, 0.52, 0.47, 0.58], [-0.5, 0.62, 0.1, -0.33, 0.21]
+
+
 def test_text_intervals(spark):
-    hits = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.8, 0.9, 0.7, 0.85, 0.95])] + [("b", i, s) for i, s in enumerate([-0.9, 0.9, -0.8, 0.8])], "slug string, tok_id int, score double")
+    hits = spark.createDataFrame([("a", i, s) for i, s in enumerate(AGREED)] + [("b", i, s) for i, s in enumerate(SPLIT)], "slug string, tok_id int, score double")
     exact = {r.slug: (r.ci_low, r.ci_high) for r in bootstrap.text_ci_numpy(hits).collect()}
-    v = np.array([0.8, 0.9, 0.7, 0.85, 0.95])
-    want = np.percentile(v[np.random.default_rng(42).integers(0, 5, (1000, 5))].mean(1), [2.5, 97.5])
+    v = np.array(AGREED)
+    want = np.percentile(v[np.random.default_rng(42).integers(0, len(v), (1000, len(v)))].mean(1), [2.5, 97.5])
     assert exact["a"] == pytest.approx(tuple(want)) and exact["b"][0] < 0 < exact["b"][1]
     near = {r.slug: (r.ci_low, r.ci_high) for r in bootstrap.text_ci(spark, hits, 200).collect()}
     assert near["a"] == pytest.approx(exact["a"], abs=0.05)
-    df = rows(spark, ("a", "seed", P, 0.84, 5), ("b", "seed", P, 0.0, 4), ("c", "seed", P, 0.0, 0))
+    df = rows(spark, ("a", "seed", P, 0.49, 6), ("b", "seed", P, 0.02, 5), ("c", "seed", P, 0.0, 0))
     got = {r.slug: (r.sign_robust, r.ci_low) for r in axis.graded(df, M, P, bootstrap.text_ci_numpy(hits)).collect()}
     assert got["a"][0] and not got["b"][0] and got["c"] == (False, None)
 
 
 def test_word_intervals(spark):
-    docs = [(M, {"marche": 3, "sol": 1}), (M, {"marche": 2, "sol": 2}), (M, {"autre": 1}), (P, {"terre": 4, "sol": 1}), (P, {"terre": 3, "sol": 3}), (P, {"terre": 2, "sol": 1})]
+    docs = [(M, {"orbite": 5, "prix": 2}), (M, {"orbite": 1, "prix": 3}), (M, {"fusée": 2}), (P, {"haie": 2, "prix": 1}), (P, {"haie": 6, "prix": 2}), (P, {"haie": 1, "prix": 4})]
     c = counts(spark, *docs)
     t = c.select("slug", "pole", F.col("slug").alias("path")).distinct()
     got = {r.word: (r.ci_low, r.ci_high) for r in bootstrap.word_ci(c, bootstrap.numpy_document_draws(spark, t, (M, P), 200), M, P).collect()}
-    assert got.keys() == {"sol", "terre"} and got["terre"] == (1, 1) and -1 <= got["sol"][0] < got["sol"][1] <= 1
+    assert got.keys() == {"prix", "haie"} and got["haie"] == (1, 1) and -1 <= got["prix"][0] < got["prix"][1] <= 1
     # the same by hand
     by = {M: [w for p, w in docs if p == M], P: [w for p, w in docs if p == P]}
     rng, seen = np.random.default_rng(12345), []
@@ -278,13 +302,13 @@ def test_word_intervals(spark):
         tot, n = {}, {}
         for p in (M, P):
             own = [by[p][i] for i in rng.integers(0, 3, size=3)]
-            n[p], tot[p] = sum(d.get("sol", 0) for d in own), sum(sum(d.values()) for d in own)
+            n[p], tot[p] = sum(d.get("prix", 0) for d in own), sum(sum(d.values()) for d in own)
         a, b = n[M] / tot[M], n[P] / tot[P]
         if a + b:
             seen.append((b - a) / (a + b))
-    assert got["sol"] == pytest.approx(tuple(np.percentile(seen, [2.5, 97.5])))
+    assert got["prix"] == pytest.approx(tuple(np.percentile(seen, [2.5, 97.5])))
     hashed = bootstrap.word_ci(c, bootstrap.hashed_document_draws(spark, t, 100), M, P)
-    assert {r.word for r in hashed.collect()} == {"sol", "terre"}
+    assert {r.word for r in hashed.collect()} == {"prix", "haie"}
 
 
 def test_axes():
