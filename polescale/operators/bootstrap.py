@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polescale.config import CI_PERCENTILES, TEXT_CI_DRAWS, TEXT_CI_SEED, WORD_CI_DOCS, WORD_CI_DRAWS, WORD_CI_SEED
 from polescale.functions.draws import draw
-from polescale.operators.wordscores import KEY, score_of
+from polescale.operators.wordscores import KEY
 
 LO, HI = (p / 100 for p in CI_PERCENTILES)
 
@@ -187,21 +188,74 @@ def numpy_document_draws(spark: SparkSession, docs: DataFrame, poles: tuple[str,
     return spark.createDataFrame(pd.concat(parts) if parts else [], "b long, pole string, slug string, times long")
 
 
+#: Words whose sums a task holds before it passes them on, and groups into which words are dealt for the last step.
+WORDS, GROUPS = 4096, 256
+
+
 def word_ci(counts: DataFrame, draws: DataFrame, minus: str, plus: str, min_docs: int = WORD_CI_DOCS) -> DataFrame:
     """``word, pos, ci_low, ci_high`` over the draws in which a word occurs; words of fewer documents have none.
 
-    The gate is the whole corpus's document frequency and comes before the
-    join with the draws; a draw's totals come from document lengths, as they
-    count all words.
+    The gate is the whole corpus's document frequency and comes first; a draw's
+    totals come from document lengths, as they count all words. A document's
+    draws are one array, met once by all its words: a task adds up arrays by
+    word and passes on one for each word and pole, so nothing is multiplied by
+    the draws but those sums. The draws' totals, two numbers a draw, come to
+    the driver.
     """
     counts = counts.where(F.col("pole").isin(minus, plus))
     side = lambda p, c: F.sum(F.when(F.col("pole") == p, c).otherwise(0))
     lengths = counts.groupBy("slug", "pole").agg(F.sum("n").alias("len"))
     weighed = draws.join(lengths, ["slug", "pole"])
-    totals = weighed.groupBy("b").agg(side(minus, F.col("times") * F.col("len")).alias("_m"), side(plus, F.col("times") * F.col("len")).alias("_p"))
+    totals = weighed.groupBy("b").agg(side(minus, F.col("times") * F.col("len")).alias("m"), side(plus, F.col("times") * F.col("len")).alias("p")).toPandas()
+    size = int(totals["b"].max()) + 1 if len(totals) else 0
+    all_minus, all_plus = np.zeros(size), np.zeros(size)
+    all_minus[totals["b"]], all_plus[totals["b"]] = totals["m"], totals["p"]
+
     frequent = counts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= min_docs).select(*KEY)
-    kept = counts.join(frequent, KEY)
-    per = kept.join(draws.select("b", "slug", "pole", "times"), ["slug", "pole"]).groupBy("b", *KEY).agg(side(minus, F.col("times") * F.col("n")).alias("m"), side(plus, F.col("times") * F.col("n")).alias("p"))
-    scored = per.join(F.broadcast(totals), "b").select(*KEY, score_of(F.col("m"), F.col("p"), F.col("_m"), F.col("_p")).alias("s")).where("s is not null")
-    lo, hi = _interval("s")
-    return scored.groupBy(*KEY).agg(lo.alias("ci_low"), hi.alias("ci_high"))
+    kept = counts.join(frequent, KEY).groupBy("slug", "pole").agg(F.collect_list(F.struct(*KEY, "n")).alias("words"))  # a document's own words
+    times = draws.groupBy("slug", "pole").agg(F.collect_list(F.struct("b", "times")).alias("drawn"))  # at most an entry a draw
+    rows = kept.join(times, ["slug", "pole"]).select((F.col("pole") == plus).alias("side"), "words", "drawn")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        held = np.zeros((2 * WORDS, size), np.int32)
+
+        def passed() -> pa.RecordBatch:
+            keys = list(place)
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys]), pa.array([held[i].tobytes() for i in range(len(keys))], pa.binary())], names=["word", "pos", "side", "sums"])
+            held[: len(keys)] = 0
+            place.clear()
+            return out
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                plus_side, own, drawn = batch.column(0)[r].as_py(), batch.column(1)[r].values, batch.column(2)[r].values
+                b, k = (x.to_numpy(zero_copy_only=False) for x in drawn.flatten())
+                vector = np.zeros(size, np.int32)
+                vector[b] = k
+                words, pos, n = own.flatten()
+                for at in range(0, len(own), WORDS):
+                    if len(place) + WORDS > 2 * WORDS:
+                        yield passed()
+                    here = [place.setdefault((w, p, plus_side), len(place)) for w, p in zip(words[at : at + WORDS].to_pylist(), pos[at : at + WORDS].to_pylist(), strict=True)]
+                    held[here] += n[at : at + WORDS].to_numpy(zero_copy_only=False).astype(np.int32)[:, None] * vector  # a document has each word once
+        if place:
+            yield passed()
+
+    def intervals(table: pa.Table) -> pa.Table:
+        keys = list(zip(table["word"].to_pylist(), table["pos"].to_pylist(), strict=True))
+        place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        both = np.zeros((2, len(place), size), np.int64)
+        for k, s, x in zip(keys, table["side"].to_pylist(), table["sums"].to_pylist(), strict=True):
+            both[int(s), place[k]] += np.frombuffer(x, np.int32)
+        rate = [np.divide(x, t, out=np.zeros(x.shape), where=t > 0) for x, t in zip(both, (all_minus, all_plus), strict=True)]
+        seen = rate[0] + rate[1] > 0
+        score = np.divide(rate[1] - rate[0], rate[0] + rate[1], out=np.full(seen.shape, np.nan), where=seen)
+        any_ = seen.any(axis=1)
+        lo, hi = np.nanpercentile(score[any_], CI_PERCENTILES, axis=1) if any_.any() else (np.zeros(0), np.zeros(0))
+        names = [k for k, x in zip(place, any_.tolist(), strict=True) if x]
+        return pa.table({"word": pa.array([w for w, _ in names], pa.string()), "pos": pa.array([p for _, p in names], pa.string()), "ci_low": pa.array(lo, pa.float64()), "ci_high": pa.array(hi, pa.float64())})
+
+    partial = rows.mapInArrow(sums, "word string, pos string, side boolean, sums binary")
+    group = F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).alias("group")
+    return partial.groupBy(group).applyInArrow(intervals, "word string, pos string, ci_low double, ci_high double")
