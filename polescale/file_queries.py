@@ -315,7 +315,29 @@ def stance_errors(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("pole_ord")
 
 
-_NAMES = """corpus_files frontmatter_headers legacy_headers holdout_files axis_corpus_files reference_book direct_text themes_yaml hypotheses_yaml lexicon_files lexicon_parquet
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return q.t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+def theme_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Themes by the metric's own temperature, with the hashing embedder."""
+    from polescale.plans import score
+
+    s = score.theme_scores(spark, _items(spark, d), config.DEFAULT_POLES, providers.hashed_embedder())
+    return s.select("doc_id", "pole", q.r6("score"))
+
+
+def scored_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of scoring with its defaults, with the hashing embedder and the overlap of words as entailment."""
+    from polescale.plans import score
+
+    s = score.score_payload(spark, _items(spark, d), providers.hashed_embedder(), providers.overlap_entailment())
+    pole = F.explode("pole_order").alias("pole")
+    x = s.select("doc_id", "dominant_pole", "scores", "cosine_scores", "stance_scores", "blend_gamma", F.col("stance.n_chunks").alias("n_chunks"), pole)
+    return x.select("doc_id", "pole", "dominant_pole", "blend_gamma", "n_chunks", *[F.round(F.col(c)[F.col("pole")] + q.NUDGE, 6).alias(c[:-1]) for c in ("scores", "cosine_scores", "stance_scores")])
+
+
+_NAMES = """theme_scores scored_texts corpus_files frontmatter_headers legacy_headers holdout_files axis_corpus_files reference_book direct_text themes_yaml hypotheses_yaml lexicon_files lexicon_parquet
 prediction_files graded_with_intervals comparison_files lexicon_with_intervals calibrated_lexicon category_texts compared_files compared_files_lowe report_figures fold_strict axis_registry
 devices nonblank_chunks interval_text correctness_vector cosine_pairs content_lemmas word_slices stance_errors"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -358,7 +380,44 @@ _INTERVALS = f"""{q._GRADED}, wide AS (SELECT *, CASE WHEN n_hits >= 20 THEN rou
 robust AS (SELECT *, coalesce(CASE WHEN axis_score > 0 THEN ci_low > 0 WHEN axis_score < 0 THEN ci_high < 0 END, false) AS sign_robust FROM wide)"""
 _SHARE = "printf('%d/%d (%s)', ok, n, CASE WHEN n > 0 THEN printf('%.1f%%', 100.0 * ok / n) ELSE 'n/a' END)"
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("({})".format(", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x) for x in r)) for r in rows)
+
+
+def _scoring(tau: float) -> str:
+    """``cos`` (cosine scores) and ``st`` (stance) of benchmark items, whose segments are all shorter than a chunk."""
+    seeds = [(i, p.key, t) for i, p in enumerate(config.DEFAULT_POLES) for t in p.seeds]
+    hypotheses = [(i, side, t) for i, h in enumerate(config.DEFAULT_HYPOTHESES) for side, ts in (("pro", h.pro), ("contra", h.contra)) for t in ts]
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
+    return f"""items AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark), {q._segments("items", "item_id")},
+ chunks AS (SELECT item_id AS doc_id, seg_id AS chunk_id, array_to_string(parts, ' ') AS t FROM flat WHERE len(parts) > 0),
+ seeds(pole_ord, pole, t) AS (VALUES {_values(seeds)}), hyps(pole_ord, side, t) AS (VALUES {_values(hypotheses)}),
+ units AS (SELECT 'c' AS kind, doc_id, chunk_id, t FROM chunks UNION ALL SELECT 's', pole_ord, row_number() OVER (), t FROM seeds),
+ hashed AS (SELECT kind, doc_id, chunk_id, md5(w) AS m FROM (SELECT kind, doc_id, chunk_id, unnest({words("t")}) AS w FROM units)),
+ raw AS (SELECT kind, doc_id, chunk_id, CAST(concat('0x', substr(m, 15, 2)) AS BIGINT) % 64 AS dim, sum(CASE WHEN substr(m, 1, 1) >= '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM hashed GROUP BY ALL),
+ unit AS (SELECT kind, doc_id, chunk_id, dim, v / coalesce(nullif(sqrt(sum(v * v) OVER (PARTITION BY kind, doc_id, chunk_id)), 0), 1) AS v FROM raw),
+ pole AS (SELECT u.doc_id AS pole_ord, dim, sum(v) / any_value(n) AS v FROM unit u JOIN (SELECT pole_ord, count(*) AS n FROM seeds GROUP BY pole_ord) k ON u.doc_id = k.pole_ord WHERE kind = 's' GROUP BY u.doc_id, dim),
+ pnorm AS (SELECT pole_ord, sqrt(sum(v * v)) AS n FROM pole GROUP BY pole_ord), cnorm AS (SELECT doc_id, chunk_id, sqrt(sum(v * v)) AS n FROM unit WHERE kind = 'c' GROUP BY ALL),
+ dots AS (SELECT u.doc_id, u.chunk_id, p.pole_ord, sum(u.v * p.v) AS s FROM unit u JOIN pole p ON u.dim = p.dim WHERE kind = 'c' GROUP BY ALL),
+ names AS (SELECT DISTINCT pole_ord, pole FROM seeds),
+ sims AS (SELECT c.doc_id, c.chunk_id, n.pole_ord, n.pole, coalesce(d.s / nullif(cn.n * pn.n, 0), 0) AS sim FROM chunks c CROSS JOIN names n LEFT JOIN dots d ON c.doc_id = d.doc_id AND c.chunk_id = d.chunk_id AND n.pole_ord = d.pole_ord LEFT JOIN cnorm cn ON c.doc_id = cn.doc_id AND c.chunk_id = cn.chunk_id LEFT JOIN pnorm pn ON n.pole_ord = pn.pole_ord),
+ ex AS (SELECT *, exp((sim - max(sim) OVER w) / {tau}) AS e FROM sims WINDOW w AS (PARTITION BY doc_id, chunk_id)),
+ prob AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, chunk_id) AS p FROM ex),
+ cos AS (SELECT i.item_id AS doc_id, n.pole_ord, n.pole, coalesce(m.p, 0.0) AS score FROM items i CROSS JOIN names n LEFT JOIN (SELECT doc_id, pole_ord, avg(p) AS p FROM prob GROUP BY doc_id, pole_ord) m ON i.item_id = m.doc_id AND n.pole_ord = m.pole_ord),
+ hw AS (SELECT pole_ord, side, t, list_distinct({words("t")}) AS ws FROM hyps), cw AS (SELECT doc_id, chunk_id, list_distinct({words("t")}) AS ws FROM chunks WHERE length(trim(t, ' ')) > 0),
+ best AS (SELECT doc_id, chunk_id, pole_ord, side, max(len(list_intersect(h.ws, c.ws)) / CAST(len(h.ws) AS DOUBLE)) AS p FROM cw c CROSS JOIN hw h GROUP BY ALL),
+ sides AS (SELECT doc_id, pole_ord, side, avg(p) AS m FROM best GROUP BY ALL),
+ st AS (SELECT doc_id, pole_ord, coalesce(max(m) FILTER (side = 'pro'), 0) - coalesce(max(m) FILTER (side = 'contra'), 0) AS stance FROM sides GROUP BY ALL),
+ counted AS (SELECT doc_id, count(*) AS n_chunks FROM cw GROUP BY doc_id)"""
+
+
 ORACLE_SQL = {
+    "theme_scores": f"WITH {_scoring(config.TAU)} SELECT doc_id, pole, round(score + {q.NUDGE}, 6) AS score FROM cos",
+    "scored_texts": f"""WITH {_scoring(config.TAU_SCORE)}, both_ AS (SELECT c.*, s.stance, s.stance IS NULL AS pure, greatest(0.0, c.score + coalesce(s.stance, 0)) AS raw FROM cos c LEFT JOIN st s ON c.doc_id = s.doc_id AND c.pole_ord = s.pole_ord),
+ mixed AS (SELECT *, CASE WHEN pure THEN score WHEN sum(raw) OVER w <= 0 THEN 0.25 ELSE raw / sum(raw) OVER w END AS blended FROM both_ WINDOW w AS (PARTITION BY doc_id)),
+ top AS (SELECT doc_id, pole AS dominant_pole FROM mixed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY blended DESC, pole_ord) = 1)
+ SELECT m.doc_id, pole, dominant_pole, CASE WHEN NOT pure THEN 1.0::DOUBLE END AS blend_gamma, coalesce(n_chunks, 0) AS n_chunks, round(blended + {q.NUDGE}, 6) AS score, CASE WHEN NOT pure THEN round(score + {q.NUDGE}, 6) END AS cosine_score, CASE WHEN NOT pure THEN round(stance + {q.NUDGE}, 6) END AS stance_score
+ FROM mixed m JOIN top t ON m.doc_id = t.doc_id LEFT JOIN counted k ON m.doc_id = k.doc_id""",
     "corpus_files": f"WITH {_C} SELECT slug, raw AS attracteur_raw, expected_pole, role, use_for_seeds, legacy, md5(body) AS digest, CAST(length(body) AS BIGINT) AS n_chars FROM c",
     "frontmatter_headers": f"WITH {_C} SELECT slug, concat('Text of ', slug) AS title, raw_role FROM c WHERE NOT legacy",
     "legacy_headers": f"WITH {_C} SELECT slug, slug AS source, 'nobody' AS auteur FROM c WHERE legacy",
