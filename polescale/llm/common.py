@@ -14,6 +14,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -189,6 +190,13 @@ class Bitmap:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
+    @classmethod
+    def of(cls, rows: pa.Table, bits: int) -> Bitmap:
+        """From rows ``word, bits``."""
+        words = np.zeros(max(1, bits // 64), np.int64)
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        return cls(words, bits)
+
     def hit(self, keys: np.ndarray) -> np.ndarray:
         at = place_of(keys, self.bits)
         return self.words[at >> 6] >> (at & 63) & 1 == 1
@@ -203,9 +211,7 @@ def bitmap(df: DataFrame, key: str, bits: int) -> Bitmap:
     """Of the keys (long, not null) of ``df``. ``bits / 64`` small rows at most reach the driver, for any number of keys."""
     at = F.col(key).bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(bits - 1)
     got = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    words = np.zeros(max(1, bits // 64), np.int64)
-    words[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return Bitmap(words, bits)
+    return Bitmap.of(got, bits)
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -23,14 +23,21 @@ sorted fingerprints go to the tables' partitions with the block's own counts,
 which are added up there and answered in the same order. So what is shuffled
 is a few bytes for each distinct n-gram of a block, never a row for a token,
 and a frequent word is one entry a block. A round for each order gives counts,
-then one for each length of history the backoff weights (answered only where a
-token of the block backs off); the last pass evaluates the recursion for each
-distinct n-gram of a block, from unigrams up.
+then one for each length of history the backoff weights; the last pass
+evaluates the recursion for each distinct n-gram of a block, from unigrams up.
+
+Only held-out texts back off, as training texts have seen their n-grams; so
+blocks are of one kind or the other. A weight is asked for, and its sums are
+sent, only for histories from which some held-out token backs off (a bitmap of
+``FILTER_BITS`` bits tells most others apart; where it is full, all are sent)
+and for those seen more often than counts are discounted, which alone may have
+nothing discounted.
 
 The number of partitions follows the measured bytes of the blocks
-(``BUCKET_BYTES`` of them a partition, but ``spark.sql.shuffle.partitions`` at
-least), so what a task holds does not grow with the corpus. There is a row for
-each block and partition: on executors with more memory raise both sizes.
+(``BUCKET_BYTES`` of them a partition, but two for each core at least), so what
+a task holds does not grow with the corpus. There is a row for each block and
+partition, so their number grows with the square of the corpus: for very large
+ones raise ``block`` and ``bucket_bytes`` as far as executors' memory allows.
 
 Defined results: null text is a text of no words (one end). A text trains
 unless crc32 of its doc_id mod 5 is 1; null doc_ids train. Repeated rows
@@ -51,13 +58,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polescale.llm import textnp
-from polescale.llm.common import Workspace, documents_of
+from polescale.llm.common import Bitmap, Workspace, documents_of, place_of
 from polescale.llm.textnp import U
 
 K = 5
 ORDER = 3
-BLOCK = 1_500_000
-BUCKET_BYTES = 64 << 20
+BLOCK = 600_000
+BUCKET_BYTES = 8 << 20
+#: Size of the bitmap of histories that are backed off from: 8 MB for any corpus.
+FILTER_BITS = 1 << 26
 END = textnp.mix(np.array([0x656E64], U))
 SCHEMA = "dest long, block long, kind int, bucket int, data binary"
 #: Kinds of rows; counts of k-grams and weights of histories of k words are COUNTS + k and WEIGHTS + k.
@@ -132,6 +141,12 @@ def answers(data: pa.Table, kind: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+def block_id(uid: np.int64, held: bool) -> int:
+    """Of a block that begins with this text: odd if its texts are held out."""
+    z = int(textnp.mix(np.array([uid], np.int64).view(U))[0]) & ~1 | int(held)
+    return z - (1 << 64) if z >> 63 else z
+
+
 class Block:
     """Documents of one block, and its distinct n-grams of lengths up to ``order``, once numbered.
 
@@ -141,12 +156,18 @@ class Block:
     """
 
     def __init__(self, data: bytes, order: int):
-        vocabulary, self.uids, self.lengths, self.train, tokens = (unpack_sorted(x) if i == 0 else unpack(x) for i, x in enumerate(split(data)))
-        self.block = int(self.uids[0])
+        words, *more = split(data)
+        frequent, rare = split(words)
+        words = np.concatenate([unpack(frequent), unpack_sorted(rare)])
+        self.uids, self.lengths, self.train, tokens = map(unpack, more)
+        self.held = not self.train[0]
+        self.block = block_id(self.uids[0], self.held)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.training = self.train.astype(bool)[self.doc]
-        tokens = tokens.astype(np.int64)
+        order_ = np.argsort(words)
+        vocabulary, place = words[order_], np.empty(len(words), np.int64)
+        place[order_] = np.arange(len(words))
+        tokens = place[tokens]
         self.keys, self.gram, self.last = {1: vocabulary}, {1: tokens}, {1: np.zeros(len(vocabulary), np.int64)}
         self.last[1][tokens] = np.arange(len(tokens))
         #: fingerprints of the grams that end at each token, and of as many ends
@@ -192,31 +213,56 @@ class Block:
         return np.bincount(self.doc, weights=values, minlength=len(self.lengths))
 
 
+def emit(parts: list[tuple]) -> pa.RecordBatch:
+    """A block of texts (words' fingerprints, ids, lengths, whether they train); its bucket is its number of tokens."""
+    hashes = np.concatenate([x[0] for x in parts])
+    uids, lengths, train = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
+    vocabulary, tokens, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    # numbers in order of frequency take the fewest bytes, and rare words' fingerprints do in their own order
+    rare = times < 4
+    often = np.concatenate([np.flatnonzero(~rare)[np.argsort(-times[~rare], kind="stable")], np.flatnonzero(rare)])
+    rank = np.empty(len(often), np.uint32)
+    rank[often] = np.arange(len(often), dtype=np.uint32)
+    block = block_id(uids[0], not train[0])
+    words = join(pack(vocabulary[often[: np.count_nonzero(~rare)]]), pack_sorted(vocabulary[rare]))
+    stream = join(words, pack(uids), pack(lengths.astype(np.int64)), pack(train), pack(rank[tokens]))
+    return rows([(block, block, STREAM, len(tokens), stream)])
+
+
+def _merged_blocks(data: pa.Table) -> pa.Table:
+    """Small blocks of one kind as one."""
+    parts = []
+    for d in data["data"].to_pylist():
+        words, *more = split(d)
+        frequent, rare = split(words)
+        uids, lengths, train, tokens = map(unpack, more)
+        parts.append((np.concatenate([unpack(frequent), unpack_sorted(rare)])[tokens], uids, lengths, train))
+    return pa.Table.from_batches([emit(parts)])
+
+
 def _blocks(size: int):
     """Documents to streams of blocks."""
 
-    def emit(parts: list[tuple]) -> pa.RecordBatch:
-        hashes = np.concatenate([x[0] for x in parts])
-        uids, lengths, train = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
-        vocabulary, tokens = np.unique(hashes, return_inverse=True)
-        block = int(uids[0])
-        stream = join(pack_sorted(vocabulary), pack(uids), pack(lengths.astype(np.int64)), pack(train), pack(tokens.astype(np.uint32)))
-        return rows([(block, block, STREAM, -1, stream)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held = ([], []), [0, 0]  # of held-out and of training texts
         for b in batches:
             uid, train = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(b.column(1).to_pylist(), np.uint8)
             for i, j, data, offs in textnp.slices(b.column(2)):
                 s, e, counts = textnp.words(data, offs)
                 h = np.insert(textnp.word_hashes(data, s, e), np.cumsum(counts), END[0])
-                parts.append((h, uid[i:j], counts + 1, train[i:j]))
-                held += len(h)
-                if held >= size:
-                    yield emit(parts)
-                    parts, held = [], 0
-        if parts:
-            yield emit(parts)
+                doc = np.repeat(train[i:j], counts + 1)
+                for kind in (0, 1):
+                    mine = train[i:j] == kind
+                    if mine.any():
+                        parts[kind].append((h[doc == kind], uid[i:j][mine], counts[mine] + 1, train[i:j][mine]))
+                        held[kind] += len(parts[kind][-1][0])
+                        if held[kind] >= size:
+                            yield emit(parts[kind])
+                            parts[kind].clear()
+                            held[kind] = 0
+        for own in parts:
+            if own:
+                yield emit(own)
 
     return run
 
@@ -225,8 +271,8 @@ def _blocks(size: int):
 
 
 def _merged(data: pa.Table) -> tuple[list[int], list[int], np.ndarray, list[list[bytes]]]:
-    """A bucket's questions in order of block: blocks, sizes, all keys, and what else each row has."""
-    got = sorted(zip(data["block"].to_pylist(), data["data"].to_pylist(), strict=True))
+    """A bucket's questions, training blocks first: blocks, sizes, all keys, and what else each row has."""
+    got = sorted(zip(data["block"].to_pylist(), data["data"].to_pylist(), strict=True), key=lambda x: (x[0] & 1, x[0]))
     parts = [split(d) for _, d in got]
     keys = [unpack_sorted(p[0]) for p in parts]
     return [b for b, _ in got], [len(k) for k in keys], np.concatenate(keys), [p[1:] for p in parts]
@@ -259,12 +305,13 @@ class Discount:
         self.types, self.tokens = int(stat[0]), int(stat[1])
         n = np.concatenate([[0], stat[2:]]).astype(float)
         self.ratio, self.minus = np.ones(K + 1), None
+        self.top = np.iinfo(np.int64).max  # the largest count that is discounted
         for k in range(K, 1, -1):  # K = 1 gives a ratio of 0 always
             if (n[1 : k + 2] > 0).all() and (rest := 1 - (k + 1) * n[k + 1] / n[1]) > 0:
                 r = np.arange(1, k + 1)
                 d = ((r + 1) * n[r + 1] / (r * n[r]) - (1 - rest)) / rest
                 if ((d > 0) & (d < 1)).all():
-                    self.ratio[1 : k + 1] = d
+                    self.ratio[1 : k + 1], self.top = d, k
                     low = float((r * n[r]).sum())
                     self.mass = (self.tokens - low + float((d * r * n[r]).sum())) / self.tokens
                     return
@@ -294,20 +341,22 @@ def _ask_counts(k: int, buckets: int):
             for data in batch.column(4).to_pylist():
                 b = Block(data, k)
                 b.number(k)
-                own = np.bincount(b.gram[k][b.training], minlength=len(b.keys[k])).astype(np.int64)
+                own = np.zeros(len(b.keys[k]), np.int64) if b.held else np.bincount(b.gram[k], minlength=len(b.keys[k]))
                 yield rows(asks(b.block, COUNTS + k, buckets, b.keys[k], own))
 
     return run
 
 
-def _probabilities(b: Block, data: pa.Table, order: int, discounts: list[Discount]) -> np.ndarray:
+def _probabilities(b: Block, data: pa.Table, order: int, discounts: list[Discount], needed: dict) -> np.ndarray:
     """P(last word | words before) of the block's distinct grams of ``order`` words, from unigrams up."""
     c = {k: answers(data, COUNTS + k)[0] >> 1 for k in range(1, order + 1)}
     p = unigram(c[1], discounts[0])
     for k in range(2, order + 1):
-        b.number(k)
         place = b.histories(k - 1)[1]
-        h, weight = b.seen(k - 1, c), answers(data, WEIGHTS + k - 1)[0]
+        b.number(k)
+        h, weight = b.seen(k - 1, c), np.zeros(len(b.histories(k - 1)[0]))
+        if (asked := _asked(b, k - 1, h, c[k], discounts[k - 1], needed[k - 1])).any():
+            weight[asked] = answers(data, WEIGHTS + k - 1)[0]
         mine = place[b.last[k]]  # each gram's history
         room = np.where(weight[mine] < 0, h[mine] / (h[mine] + 1.0), 1.0)
         own = room * discounts[k - 1](c[k]) / np.maximum(h[mine], 1)
@@ -315,54 +364,92 @@ def _probabilities(b: Block, data: pa.Table, order: int, discounts: list[Discoun
     return p
 
 
-def _ask_weights(k: int, buckets: int, discounts: list[Discount]):
-    """For each history of k words: its count in the block's training texts; the discounted counts and P(w | h') of those
-    grams behind it that this block is first to have; and whether a token of the block backs off from it."""
+def _backed_off(b: Block, k: int, c: np.ndarray) -> np.ndarray:
+    """Which of ``histories(k)`` some token of the block backs off from; c: counts of the grams behind them."""
+    keys, place, *_ = b.histories(k)
+    out = np.zeros(len(keys), bool)
+    out[place[b.last[k + 1]][c == 0]] = True
+    return out
+
+
+def _asked(b: Block, k: int, h: np.ndarray, c: np.ndarray, d: Discount, needed) -> np.ndarray:
+    """Histories whose weight the block asks for, or has to send sums for; h: how often they are seen."""
+    if b.held:
+        return (h > d.top) | _backed_off(b, k, c)
+    return (h > d.top) | needed.value.hit(b.histories(k)[0].view(np.int64))
+
+
+def _needs(k: int, d: Discount):
+    """The bitmap's words and bits of those histories of k words, not asked for in any case, that a held-out block backs off from."""
+
+    def run(data: pa.Table) -> pa.Table:
+        b = _of_block(data, k + 1)
+        b.number(k + 1)
+        c = {j: answers(data, COUNTS + j)[0] >> 1 for j in (1, k, k + 1)}
+        at = np.unique(place_of(b.histories(k)[0].view(np.int64)[_backed_off(b, k, c[k + 1]) & (b.seen(k, c) <= d.top)], FILTER_BITS))
+        word, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
+        return pa.table({"word": pa.array(word), "bits": pa.array(bits)})
+
+    return run
+
+
+def _ask_weights(k: int, buckets: int, discounts: list[Discount], needed: dict):
+    """For histories of k words that are asked for: their count in the block; how many grams behind them, that this block is
+    first to have, have each count up to K, and the sum of larger counts; and the sum of those grams' P(w | h')."""
 
     def run(data: pa.Table) -> pa.Table:
         b = _of_block(data, k + 1)
         b.number(k + 1)
         keys, place, *_ = b.histories(k)
         r = answers(data, COUNTS + k + 1)[0]
+        c = {j: answers(data, COUNTS + j)[0] >> 1 for j in range(1, k + 1)}
+        asked = _asked(b, k, b.seen(k, c), r >> 1, discounts[k], needed[k])
         size, mine = len(keys), place[b.last[k + 1]]
-        own = ((r & 1) == 1) & (r > 1)
-        lower = _probabilities(b, data, k, discounts)[b.gram[k][b.last[k + 1]]]
-        count = np.bincount(place[b.training], minlength=size).astype(np.int64)
-        mass = np.bincount(mine[own], weights=discounts[k](r[own] >> 1), minlength=size)
+        if b.held:
+            none = np.zeros(int(asked.sum()), np.int64)
+            return table(asks(b.block, WEIGHTS + k, buckets, keys[asked], none, *[none] * (K + 1), none.astype(float)))
+        own = ((r & 1) == 1) & (r > 1) & asked[mine]
+        lower = _probabilities(b, data, k, discounts, needed)[b.gram[k][b.last[k + 1]]]
+        count = np.bincount(place, minlength=size)
+        times = [np.bincount(mine[own & (r >> 1 == x)], minlength=size)[asked] for x in range(1, K + 1)]
+        more = own & (r >> 1 > K)
+        high = np.bincount(mine[more], weights=r[more] >> 1, minlength=size).astype(np.int64)
         low = np.bincount(mine[own], weights=lower[own], minlength=size)
-        back = np.zeros(size, np.uint8)
-        back[mine[r < 2]] = 1
-        return table(asks(b.block, WEIGHTS + k, buckets, keys, count, mass, low, back))
+        return table(asks(b.block, WEIGHTS + k, buckets, keys[asked], count[asked], *times, high[asked], low[asked]))
 
     return run
 
 
-def _weigh(k: int):
-    """Backoff weights, negative where the seen mass has to make room; 1 for an unseen history; 0 where nobody asks."""
+def _weigh(k: int, d: Discount):
+    """Backoff weights, negative where the seen mass has to make room; 1 for an unseen history."""
 
     def run(data: pa.Table) -> pa.Table:
         bucket = data["bucket"][0].as_py()
         blocks, sizes, keys, more = _merged(data)
-        c, mass, low, back = (np.concatenate([unpack(m[i]) for m in more]) for i in range(4))
         _, inverse = np.unique(keys, return_inverse=True)
-        c, mass, low = (np.bincount(inverse, weights=x) for x in (c, mass, low))
+        c, *times, high, low = (np.bincount(inverse, weights=np.concatenate([unpack(m[i]) for m in more])) for i in range(K + 3))
+        # discounts of large counts are those of their sum, as there are none, or one for each gram
+        mass = sum((t * d(np.array([r]))[0] for r, t in enumerate(times, 1)), high)
         left = np.where(c > 0, 1 - mass / np.maximum(c, 1), 1.0)
         full = left < 1e-12
         left = np.where(full, 1 / (c + 1), left)
         weight = np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0)
         value = np.where(full, -weight, weight)[inverse]
-        value = np.where((value < 0) | (back > 0), value, 0.0)
+        # a block of training texts only has to know where seen mass makes room
+        held = np.repeat(np.array(blocks, np.int64) & 1 == 1, sizes)
+        value = np.where(held, value, np.sign(value))
         cut = np.cumsum([0, *sizes])
         return table([(b, b, WEIGHTS + k, bucket, join(pack(value[i:j]))) for b, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)])
 
     return run
 
 
-def _score(order: int, discounts: list[Discount]):
+def _score(order: int, discounts: list[Discount], needed: dict):
     def run(data: pa.Table) -> pa.Table:
         b = _of_block(data, order)
         c = answers(data, COUNTS + 1)[0] >> 1
-        p = _probabilities(b, data, order, discounts)
+        p = _probabilities(b, data, order, discounts, needed)
         one = discounts[0]
         base = np.log10((c + 0.5) / (one.tokens + 0.5 * (one.types + 1)))
         n, word = len(b.uids), b.gram[1]
@@ -377,8 +464,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, order: int = ORDER, block:
     base = documents_of(ws, docs)
     train = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 1, F.lit(True)).cast("int")
     stream = ws.save(base.select("_uid", train.alias("t"), "_text").mapInArrow(_blocks(block), SCHEMA), "blocks")
-    size = stream.agg(F.sum(F.length("data"))).first()[0] or 0
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    # what each task of reading left over is put together, by kind
+    kind, rest = F.pmod("dest", F.lit(2)).alias("held"), F.col("bucket") < block / 2
+    size, left = stream.agg(F.sum(F.length("data")), F.sum(F.when(rest, F.col("bucket")))).first()
+    group = F.pmod(F.xxhash64("dest"), F.lit(-(-(left or 0) // block) or 1)).alias("group")
+    merged = ws.save(stream.where(rest).groupBy(kind, group).applyInArrow(_merged_blocks, SCHEMA), "merged")
+    stream = stream.where(~rest).union(merged)
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-(size or 0) // bucket_bytes))
     by = lambda df, f: df.groupBy("dest").applyInArrow(f, SCHEMA)
 
     def stat(df: DataFrame) -> Discount:
@@ -391,10 +483,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, order: int = ORDER, block:
         counts = ws.save(by(stream.mapInArrow(_ask_counts(k, buckets), SCHEMA), _count(COUNTS + k)), f"counts-{k}")
         discounts.append(stat(counts))
         known = known.union(counts.where(F.col("kind") == COUNTS + k))
+    needed = {}
     for k in range(1, order):
         # a round needs the counts of up to k + 1 words and the weights before
-        weights = ws.save(by(by(known.where(F.col("kind") < WEIGHTS + k).where((F.col("kind") <= COUNTS + k + 1) | (F.col("kind") >= WEIGHTS)), _ask_weights(k, buckets, discounts)), _weigh(k)), f"weights-{k}")
+        here = known.where((F.col("kind") <= COUNTS + k + 1) | (F.col("kind") >= WEIGHTS))
+        held = here.where(F.pmod("dest", F.lit(2)) == 1).where(f"kind in ({STREAM}, {COUNTS + 1}, {COUNTS + k}, {COUNTS + k + 1})")
+        words = held.groupBy("dest").applyInArrow(_needs(k, discounts[k]), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        needed[k] = spark.sparkContext.broadcast(Bitmap.of(ws.save(words, f"needed-{k}").toArrow(), FILTER_BITS))  # of fixed size
+        weights = ws.save(by(by(here, _ask_weights(k, buckets, discounts, needed)), _weigh(k, discounts[k])), f"weights-{k}")
         known = known.union(weights)
     kinds = "_uid long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = ws.save(known.groupBy("dest").applyInArrow(_score(order, discounts), kinds), "scores")
+    scored = ws.save(known.groupBy("dest").applyInArrow(_score(order, discounts, needed), kinds), "scores")
     return base.select("_uid", F.col("_id").alias("doc_id")).join(scored, "_uid").drop("_uid")
