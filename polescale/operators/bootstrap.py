@@ -36,16 +36,17 @@ def _places(rows: DataFrame, order: str) -> DataFrame:
 
 
 def accuracy_draws(spark: SparkSession, places: DataFrame, draws: int, seed: int) -> DataFrame:
-    """``b, _i``: the places drawn, a slot of a draw each."""
+    """``b, _i``: the places drawn, a slot of a draw each; slots come in steps, so no row holds an array as long as the texts."""
     n = places.agg(F.count(F.lit(1)).alias("n"))
-    slots = spark.range(draws).withColumnRenamed("id", "b").join(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return slots.where("n > 0").select("b", draw(F.col("b"), F.col("slot"), seed, F.col("n")).alias("_i"))
+    steps = spark.range(draws).withColumnRenamed("id", "b").join(F.broadcast(n)).where("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STEP).cast("long"))))
+    slots = steps.withColumn("slot", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + (STEP - 1), F.col("n") - 1))))
+    return slots.select("b", draw(F.col("b"), F.col("slot"), seed, F.col("n")).alias("_i"))
 
 
 def accuracy_ci(spark: SparkSession, rows: DataFrame, order: str = "slug", value: str = "correct", draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """One row ``point, mean, ci_lo, ci_hi, n, n_iter, seed``; zeros without rows."""
     p = _places(rows.select(order, F.col(value).cast("double").alias("v")), order)
-    each = accuracy_draws(spark, p, draws, seed).join(F.broadcast(p.select("_i", "v")), "_i").groupBy("b").agg(F.avg("v").alias("a"))
+    each = accuracy_draws(spark, p, draws, seed).join(p.select("_i", "v"), "_i").groupBy("b").agg(F.avg("v").alias("a"))
     lo, hi = _interval("a")
     point = p.agg(F.avg("v").alias("point"), F.count(F.lit(1)).alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -55,7 +56,7 @@ def accuracy_ci(spark: SparkSession, rows: DataFrame, order: str = "slug", value
 def paired_diff_ci(spark: SparkSession, rows: DataFrame, a: str, b: str, order: str = "slug", draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """One row for the accuracies of a and b on the same texts and their difference a - b; inconclusive if the interval holds 0."""
     p = _places(rows.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).withColumn("v", F.col("a") - F.col("b")), order)
-    each = accuracy_draws(spark, p, draws, seed).join(F.broadcast(p.select("_i", "v")), "_i").groupBy("b").agg(F.avg("v").alias("a"))
+    each = accuracy_draws(spark, p, draws, seed).join(p.select("_i", "v"), "_i").groupBy("b").agg(F.avg("v").alias("a"))
     lo, hi = _interval("a")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     j = p.agg(F.avg("v").alias("point"), F.avg("a").alias("pa"), F.avg("b").alias("pb"), F.count(F.lit(1)).alias("n")).join(each.agg(F.avg("a").alias("mean"), lo.alias("lo"), hi.alias("hi")))
@@ -159,6 +160,10 @@ def _text_intervals(hits: DataFrame, means: Callable[[np.ndarray], np.ndarray])
 # --- words --------------------------------------------------------------------
 
 
+#: Texts of a calibration corpus whose draws can be NumPy's.
+MOST_NUMPY_DOCS = 20_000
+
+
 def hashed_document_draws(spark: SparkSession, docs: DataFrame, draws: int = WORD_CI_DRAWS, seed: int = WORD_CI_SEED) -> DataFrame:
     """``b, pole, slug, times`` for ``docs`` (slug, pole): documents drawn within poles, numbered by slug."""
     placed = docs.select("slug", "pole").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("pole").orderBy("slug")) - 1)
@@ -172,11 +177,15 @@ def hashed_document_draws(spark: SparkSession, docs: DataFrame, draws: int = WOR
 def numpy_document_draws(spark: SparkSession, docs: DataFrame, poles: tuple[str, str], draws: int = WORD_CI_DRAWS, seed: int = WORD_CI_SEED) -> DataFrame:
     """The same from one seeded stream: draw by draw, pole by pole in axis order, over documents in order of ``path``.
 
-    The draws are those of a calibration corpus, whose slugs fit the driver.
+    One stream of random numbers has to be drawn in one place; it raises for
+    more than ``MOST_NUMPY_DOCS`` texts, which take ``hashed_document_draws``.
     """
     import pandas as pd
 
-    slugs = docs.select("pole", "path", "slug").orderBy("path").toPandas()
+    few = docs.select("pole", "path", "slug").limit(MOST_NUMPY_DOCS + 1)
+    if few.count() > MOST_NUMPY_DOCS:
+        raise ValueError(f"more than {MOST_NUMPY_DOCS} texts: take hashed draws")
+    slugs = few.orderBy("path").toPandas()
     own = {p: slugs.loc[slugs["pole"] == p, "slug"].to_numpy() for p in poles}
     rng = np.random.default_rng(seed)
     parts = []

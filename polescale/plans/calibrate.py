@@ -37,7 +37,11 @@ def calibrate(spark: SparkSession, root: str, axis: str, dry_run: bool = False,
     for p in (minus, plus):
         if sizes.get(p, 0) < min_docs_per_pole:
             log.warning("only %d texts for pole %s", sizes.get(p, 0), p)
-    draws = bootstrap.numpy_document_draws(spark, texts, (minus, plus), bootstrap_n) if bootstrap_n and not dry_run else None
+    draws = None
+    if bootstrap_n and not dry_run:
+        # published intervals have NumPy's draws, which only a small corpus can have
+        exact = sum(sizes.values()) <= bootstrap.MOST_NUMPY_DOCS
+        draws = bootstrap.numpy_document_draws(spark, texts, (minus, plus), bootstrap_n) if exact else bootstrap.hashed_document_draws(spark, texts, bootstrap_n)
     rows = lexicon(spark, texts.drop("path"), minus, plus, draws, tokenize)
     log.info("%d texts, %d inversions left out", sum(sizes.values()), excluded.count())
     if not dry_run:
