@@ -50,6 +50,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,8 @@ K = 5
 ORDER = 3
 BLOCK = 600_000
 BUCKET_BYTES = 8 << 20
+#: Shares in which a round's rows are shuffled.
+PARTS = 3
 #: Size of the bitmap of histories that are backed off from: 8 MB for any corpus.
 FILTER_BITS = 1 << 26
 END = textnp.mix(np.array([0x656E64], U))
@@ -182,7 +185,8 @@ class Block:
     def number(self, k: int) -> None:
         """Fill ``keys``, ``gram`` and ``last`` for grams of k words."""
         if k not in self.keys:
-            self.keys[k], self.last[k], self.gram[k] = np.unique(self.here[k], return_index=True, return_inverse=True)
+            self.keys[k], self.gram[k], order, first = textnp.unique(self.here[k])
+            self.last[k] = order[first]
 
     def histories(self, k: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
         """Sorted fingerprints of the grams of k words and of k ends, each token's history among them, the place of the ends, and whether they are added."""
@@ -271,24 +275,26 @@ def _blocks(size: int):
 
 
 def _merged(data: pa.Table) -> tuple[list[int], list[int], np.ndarray, list[list[bytes]]]:
-    """A bucket's questions, training blocks first: blocks, sizes, all keys, and what else each row has."""
-    got = sorted(zip(data["block"].to_pylist(), data["data"].to_pylist(), strict=True), key=lambda x: (x[0] & 1, x[0]))
+    """A bucket's questions: blocks, sizes, all keys, and what else each row has."""
+    got = sorted(zip(data["block"].to_pylist(), data["data"].to_pylist(), strict=True))
     parts = [split(d) for _, d in got]
     keys = [unpack_sorted(p[0]) for p in parts]
     return [b for b, _ in got], [len(k) for k in keys], np.concatenate(keys), [p[1:] for p in parts]
 
 
 def _count(kind: int):
-    """Adds up counts; answers ``2 * total``, plus 1 for the first block that has the key; and counts of counts."""
+    """Adds up counts; answers ``2 * total``, plus 1 for one training block that has the key; and counts of counts."""
 
     def run(data: pa.Table) -> pa.Table:
         bucket = data["bucket"][0].as_py()
         blocks, sizes, keys, more = _merged(data)
         counts = np.concatenate([unpack(m[0]) for m in more])
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        _, inverse, order, begins = textnp.unique(keys)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
         value = total[inverse] * 2
-        value[first] += 1
+        if len(keys):
+            one = np.maximum.reduceat(np.where(counts[order] > 0, order, -1), begins)
+            value[one[one >= 0]] += 1
         cut = np.cumsum([0, *sizes])
         out = [(b, b, kind, bucket, join(pack(value[i:j]))) for b, i, j in zip(blocks, cut[:-1], cut[1:], strict=True)]
         seen = total[total > 0]
@@ -395,8 +401,8 @@ def _needs(k: int, d: Discount):
 
 
 def _ask_weights(k: int, buckets: int, discounts: list[Discount], needed: dict):
-    """For histories of k words that are asked for: their count in the block; how many grams behind them, that this block is
-    first to have, have each count up to K, and the sum of larger counts; and the sum of those grams' P(w | h')."""
+    """For histories of k words that are asked for: their count in the block; how many grams behind them, that are this
+    block's to report, have each count up to K, and the sum of larger counts; and the sum of those grams' P(w | h')."""
 
     def run(data: pa.Table) -> pa.Table:
         b = _of_block(data, k + 1)
@@ -427,7 +433,7 @@ def _weigh(k: int, d: Discount):
     def run(data: pa.Table) -> pa.Table:
         bucket = data["bucket"][0].as_py()
         blocks, sizes, keys, more = _merged(data)
-        _, inverse = np.unique(keys, return_inverse=True)
+        inverse = textnp.unique(keys)[1]
         c, *times, high, low = (np.bincount(inverse, weights=np.concatenate([unpack(m[i]) for m in more])) for i in range(K + 3))
         # discounts of large counts are those of their sum, as there are none, or one for each gram
         mass = sum((t * d(np.array([r]))[0] for r, t in enumerate(times, 1)), high)
@@ -478,6 +484,14 @@ def score_texts(spark: SparkSession, docs: DataFrame, order: int = ORDER, block:
         got = [unpack(split(r["data"])[0]) for r in df.where(F.col("kind") == STATS).select("data").toLocalIterator()]
         return Discount(np.sum(got, axis=0) if got else np.zeros(K + 3, np.int64))
 
+    saved: dict[str, list[DataFrame]] = {}
+
+    def in_parts(df: DataFrame, key: str, f, schema: str, name: str) -> DataFrame:
+        """Groups by ``dest``, a share of the blocks or buckets at a time, so that only that share's rows lie shuffled on disk."""
+        part = F.pmod(F.shiftright(key, 1), F.lit(PARTS))
+        saved[name] = [ws.save(df.where(part == i).groupBy("dest").applyInArrow(f, schema), f"{name}-{i}") for i in range(PARTS)]
+        return reduce(DataFrame.union, saved[name])
+
     known, discounts = stream, []
     for k in range(1, order + 1):
         counts = ws.save(by(stream.mapInArrow(_ask_counts(k, buckets), SCHEMA), _count(COUNTS + k)), f"counts-{k}")
@@ -490,8 +504,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, order: int = ORDER, block:
         held = here.where(F.pmod("dest", F.lit(2)) == 1).where(f"kind in ({STREAM}, {COUNTS + 1}, {COUNTS + k}, {COUNTS + k + 1})")
         words = held.groupBy("dest").applyInArrow(_needs(k, discounts[k]), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
         needed[k] = spark.sparkContext.broadcast(Bitmap.of(ws.save(words, f"needed-{k}").toArrow(), FILTER_BITS))  # of fixed size
-        weights = ws.save(by(by(here, _ask_weights(k, buckets, discounts, needed)), _weigh(k, discounts[k])), f"weights-{k}")
-        known = known.union(weights)
+        questions = in_parts(here, "dest", _ask_weights(k, buckets, discounts, needed), SCHEMA, f"questions-{k}")
+        known = known.union(in_parts(questions, "bucket", _weigh(k, discounts[k]), SCHEMA, f"weights-{k}"))
+        ws.drop(*saved.pop(f"questions-{k}"))
     kinds = "_uid long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = ws.save(known.groupBy("dest").applyInArrow(_score(order, discounts, needed), kinds), "scores")
+    scored = in_parts(known, "dest", _score(order, discounts, needed), kinds, "scores")
     return base.select("_uid", F.col("_id").alias("doc_id")).join(scored, "_uid").drop("_uid")

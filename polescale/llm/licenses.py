@@ -169,6 +169,7 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     up = dirs.select("_dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).select("_dir", "depth", F.concat_ws("/", F.slice(steps, 1, F.col("depth"))).alias("above"))
     near = up.join(grants, "above").groupBy("_dir").agg(F.max(F.struct("depth", "above", "g")).alias("n"))
     near = near.select(F.col("_dir").alias("_d"), F.col("n.above").alias("_above"), F.col("n.g.licence").alias("_licence"), (-F.col("n.g.low")).alias("_score"))
+    near = ws.save(near, "nearest")  # so that the join stands alone and a hot directory can be split
     out = j.join(near, F.col("licence").isNull() & (F.col("_dir") == F.col("_d")), "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("_licence").isNotNull(), "inherited")
     return out.select(F.col("_id").alias("doc_id"), F.col("_path").alias("path"), F.coalesce("licence", "_licence").alias("licence"), F.coalesce("score", "_score").alias("score"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("_above")).alias("inherited_from"))

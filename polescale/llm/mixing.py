@@ -76,13 +76,14 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 1.0, most: int = M
     goal = ws.save(targets(ws, rows, budget, most), "targets")
 
     # places in the order of (words, salt, hash) within each source
-    groups = rows.groupBy("_source", "_size").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_salts"))
+    # tables of their own, so that the joins stand alone and a hot source or size can be split
+    groups = ws.save(rows.groupBy("_source", "_size").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_salts")), "groups")
     keyed = rows.join(groups.withColumnRenamed("_source", "_s").withColumnRenamed("_size", "_z"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     keyed = keyed.withColumn("_hash", number(F.lit(str(seed)), F.col("_uid").cast("string")))
     keyed = ws.save(keyed.withColumn("_salt", F.pmod(F.col("_hash"), F.col("_salts"))).drop("_s", "_z", "_salts"), "keyed")
     step = Window.partitionBy("_source").orderBy("_size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     heads = keyed.groupBy("_source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(step), F.lit(0)))
-    heads = heads.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_salt").alias("_t"), "_before")
+    heads = ws.save(heads.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_salt").alias("_t"), "_before"), "heads")
     inner = F.row_number().over(Window.partitionBy("_source", "_size", "_salt").orderBy("_hash", "_uid"))
     placed = keyed.withColumn("_row", inner).join(heads, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
     placed = placed.select("_uid", "_id", "_source", "_size", (F.col("_before") + F.col("_row")).alias("_place"))

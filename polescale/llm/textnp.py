@@ -33,6 +33,20 @@ def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z ^ (z >> U(32))
 
 
+def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, each value's place among them, the order that sorts ``x``, and where in it each value begins.
+
+    ``np.unique`` sorts stably when asked for places, which takes several times as long.
+    """
+    order = np.argsort(x)
+    s = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s[new], place, order, np.flatnonzero(new)
+
+
 _BYTE = mix(np.arange(1, 257, dtype=U) * _M1)
 _POW = np.multiply.accumulate(np.full(4096, U(0xD6E8FEB86659FD93)))
 
