@@ -45,6 +45,38 @@ def test_components_go_to_the_end(spark):
     assert got == {i: 0 for i in range(n + 1)} | {2000: 2000, 2001: 2000}
 
 
+class Elsewhere:
+    """A session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, other=None: other)
+
+    class sparkContext:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+
+def test_clusters_need_a_shared_folder(spark):
+    import pytest
+
+    from polescale.llm.common import shared_dir
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(Elsewhere)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_work_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from polescale.llm.common import WRITING, Workspace, scratch
+
+    with scratch():
+        ws = Workspace(spark, "gone")
+        t = ws.save(spark.range(10).repartition(2), "t")
+        assert t.count() == 10 and Path(ws.root).is_dir()
+    assert not Path(ws.root).exists() and all(spark.conf.get(k, None) is None for k in WRITING)
+
+
 def test_repeats(spark):
     rows = [(5, LONG), (5, LONG), (None, LONG), (None, None), (3, ""), (-(2**63), "z" * 1_000_000)]
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark, frame(spark, rows, "doc_id long, text string")).drop("kept_text").collect()), key=str)
