@@ -194,10 +194,10 @@ def test_light_import():
 def test_registry():
     e = importlib.import_module("__spark_entry__")
     q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q) and len(o) > 35
+    assert set(o) <= set(q) and len(o) > 60
 
 
-@pytest.mark.parametrize("name", ["wordscores_lexicon", "graded_texts", "segment_strategy", "chunk_pack", "semaxis_scores", "blend_gamma", "stance_scores", "eval_pool"])
+@pytest.mark.parametrize("name", ["wordscores_lexicon", "graded_texts", "segment_strategy", "chunk_pack", "semaxis_scores", "blend_gamma", "stance_scores", "eval_pool", "document_chunks", "word_ci", "corpus_files", "axis_corpus_files", "reference_book", "comparison_files", "compared_files", "report_figures", "scored_texts", "prediction_files"])
 def test_queries_match_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = Path("/root/testdata/sf0.001")
