@@ -12,6 +12,7 @@ from polescale.config import CHUNK_WORDS, LONG_TEXT, MIN_PARAGRAPHS, WINDOW_SENT
 
 #: White space as Python's str.strip and str.split see it.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 SENTENCE_END = r"([.!?…]+)" + WS + "+"
 TOKEN = r"(\p{L}{2,})"
 MARK = "\x01"
@@ -23,7 +24,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def not_blank(parts: Column) -> Column:
@@ -32,7 +33,7 @@ def not_blank(parts: Column) -> Column:
 
 def n_words(x: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(x, WS + "+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(F.translate(x, SPACES, " " * len(SPACES)), " "), lambda w: w != ""))
 
 
 def sentences(x: Column) -> Column:
