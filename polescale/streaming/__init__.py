@@ -26,10 +26,15 @@ def scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
 
 
 def joined_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
-    """The same columns as ``row_local_scores`` for static ``texts`` and a lexicon of any size: distinct bodies are scored by a join."""
+    """The same columns as ``row_local_scores`` for static ``texts`` and a lexicon of any size, by a join.
+
+    Rows are told apart by their body's digest, as nothing else need be unique. Rows of one body are scored together: their
+    mean is each one's, their hits are shared out; so bodies themselves are never shuffled.
+    """
     key = F.sha2(F.coalesce("body", F.lit("")), 256)
-    bodies = texts.select(key.alias("slug"), F.coalesce("body", F.lit("")).alias("body")).dropDuplicates(["slug"])
+    bodies = texts.select(key.alias("slug"), F.coalesce("body", F.lit("")).alias("body"))
     scored = axis_scores(bodies, lexicon.where("score is not null"), tokenize).withColumnRenamed("slug", "_body")
+    scored = scored.groupBy("_body").agg(F.first("axis_score").alias("axis_score"), (F.first("n_hits") / F.count(F.lit(1))).cast("long").alias("n_hits"), F.first("n_tokens").alias("n_tokens"))
     return texts.withColumn("_body", key).join(scored, "_body").select(*texts.columns, "axis_score", "n_hits", "n_tokens")
 
 
