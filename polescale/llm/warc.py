@@ -127,8 +127,17 @@ class _File:
         self.n += 1
 
     def close(self) -> tuple:
+        from pyarrow import fs
+
         self.out.close()
-        self.fs.move(self.temporary, self.path)
+        try:
+            self.fs.move(self.temporary, self.path)
+        except OSError:
+            # some stores don't rename onto a file that an attempt before left; it has the same bytes
+            if self.fs.get_file_info(self.path).type != fs.FileType.File:
+                raise
+            self.fs.delete_file(self.path)
+            self.fs.move(self.temporary, self.path)
         return self.name, self.shard, self.seq, self.n, self.size, self.sha.hexdigest()
 
 

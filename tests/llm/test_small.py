@@ -175,6 +175,30 @@ def test_left_over_files_go(spark, tmp_path):
     assert {r.refers_to for r in got if r.record_type == "revisit"} == {1}
 
 
+def test_repeated_attempt(tmp_path):
+    """A store that doesn't rename onto an existing file still takes a task's second attempt."""
+
+    class Strict:
+        def __init__(self, store):
+            self.store = store
+
+        def move(self, a, b):
+            if (tmp_path / "shard-000000-00000.warc.gz").exists():
+                raise OSError("exists")
+            self.store.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    done = []
+    for _ in range(2):
+        f = warc._File(f"file://{tmp_path}", 0, 0)
+        f.fs = Strict(f.fs)
+        f.add(b"record")
+        done.append(f.close())
+    assert done[0] == done[1] and [p.name for p in tmp_path.iterdir()] == ["shard-000000-00000.warc.gz"]
+
+
 def test_small_payloads_and_empty(spark, tmp_path):
     warc.write_archives(spark, pages(spark), f"file://{tmp_path}/w", min_bytes=5)
     got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
