@@ -185,6 +185,13 @@ def test_command_line(spark, root, capsys):
     assert cli.main(["compare", "--axis", "hors-sol-terrestre", "--root", str(root), "--dry-run"]) == 0
 
 
+def test_root_from_the_environment(monkeypatch):
+    monkeypatch.setenv("POLESCALE_ROOT", "/some/where")
+    assert cli.parser().parse_args(["calibrate", "--axis", "x"]).root == "/some/where"
+    monkeypatch.delenv("POLESCALE_ROOT")
+    assert cli.parser().parse_args(["compare", "--axis", "x"]).root == "/data/corpus"
+
+
 def test_light_import():
     """Importing the package starts no Spark and loads no model library."""
     code = "import sys, polescale.config, polescale.queries, polescale.plans.score; bad = {'torch', 'spacy', 'transformers', 'redis', 'psycopg'} & set(sys.modules); sys.exit(bool(bad))"
