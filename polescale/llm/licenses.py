@@ -7,13 +7,14 @@ words outside them weigh as the rarest. A unit is a template's if its
 cosine is at least ``threshold``; a file takes the template of its best
 unit, ties to the first in order of name.
 
-Most units cannot reach the threshold. For each template its heaviest words
-(single letters and common words last) are kept as cues until the rest of its vector is shorter than the threshold;
-by Cauchy and Schwarz a unit without any cue stays below it. Units with a cue
-that is no common word are turned into rows. Of other units the row itself
-tells an upper bound: the template's weights of the words there are, then the
-cosine with each word outside the templates counted once. Only units whose
-bound reaches the threshold are turned into rows. This drops no match.
+Most texts have no unit that reaches the threshold. For each template its
+heaviest words (single letters and common words last) are kept as cues until
+the rest of its vector is shorter than the threshold; by Cauchy and Schwarz a
+text without any cue has no such unit, and one with common cues only has none
+unless its words hold enough of some template's vector. Units of other texts
+are scored in their row: dot products with all templates first, then, unless a
+bound of the norm already says no, the norm. This drops no match, and nothing
+is shuffled before the directories are joined.
 
 A licence file (base name LICENSE, LICENCE, COPYING or NOTICE, or a whole text
 that is a template) licenses its directory. A file without an own header
@@ -58,6 +59,25 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Whole licence texts, and the notices that long licences ask for in files.
+TEMPLATES += [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
 # Words of the templates that most texts have; cues last, as they tell least. Their weights are those of all words.
 COMMON = {"a", "all", "and", "any", "are", "as", "be", "by", "can", "do", "for", "found", "has", "have", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "work", "you"}
 FILES = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
@@ -94,62 +114,69 @@ def _words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), SPLIT), lambda w: w != "")
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-
-
-def bounds(idf: dict[str, float], other: float, rows: list[tuple[int, str, str, float]], rare: set[str], threshold: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Whether the words of a unit without a rare cue may reach the threshold: by the words there are, and by a bound of the cosine.
-
-    The first holds for a text if it holds for any of its units.
-    """
+def bounds(idf: dict[str, float], rows: list[tuple[int, str, str, float]], rare: set[str], threshold: float) -> Callable[[Column], Column]:
+    """Whether the words of a text without a rare cue may hold a unit that reaches the threshold."""
     known = sorted(set(idf) - rare)
     weights = {k: {w: x for j, _, w, x in rows if j == k and w not in rare} for k, *_ in rows}
     weights = {k: v for k, v in weights.items() if sum(x * x for x in v.values()) >= (threshold * 0.999) ** 2}
-    literal = lambda xs: F.array(*map(F.lit, xs))
-    any_of = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
 
     def present(words: Column) -> Column:
         share = lambda here, v: reduce(lambda a, b: a + b, [F.when(F.array_contains(here, w), x * x).otherwise(0.0) for w, x in v.items()])
-        return once(F.array_intersect(words, literal(known)), lambda here: any_of([share(here, v) >= (threshold * 0.999) ** 2 for v in weights.values()]))
-
-    def near(words: Column) -> Column:
-        def reaches(tf: Column) -> Column:
-            others = F.size(words) - _sum(tf)
-            square = _sum(F.zip_with(tf, literal([idf[w] for w in known]), lambda n, x: n * n * x * x)) + other * other * others
-            dots = [_sum(F.zip_with(tf, literal([idf[w] * v.get(w, 0.0) for w in known]), lambda n, x: n * x)) for v in weights.values()]
-            return any_of([d >= threshold * 0.999 * F.sqrt(square) for d in dots])
+        enough = lambda here: reduce(lambda a, b: a | b, [share(here, v) >= (threshold * 0.999) ** 2 for v in weights.values()])
+        return F.element_at(F.transform(F.array(F.array_intersect(words, F.array(*map(F.lit, known)))), enough), 1)
 
-        own = F.filter(words, lambda w: w.isin(*known))
-        return once(own, lambda mine: once(F.transform(literal(known), lambda k: F.size(F.filter(mine, lambda w: w == k)).cast("double")), reaches))
+    return present if weights else (lambda words: F.lit(False))
 
-    if not weights:
-        return (lambda words: F.lit(False)), (lambda words: F.lit(False))
-    return present, lambda words: present(words) & near(words)
 
+def scores(idf: dict[str, float], other: float, rows: list[tuple[int, str, str, float]], threshold: float) -> Callable[[Column], Column]:
+    """Of a unit's words: ``array<struct<low, licence>>`` of the templates whose cosine reaches the threshold, ``low`` its negative.
 
-def own_licences(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``_uid, licence, score, whole`` of the files (_uid, _text) with a unit that matches; ``whole`` if it is the whole text."""
+    The dot product is linear in the term frequencies, so it is a sum over the words as they stand; the norm takes one pass
+    over the sorted words, in which the (n + 1)-th word of a run adds (2 n + 1) times its squared weight. So a unit is
+    scored in its row, and nothing is shuffled.
+    """
+    last = max(k for k, *_ in rows)
+    names = {k: name for k, name, *_ in rows}
+    vectors: dict[str, list[float]] = {}
+    for k, _, w, x in rows:
+        vectors.setdefault(w, [0.0] * (last + 1))[k] = idf[w] * x
+    literal = lambda d, f: F.create_map(*[F.lit(x) if i % 2 == 0 else f(x) for kv in sorted(d.items()) for i, x in enumerate(kv)])
+    squares, dots_of = literal({w: x * x for w, x in idf.items()}, F.lit), literal(vectors, lambda v: F.array(*map(F.lit, v)))
+    known, zeros = sorted(vectors), F.array(*[F.lit(0.0)] * (last + 1))
+
+    def length(words: Column) -> Column:
+        def step(a: Column, w: Column) -> Column:
+            n = F.when(a["w"] == w, a["n"]).otherwise(0)
+            return F.struct(w.alias("w"), (n + 1).alias("n"), (a["s"] + (2 * n + 1) * F.coalesce(F.try_element_at(squares, w), F.lit(other * other))).alias("s"))
+
+        none = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+        return F.aggregate(F.array_sort(words), none, step, lambda a: F.sqrt(a["s"]))
+
+    def of(words: Column) -> Column:
+        once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+        add = lambda own: F.aggregate(own, zeros, lambda a, w: F.zip_with(a, F.element_at(dots_of, w), lambda x, y: x + y))
+        low = lambda d, n, k: -F.round(F.get(d, F.lit(k)) / n, 9)
+        fit = lambda d: once(length(words), lambda n: F.filter(F.array(*[F.struct(low(d, n, k).alias("low"), F.lit(names[k]).alias("licence")) for k in range(last + 1)]), lambda m: m["low"] <= -threshold))
+        none = F.array().cast("array<struct<low:double,licence:string>>")
+        # a word that stands n times adds at least n times its squared weight to the norm's square: no need to sort most units
+        least = lambda own: F.sqrt(F.lit(other * other) * (F.size(words) - F.size(own)) + F.lit(min(idf.values()) ** 2) * F.size(own))
+        return once(F.filter(words, lambda w: w.isin(*known)), lambda own: F.when(F.size(own) == 0, none).otherwise(once(add(own), lambda d: F.when(F.array_max(d) >= threshold * 0.999 * least(own), fit(d)).otherwise(none))))
+
+    return of
+
+
+def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``_uid, licence, score, whole`` of the files (_uid, _text) with a unit that may match, null where none does; ``whole`` if it is the whole text."""
     idf, other, rows, cues = model(templates, threshold)
     rare = [w for w in cues if w not in COMMON]
-    cue = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(map(re.escape, rare)) + r")(?:[^\p{L}\p{N}]|$)" if rare else "$^"
-    has = lambda x: F.lower(x).rlike(cue)
-    present, near = bounds(idf, other, rows, set(rare), threshold)
-    found = files.select("_uid", "_text").where(has(F.col("_text")) | present(_words_of(F.col("_text"))))
-    may = lambda x: has(x) | F.element_at(F.transform(F.array(_words_of(x)), near), 1)
-    parts = F.filter(F.array_distinct(F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n"), F.array("_text"))), may)
-    unit = found.select("_uid", "_text", F.posexplode(parts).alias("unit", "line")).select("_uid", "unit", (F.col("line") == F.col("_text")).alias("whole"), "line")
-    words = unit.select("_uid", "unit", "whole", F.explode(F.split(F.lower("line"), SPLIT)).alias("word")).where("word <> ''")
-    tf = words.groupBy("_uid", "unit", "whole", "word").agg(F.count(F.lit(1)).alias("tf"))
-    known = spark.createDataFrame([(w, x) for w, x in sorted(idf.items())], "word string, idf double")  # the templates' words
-    weights = spark.createDataFrame(rows, "template int, licence string, word string, weight double")
-    v = tf.join(F.broadcast(known), "word", "left").select("_uid", "unit", "whole", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x"))
-    norms = v.groupBy("_uid", "unit", "whole").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = v.join(F.broadcast(weights), "word").groupBy("_uid", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["_uid", "unit"]).select("_uid", "whole", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
-    first = F.min(F.struct((-F.col("score")).alias("low"), "licence", (~F.col("whole")).alias("part")))
-    best = scored.groupBy("_uid").agg(first.alias("b"))
+    cue = F.array(*map(F.lit, rare)).cast("array<string>")
+    present = bounds(idf, rows, set(rare), threshold)
+    # the words of a text are cut once, and its cues looked up among them
+    found = files.select("_uid", "_text").where(F.element_at(F.transform(F.array(_words_of(F.col("_text"))), lambda w: F.arrays_overlap(w, cue) | present(w)), 1))
+    parts = F.array_distinct(F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n"), F.array("_text")))
+    matches = scores(idf, other, rows, threshold)
+    fits = F.flatten(F.transform(parts, lambda x: F.transform(F.element_at(F.transform(F.array(_words_of(x)), matches), 1), lambda m: F.struct(m["low"].alias("low"), m["licence"].alias("licence"), (x != F.col("_text")).alias("part")))))
+    best = found.select("_uid", F.array_min(fits).alias("b"))  # a filter here would score every unit twice
     return best.select("_uid", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"), (~F.col("b.part")).alias("whole"))
 
 
@@ -157,7 +184,7 @@ def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]]
     """``doc_id, path, licence, score, origin, inherited_from`` for each row of ``files`` (doc_id, path, text)."""
     ws = Workspace(spark, "licences")
     base = documents_of(ws, files, F.col("path").cast("string").alias("_path"))
-    own = ws.save(own_licences(spark, base, templates, threshold), "own")
+    own = ws.save(own_licences(base, templates, threshold), "own").where("licence is not null")
     names = base.select("_uid", "_id", "_path", directory(F.col("_path")).alias("_dir"))
     j = ws.save(names.join(own, "_uid", "left"), "named")
 
