@@ -55,7 +55,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of items: fingerprint, item, number of words of the item, place."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, _, data, offs in textnp.slices(b.column(1)):
+        for i, _, data, offs in textnp.slices(b.column(1), textnp.PART):
             s, e, counts = textnp.words(data, offs)
             h, at = textnp.word_hashes(data, s, e), 0
             for r, c in enumerate(counts.tolist()):
@@ -71,7 +71,7 @@ def _windows(sizes: list[int], mask):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, _, data, offs in textnp.slices(b.column(1)):
+            for i, _, data, offs in textnp.slices(b.column(1), textnp.PART):
                 s, e, counts = textnp.words(data, offs)
                 h = textnp.word_hashes(data, s, e)
                 first = np.concatenate([[0], np.cumsum(counts)])

@@ -53,6 +53,8 @@ SKETCH_BITS = 1024
 #: Standard deviation of the similarity from SAMPLES samples and of the sketch is about 0.03 at 0.85; six of them.
 MARGIN = 0.18
 BLOCK = 512
+#: Words that a block's product takes in at once: what it needs beside its sets doesn't follow the length of the texts.
+PART_WORDS = 1 << 18
 #: Size of the bitmap of wanted documents: 4 MB for any corpus.
 FILTER_BITS = 1 << 25
 
@@ -87,7 +89,7 @@ def bands_and_sketches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, data, offs in textnp.slices(b.column(2)):
+        for i, j, data, offs in textnp.slices(b.column(2), textnp.PART):
             sizes, node, rows, mins = [], [], [], []
             for r, v in enumerate(textnp.shingle_sets(data, offs)):
                 sizes.append(len(v))
@@ -121,7 +123,7 @@ def _node(v: np.ndarray) -> str:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, data, offs in textnp.slices(b.column(1)):
+        for i, j, data, offs in textnp.slices(b.column(1), textnp.PART):
             sets = list(textnp.shingle_sets(data, offs))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
@@ -152,23 +154,30 @@ def _links(percent: int):
     """Exact links across components within a block of classes, as a spanning forest."""
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         names, comps = pdf["cid"].to_numpy(), pdf["comp"].to_numpy()
-        sizes = pdf["words"].map(len).to_numpy(np.int64)
+        sets = [np.asarray(x, np.int64).view(U) for x in pdf["words"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         n = len(names)
-        each = np.repeat(np.arange(n), sizes)
-        values, inverse, times = np.unique(np.concatenate(pdf["words"].tolist()), return_inverse=True, return_counts=True)
-        shared = times > 1
-        column = np.cumsum(shared) - 1
-        use = shared[inverse]
-        each, cols = each[use], column[inverse[use]]
-        order = np.argsort(cols, kind="stable")
-        each, cols = each[order], cols[order]
         both = np.zeros((n, n), np.float32)
-        step = max(1, (1 << 24) // max(1, n))
-        for at in range(0, int(shared.sum()), step):
-            lo, hi = np.searchsorted(cols, [at, at + step])
-            m = np.zeros((n, min(step, int(shared.sum()) - at)), np.float32)
-            m[each[lo:hi], cols[lo:hi] - at] = 1
-            both += m @ m.T
+        step = max(1, (1 << 22) // max(1, n))
+        # sets are sorted: part by part of the range of fingerprints
+        parts = max(1, -(-int(sizes.sum()) // PART_WORDS))
+        inner = np.array([k * (1 << 64) // parts for k in range(1, parts)], U)
+        cuts = [[0, *np.searchsorted(x, inner).tolist(), len(x)] for x in sets]
+        for k in range(parts):
+            own = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]
+            each = np.repeat(np.arange(n), [len(x) for x in own])
+            _, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            shared = times > 1
+            column = np.cumsum(shared) - 1
+            use = shared[inverse]
+            each, cols = each[use], column[inverse[use]]
+            order = np.argsort(cols, kind="stable")
+            each, cols = each[order], cols[order]
+            for at in range(0, int(shared.sum()), step):
+                lo, hi = np.searchsorted(cols, [at, at + step])
+                m = np.zeros((n, min(step, int(shared.sum()) - at)), np.float32)
+                m[each[lo:hi], cols[lo:hi] - at] = 1
+                both += m @ m.T
         both = both.astype(np.int64)
         union = sizes[:, None] + sizes[None, :] - both
         a, b = np.nonzero(np.triu(100 * both >= percent * union, 1))

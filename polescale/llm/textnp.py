@@ -13,6 +13,8 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE = 2 << 20
+#: Where a text becomes some 30 times its bytes in numpy arrays: of half a MB, so a worker needs less than 20 MB for them.
+PART = 512 << 10
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
