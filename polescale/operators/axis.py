@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polescale.functions.labels import correct, predict, sign_robust
 from polescale.functions.text import tokens
+from polescale.operators.counting import ROWS, parts, row_words
 from polescale.operators.wordscores import KEY, explode_tokens
 
 
@@ -18,16 +23,52 @@ def hits(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
 def axis_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
     """``slug, axis_score, n_hits, n_tokens``; a text without hits scores 0.
 
-    Token rows are summed to (slug, word) before they meet the lexicon, so the
-    join sees each word of a text once.
+    A text's words are counted in its row, so just its distinct words meet
+    the lexicon, and neither tokens nor bodies are shuffled.
     """
-    counted = explode_tokens(texts, tokenize=tokenize).groupBy("slug", *KEY).agg(F.count(F.lit(1)).alias("k"))
-    found = counted.join(lexicon.select(*KEY, "score"), KEY)
-    found = found.groupBy("slug").agg((F.sum(F.col("k") * F.col("score")) / F.sum("k")).alias("s"), F.sum("k").alias("h"))
+    found = row_words(texts, "slug", tokenize=tokenize).join(lexicon.select(*KEY, "score"), KEY)
+    found = found.groupBy("slug").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("s"), F.sum("n").alias("h"))
+    return _scored(texts, found, tokenize)
+
+
+def _scored(texts: DataFrame, found: DataFrame, tokenize) -> DataFrame:
     base = texts.select("slug", F.size(tokenize(F.col("body"))).cast("long").alias("n_tokens"))
     return base.join(found, "slug", "left").select("slug", F.coalesce("s", F.lit(0.0)).alias("axis_score"), F.coalesce("h", F.lit(0)).cast("long").alias("n_hits"), "n_tokens")
 
 
+def text_hits(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFrame:
+    """``slug, s``: a text's in-lexicon scores as one array in text order (bounded by the text); texts without hits are left out.
+
+    Texts of one slug are interleaved by place, then score, as ``hits`` in order would be.
+    """
+    found = row_words(texts, "slug", tokenize=tokenize, places=True).join(lexicon.select(*KEY, "score"), KEY)
+    return in_text_order(found.groupBy("slug").agg(F.collect_list(F.struct("score", "at")).alias("own")))
+
+
+def in_text_order(gathered: DataFrame) -> DataFrame:
+    """``slug, s`` from ``slug, own array<struct<score, at array<int>>>``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, end in parts(b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), ROWS):
+                part = b.slice(at, end - at)
+                score, places = part.column(1).flatten().flatten()
+                words, k = part.column(1).value_lengths().to_numpy(zero_copy_only=False), places.value_lengths().to_numpy(zero_copy_only=False)
+                s = np.repeat(score.to_numpy(zero_copy_only=False), k)
+                text = np.repeat(np.repeat(np.arange(len(words)), words), k)
+                s = s[np.lexsort((s, places.flatten().to_numpy(), text))]
+                ends = np.r_[0, np.cumsum(np.bincount(text, minlength=len(words)))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(s))], names=["slug", "s"])
+
+    return gathered.mapInArrow(run, f"slug {gathered.schema['slug'].dataType.simpleString()}, s array<double>")
+
+
+def hit_scores(texts: DataFrame, hits: DataFrame, tokenize=tokens) -> DataFrame:
+    """``axis_scores`` from ``text_hits``."""
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    return _scored(texts, hits.select("slug", mean.alias("s"), F.size("s").cast("long").alias("h")), tokenize)
+
+
 def graded(scored: DataFrame, minus: str, plus: str, cis: DataFrame | None = None) -> DataFrame:
     """Adds ``predicted_pole, on_axis, correct`` and, with intervals, ``ci_low, ci_high, sign_robust``."""
     p = predict(F.col("axis_score"), F.col("n_hits"), minus, plus)

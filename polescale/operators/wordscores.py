@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polescale.config import DIGITS, LOWE_ALPHA
 from polescale.functions.text import tokens
+from polescale.operators.counting import row_words
 
 KEY = ["word", "pos"]
 
@@ -25,6 +26,16 @@ def document_counts(texts: DataFrame, tokenize=tokens) -> DataFrame:
     return explode_tokens(texts, "slug", "pole", tokenize=tokenize).groupBy("slug", "pole", *KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
+def single_documents(texts: DataFrame) -> bool:
+    """Whether no two rows are of one document (slug, pole)."""
+    return not texts.groupBy("slug", "pole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+
+
+def row_counts(texts: DataFrame, tokenize=tokens) -> DataFrame:
+    """As ``document_counts``; counted in rows without a shuffle where each document is one row."""
+    return row_words(texts, "slug", "pole", tokenize=tokenize) if single_documents(texts) else document_counts(texts, tokenize)
+
+
 def pole_totals(texts: DataFrame, tokenize=tokens) -> DataFrame:
     """Texts and tokens of each pole; no shuffle of tokens."""
     return texts.select("pole", F.size(tokenize(F.col("body"))).alias("k")).groupBy("pole").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("k").cast("long").alias("n_tokens"))

@@ -21,6 +21,7 @@ from polescale.functions import text as tx
 from polescale.operators import axis as ax
 from polescale.operators import blend, bootstrap, geometry, stance
 from polescale.operators import wordscores as ws
+from polescale.sources.files import work_table
 
 MINUS, PLUS = "hors_sol", "terrestre"
 ACCURACY_DRAWS = 1000
@@ -55,7 +56,8 @@ def seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def freqs(spark: SparkSession, d: str) -> DataFrame:
-    return ws.frequencies(ws.document_counts(seeds(spark, d)), MINUS, PLUS)
+    """Written once: lexicons read it for the words and for their totals."""
+    return work_table(ws.frequencies(ws.row_counts(seeds(spark, d)), MINUS, PLUS), "freqs")
 
 
 def lbg(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to a shared folder and read back, for what several later steps read; it goes when the process ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # shuffle files go with the write
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def delete() -> None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended; its folder is cleaned by whoever owns it
+            pass
+
+    atexit.register(delete)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Write ``files`` (name, content) to ``folder``, each under a temporary name first; their number. Names are distinct."""
 
