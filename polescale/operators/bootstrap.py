@@ -30,38 +30,79 @@ def _interval(x: str):
 # --- accuracies ---------------------------------------------------------------
 
 
-def _places(rows: DataFrame, order: str) -> DataFrame:
-    """Graded texts are a benchmark's hold-out, not the corpus; one ordered numbering of them is small."""
-    return rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-
-
 def accuracy_draws(spark: SparkSession, places: DataFrame, draws: int, seed: int) -> DataFrame:
-    """``b, _i``: the places drawn, a slot of a draw each; slots come in steps, so no row holds an array as long as the texts."""
+    """``b, _i``: the places drawn, a row for each slot of a draw; slots come in steps, so no row holds an array as long as the texts."""
     n = places.agg(F.count(F.lit(1)).alias("n"))
     steps = spark.range(draws).withColumnRenamed("id", "b").join(F.broadcast(n)).where("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STEP).cast("long"))))
     slots = steps.withColumn("slot", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + (STEP - 1), F.col("n") - 1))))
     return slots.select("b", draw(F.col("b"), F.col("slot"), seed, F.col("n")).alias("_i"))
 
 
+#: Slots whose draws a worker hashes at once.
+SLOTS_AT_ONCE = 1 << 16
+
+
+def hashed_places(b: int | str, seed: int, n: int, at: int, end: int) -> np.ndarray:
+    """``functions.draws.draw`` of draw ``b`` for the slots from ``at`` to before ``end``, of ``n`` places."""
+    from hashlib import md5
+
+    head, tail = f"{b}-".encode(), f"-{seed}".encode()
+    raw = b"".join([md5(head + b"%d" % i + tail).digest()[:4] for i in range(at, end)])
+    return np.frombuffer(raw, ">u4").astype(np.int64) % n
+
+
+def _in_order(rows: DataFrame, order: str, *values: str) -> list[np.ndarray]:
+    """The values in order. Graded texts are a benchmark's hold-out, not the corpus: a number for each comes to the driver, once."""
+    got = rows.select(F.col(order).alias("_o"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    got = got.repartition(1).sortWithinPartitions("_o").drop("_o").toArrow()  # a sort over ranges would compute the rows twice
+    return [got.column(i).to_numpy() for i in range(len(values))]
+
+
+def drawn_means(spark: SparkSession, values: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Means of the hashed resamples of ``values``, a draw each: a worker holds the values and sums a draw's slots, so no slot is a row."""
+    if not len(values):
+        return np.zeros(0)
+    known, n = ~np.isnan(values), len(values)  # null values don't count
+    held = spark.sparkContext.broadcast((np.where(known, values, 0), None if known.all() else known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, counts = held.value
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                total, k = 0.0, 0
+                for at in range(0, n, SLOTS_AT_ONCE):
+                    i = hashed_places(b, seed, n, at, min(at + SLOTS_AT_ONCE, n))
+                    total, k = total + float(x[i].sum()), k + (len(i) if counts is None else int(counts[i].sum()))
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([total / k], pa.float64())], names=["b", "a"])
+
+    tasks = min(draws, max(8, 4 * spark.sparkContext.defaultParallelism))
+    got = spark.range(0, draws, 1, tasks).mapInArrow(run, "b long, a double").toArrow()
+    held.unpersist()
+    return got["a"].to_numpy()[np.argsort(got["b"].to_numpy())]
+
+
+def _summary(v: np.ndarray, means: np.ndarray) -> list[float]:
+    if not len(means):
+        return [0.0] * 4
+    return [float(np.nanmean(v)), float(means.mean()), *map(float, np.percentile(means, CI_PERCENTILES))]
+
+
 def accuracy_ci(spark: SparkSession, rows: DataFrame, order: str = "slug", value: str = "correct", draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
-    """One row ``point, mean, ci_lo, ci_hi, n, n_iter, seed``; zeros without rows."""
-    p = _places(rows.select(order, F.col(value).cast("double").alias("v")), order)
-    each = accuracy_draws(spark, p, draws, seed).join(p.select("_i", "v"), "_i").groupBy("b").agg(F.avg("v").alias("a"))
-    lo, hi = _interval("a")
-    point = p.agg(F.avg("v").alias("point"), F.count(F.lit(1)).alias("n"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return point.join(each.agg(F.avg("a").alias("mean"), lo.alias("lo"), hi.alias("hi"))).select(zero(F.col("point")).alias("point"), zero(F.col("mean")).alias("mean"), zero(F.col("lo")).alias("ci_lo"), zero(F.col("hi")).alias("ci_hi"), "n", F.lit(draws).cast("long").alias("n_iter"), F.lit(seed).cast("long").alias("seed"))
+    """One row ``point, mean, ci_lo, ci_hi, n, n_iter, seed``; zeros without rows. The rows are computed once."""
+    [v] = _in_order(rows, order, value)
+    return spark.createDataFrame([(*_summary(v, drawn_means(spark, v, draws, seed)), len(v), draws, seed)], "point double, mean double, ci_lo double, ci_hi double, n long, n_iter long, seed long")
 
 
 def paired_diff_ci(spark: SparkSession, rows: DataFrame, a: str, b: str, order: str = "slug", draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """One row for the accuracies of a and b on the same texts and their difference a - b; inconclusive if the interval holds 0."""
-    p = _places(rows.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).withColumn("v", F.col("a") - F.col("b")), order)
-    each = accuracy_draws(spark, p, draws, seed).join(p.select("_i", "v"), "_i").groupBy("b").agg(F.avg("v").alias("a"))
-    lo, hi = _interval("a")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    j = p.agg(F.avg("v").alias("point"), F.avg("a").alias("pa"), F.avg("b").alias("pb"), F.count(F.lit(1)).alias("n")).join(each.agg(F.avg("a").alias("mean"), lo.alias("lo"), hi.alias("hi")))
-    j = j.select(zero(F.col("pa")).alias("point_a"), zero(F.col("pb")).alias("point_b"), zero(F.col("point")).alias("diff"), zero(F.col("mean")).alias("mean"), zero(F.col("lo")).alias("ci_lo"), zero(F.col("hi")).alias("ci_hi"), "n", F.lit(draws).cast("long").alias("n_iter"), F.lit(seed).cast("long").alias("seed"))
-    return j.withColumn("inconclusive", (F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0))
+    x, y = _in_order(rows, order, a, b)
+    v = x - y
+    means = drawn_means(spark, v, draws, seed)
+    point, mean, lo, hi = _summary(v, means)
+    own = [float(np.nanmean(u)) if len(means) else 0.0 for u in (x, y)]
+    kinds = "point_a double, point_b double, diff double, mean double, ci_lo double, ci_hi double, n long, n_iter long, seed long, inconclusive boolean"
+    return spark.createDataFrame([(*own, point, mean, lo, hi, len(v), draws, seed, lo <= 0 <= hi)], kinds)
 
 
 def numpy_means(values: np.ndarray, draws: int, seed: int) -> np.ndarray:
