@@ -7,7 +7,8 @@ wholly as joins and aggregates; and NumPy ones, equal to those of a seeded
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from polescale.config import CI_PERCENTILES, TEXT_CI_DRAWS, TEXT_CI_SEED, WORD_CI_DOCS, WORD_CI_DRAWS, WORD_CI_SEED
 from polescale.functions.draws import draw
 from polescale.operators.wordscores import KEY
+from polescale.sources.files import work_table
 
 LO, HI = (p / 100 for p in CI_PERCENTILES)
 
@@ -161,41 +163,95 @@ def _hashes(draws: int, seed: int, at: int) -> np.ndarray:
     return out
 
 
+def _hashed_draws(n: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """Rows of ``n`` places, a row for each draw, in blocks of about ``CELLS`` places."""
+    step = max(1, CELLS // n)
+    for b in range(0, draws, step):
+        yield np.concatenate([_hashes(draws, seed, at)[b : b + step, : n - at] % np.uint32(n) for at in range(0, n, STEP)], axis=1).astype(np.int64)
+
+
+def _numpy_draws(n: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """The same from one seeded stream, as ``numpy_means`` takes them."""
+    rng, step = np.random.default_rng(seed), max(1, CELLS // n)
+    for b in range(0, draws, step):
+        yield rng.integers(0, n, (min(step, draws - b), n))
+
+
+#: Places that a worker holds at once, and texts from which it counts how often each place is drawn.
+CELLS, SHARED = 1 << 20, 3
+
+
+def shared_means(values: np.ndarray, blocks: Iterator[np.ndarray]) -> np.ndarray:
+    """Means of resamples, (texts, draws), of ``values``, (texts, n): a draw's places depend on n alone, so texts of one length share them.
+
+    For several texts a draw's places are counted and the means are one product of matrices.
+    """
+    texts, n = values.shape
+    out = []
+    for places in blocks:
+        if texts < SHARED:
+            out.append(np.stack([v[places].mean(axis=1) for v in values]))
+            continue
+        k = len(places)
+        places += np.arange(0, k * n, n)[:, None]  # own counts for each draw
+        out.append(values @ np.bincount(places.ravel(), minlength=k * n).reshape(k, n).T.astype(float) / n)
+    return np.concatenate(out, axis=1)
+
+
 def hashed_means(values: np.ndarray, draws: int, seed: int) -> np.ndarray:
     """Means of the hashed resamples of ``values``, a draw each."""
-    n, total = len(values), np.zeros(draws)
-    for at in range(0, n, STEP):
-        total += values[_hashes(draws, seed, at)[:, : n - at] % np.uint32(n)].sum(axis=1)
-    return total / n
+    return shared_means(np.asarray(values, float)[None, :], _hashed_draws(len(values), draws, seed))[0]
 
 
 def text_ci(spark: SparkSession, hits: DataFrame, draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
-    """``slug, ci_low, ci_high`` from ordered in-lexicon scores ``slug, tok_id, score``, with hashed draws.
-
-    A text's scores are gathered in one array (bounded by the text) and all
-    its draws are taken in that row, so neither draws nor tokens are shuffled.
-    The hashes do not depend on the text, so a worker makes each once.
-    """
-    return _text_intervals(hits, lambda v: hashed_means(v, draws, seed))
+    """``slug, ci_low, ci_high`` from ordered in-lexicon scores ``slug, tok_id, score``, with hashed draws."""
+    return array_ci(_arrays(hits), draws, seed)
 
 
 def text_ci_numpy(hits: DataFrame, draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED) -> DataFrame:
     """As above with NumPy's draws: every text starts the same seeded stream."""
-    return _text_intervals(hits, lambda v: numpy_means(v, draws, seed))
-
+    return array_ci(_arrays(hits), draws, seed, exact=True)
 
-def _text_intervals(hits: DataFrame, means: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    import pandas as pd
 
+def _arrays(hits: DataFrame) -> DataFrame:
     rows = F.transform(F.sort_array(F.collect_list(F.struct("tok_id", "score"))), lambda x: x["score"])
+    return hits.groupBy("slug").agg(rows.alias("s"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ends = [np.percentile(means(np.asarray(s, float)), CI_PERCENTILES) for s in pdf["s"]]
-            yield pd.DataFrame({"slug": pdf["slug"], "ci_low": [float(e[0]) for e in ends], "ci_high": [float(e[1]) for e in ends]})
 
-    slug = next(f.dataType.simpleString() for f in hits.schema.fields if f.name == "slug")
-    return hits.groupBy("slug").agg(rows.alias("s")).mapInPandas(run, f"slug {slug}, ci_low double, ci_high double")
+#: Texts of one length below which they are dealt over ``PARTS`` tasks, as their draws are cheap to repeat; values that a task multiplies at once.
+SHORT, PARTS, VALUES = 256, 8, 1 << 20
+
+
+def array_ci(texts: DataFrame, draws: int = TEXT_CI_DRAWS, seed: int = TEXT_CI_SEED, exact: bool = False) -> DataFrame:
+    """``slug, ci_low, ci_high`` of ``slug, s``: each text's scores in order, one array (bounded by the text). ``exact`` takes NumPy's draws.
+
+    Texts are dealt by their length, so those of one length meet in a task
+    that makes their draws once: the draws that are made follow the lengths
+    that occur and not the texts.
+    """
+    take = _numpy_draws if exact else _hashed_draws
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            length = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            low, high = np.empty(len(length)), np.empty(len(length))
+            cuts = np.r_[0, np.flatnonzero(np.diff(length)) + 1, len(length)]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                n = int(length[at])
+                step = max(1, min(VALUES // n, 4 * VALUES // draws))
+                for i in range(at, end, step):
+                    j = min(i + step, end)
+                    own = b.column(1).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    low[i:j], high[i:j] = np.percentile(shared_means(own, take(n, draws, seed)), CI_PERCENTILES, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low), pa.array(high)], names=["slug", "ci_low", "ci_high"])
+
+    kind = next(f.dataType.simpleString() for f in texts.schema.fields if f.name == "slug")
+    part = F.when(F.size("s") < SHORT, F.pmod(F.xxhash64("slug"), F.lit(PARTS))).otherwise(0)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.where(F.size("s") > 0).select("slug", "s", F.size("s").alias("_n"), part.alias("_part")).repartition(tasks, "_n", "_part").sortWithinPartitions("_n")
+    return dealt.select("slug", "s").mapInArrow(run, f"slug {kind}, ci_low double, ci_high double")
 
 
 # --- words --------------------------------------------------------------------
@@ -238,74 +294,190 @@ def numpy_document_draws(spark: SparkSession, docs: DataFrame, poles: tuple[str,
     return spark.createDataFrame(pd.concat(parts) if parts else [], "b long, pole string, slug string, times long")
 
 
-#: Words whose sums a task holds before it passes them on, and groups into which words are dealt for the last step.
-WORDS, GROUPS = 4096, 256
+#: Documents of a block of draws, and groups into which words are dealt.
+BLOCK, GROUPS = 4096, 64
+
+
+@dataclass
+class DrawnBlocks:
+    """How often each document is drawn: ``placed`` (pole, slug, _i) and ``blocks`` (pole, k, block), documents by draws as bytes."""
+
+    placed: DataFrame
+    blocks: DataFrame
+    draws: int
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select("slug", "pole").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("pole").orderBy("slug")) - 1)
+
+
+def _packed(times: np.ndarray) -> bytes:
+    """One byte a number if all fit, else four; the first byte says which."""
+    wide = bool(times.max(initial=0) > 255)
+    return bytes([wide]) + times.astype("<u4" if wide else np.uint8).tobytes()
+
 
+def _unpacked(raw) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if raw[0] else np.uint8, offset=1)
 
-def word_ci(counts: DataFrame, draws: DataFrame, minus: str, plus: str, min_docs: int = WORD_CI_DOCS) -> DataFrame:
+
+def hashed_blocks(spark: SparkSession, docs: DataFrame, draws: int = WORD_CI_DRAWS, seed: int = WORD_CI_SEED) -> DrawnBlocks:
+    """The draws of ``hashed_document_draws``: each is made in one place and summed there, so no drawn document is a row."""
+    placed = work_table(_placed(docs), "placed")
+    sizes = [(r["pole"], r["n"]) for r in placed.groupBy("pole").agg(F.count(F.lit(1)).alias("n")).where("pole is not null").collect()]  # the poles
+    width = BLOCK
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                (pole, n), b = sizes[x // draws], x % draws
+                times = np.zeros(n, np.int64)
+                for at in range(0, n, SLOTS_AT_ONCE):
+                    times += np.bincount(hashed_places(f"{pole}/{b}", seed, n, at, min(at + SLOTS_AT_ONCE, n)), minlength=n)
+                cuts = range(0, n, width)
+                yield pa.RecordBatch.from_arrays([pa.array([pole] * len(cuts)), pa.array(range(len(cuts)), pa.int32()), pa.array([b] * len(cuts), pa.int32()), pa.array([_packed(times[i : i + width]) for i in cuts], pa.binary())], names=["pole", "k", "b", "times"])
+
+    def turned(table: pa.Table) -> pa.Table:
+        docs_of = min(width, dict(sizes)[table["pole"][0].as_py()] - table["k"][0].as_py() * width)
+        out = np.zeros((docs_of, draws), np.uint32)
+        for b, raw in zip(table["b"].to_pylist(), table["times"].to_pylist(), strict=True):
+            out[:, b] = _unpacked(raw)
+        return pa.table({"pole": table["pole"][:1], "k": table["k"][:1], "block": pa.array([_packed(out)], pa.binary())})
+
+    units = len(sizes) * draws
+    rows = spark.range(0, units, 1, max(1, min(units, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(drawn, "pole string, k int, b int, times binary")
+    return DrawnBlocks(placed, work_table(rows.groupBy("pole", "k").applyInArrow(turned, "pole string, k int, block binary"), "draws"), draws)
+
+
+def row_blocks(rows: DataFrame) -> DrawnBlocks:
+    """From rows ``b, pole, slug, times``."""
+    rows = rows.select(F.col("b").cast("int").alias("b"), "pole", "slug", F.col("times").cast("long").alias("times"))
+    placed = work_table(_placed(rows), "placed")
+    draws, width = (rows.agg(F.max("b")).first()[0] or 0) + 1, BLOCK
+    sizes = {r["pole"]: r["n"] for r in placed.groupBy("pole").agg(F.count(F.lit(1)).alias("n")).collect()}  # the poles
+
+    def turned(table: pa.Table) -> pa.Table:
+        out = np.zeros((min(width, sizes[table["pole"][0].as_py()] - table["k"][0].as_py() * width), draws), np.uint32)
+        np.add.at(out, (table["at"].to_numpy(), table["b"].to_numpy()), table["times"].to_numpy().astype(np.uint32))
+        return pa.table({"pole": table["pole"][:1], "k": table["k"][:1], "block": pa.array([_packed(out)], pa.binary())})
+
+    own = rows.join(placed, ["pole", "slug"]).select("pole", _block("_i"), _row("_i"), "b", "times")
+    return DrawnBlocks(placed, work_table(own.groupBy("pole", "k").applyInArrow(turned, "pole string, k int, block binary"), "draws"), draws)
+
+
+def _block(i: str):
+    return F.floor(F.col(i) / BLOCK).cast("int").alias("k")
+
+
+def _row(i: str):
+    return (F.col(i) % BLOCK).cast("int").alias("at")
+
+
+def _totals(lengths: DataFrame, drawn: DrawnBlocks, minus: str, plus: str) -> np.ndarray:
+    """Words drawn, (2, draws): a row for each block comes to the driver."""
+    draws = drawn.draws
+    own = lengths.join(drawn.placed, ["slug", "pole"]).select("pole", _block("_i"), _row("_i"), "len")
+    own = own.groupBy("pole", "k").agg(F.collect_list(F.struct("at", "len")).alias("own")).join(drawn.blocks, ["pole", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for own, raw in zip(b.column(1), b.column(2), strict=True):
+                at, n = own.values.flatten()
+                block = _unpacked(raw.as_buffer()).reshape(-1, draws)
+                length = np.zeros(len(block), np.int64)
+                length[at.to_numpy()] = n.to_numpy()
+                sums.append(sum(length[i] @ block[i].astype(np.int64) for i in (slice(j, j + 512) for j in range(0, len(block), 512))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary())], names=["side", "sums"])
+
+    out = np.zeros((2, draws), np.int64)
+    for r in own.select((F.col("pole") == plus).alias("side"), "own", "block").mapInArrow(run, "side boolean, sums binary").toLocalIterator():
+        out[int(r["side"])] += np.frombuffer(r["sums"], np.int64)
+    return out
+
+
+def _ends(score: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+    """Percentiles of each row over the seen entries, of which there is one at least; as ``np.nanpercentile``, without a call for each row."""
+    x, m = np.sort(np.where(seen, score, np.nan), axis=1), seen.sum(axis=1)
+    out = []
+    for p in CI_PERCENTILES:
+        place = (m - 1) * (p / 100)
+        at = np.floor(place).astype(np.int64)
+        t, row = place - at, np.arange(len(x))
+        a, b = x[row, at], x[row, np.minimum(at + 1, m - 1)]
+        out.append(np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t))
+    return out
+
+
+def word_ci(counts: DataFrame, draws: DataFrame | DrawnBlocks, minus: str, plus: str, min_docs: int = WORD_CI_DOCS) -> DataFrame:
     """``word, pos, ci_low, ci_high`` over the draws in which a word occurs; words of fewer documents have none.
 
-    The gate is the whole corpus's document frequency and comes first; a draw's
-    totals come from document lengths, as they count all words. A document's
-    draws are one array, met once by all its words: a task adds up arrays by
-    word and passes on one for each word and pole, so nothing is multiplied by
-    the draws but those sums. The draws' totals, two numbers a draw, come to
-    the driver.
+    ``counts`` is read three times. The gate is the whole corpus's document
+    frequency and comes first; a draw's totals come from document lengths, as
+    they count all words. Words are dealt over groups; a group's task reads its
+    (document, word) counts beside the blocks of draws, one block after the
+    other, and adds up its words' sums in place. So a pair is one small row,
+    sums never leave the task, and the draws are read once by each group.
     """
     counts = counts.where(F.col("pole").isin(minus, plus))
-    side = lambda p, c: F.sum(F.when(F.col("pole") == p, c).otherwise(0))
-    lengths = counts.groupBy("slug", "pole").agg(F.sum("n").alias("len"))
-    weighed = draws.join(lengths, ["slug", "pole"])
-    totals = weighed.groupBy("b").agg(side(minus, F.col("times") * F.col("len")).alias("m"), side(plus, F.col("times") * F.col("len")).alias("p")).toPandas()
-    size = int(totals["b"].max()) + 1 if len(totals) else 0
-    all_minus, all_plus = np.zeros(size), np.zeros(size)
-    all_minus[totals["b"]], all_plus[totals["b"]] = totals["m"], totals["p"]
+    drawn = draws if isinstance(draws, DrawnBlocks) else row_blocks(draws)
+    size = drawn.draws
+    totals = _totals(counts.groupBy("slug", "pole").agg(F.sum("n").alias("len")), drawn, minus, plus)
+    kind = np.int32 if totals.max(initial=0) < 1 << 31 else np.int64  # no sum passes its draw's total
 
     frequent = counts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= min_docs).select(*KEY)
-    kept = counts.join(frequent, KEY).groupBy("slug", "pole").agg(F.collect_list(F.struct(*KEY, "n")).alias("words"))  # a document's own words
-    times = draws.groupBy("slug", "pole").agg(F.collect_list(F.struct("b", "times")).alias("drawn"))  # at most an entry a draw
-    rows = kept.join(times, ["slug", "pole"]).select((F.col("pole") == plus).alias("side"), "words", "drawn")
+    group = F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).cast("int").alias("g")
+    none = lambda t: F.lit(None).cast(t)
+    side = (F.col("pole") == plus).alias("side")
+    pairs = counts.join(frequent, KEY).join(drawn.placed, ["slug", "pole"]).select(group, side, _block("_i"), _row("_i"), *KEY, F.col("n").cast("long").alias("n"), none("binary").alias("block"))
+    blocks = drawn.blocks.where(F.col("pole").isin(minus, plus)).select(F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"), side, "k", F.lit(-1).alias("at"), none("string").alias("word"), none("string").alias("pos"), none("long").alias("n"), "block")
+    rows = pairs.union(blocks).repartitionById(GROUPS, F.col("g")).sortWithinPartitions("g", "side", "k", "at")  # a block before its pairs
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[tuple, int] = {}
-        held = np.zeros((2 * WORDS, size), np.int32)
-
-        def passed() -> pa.RecordBatch:
-            keys = list(place)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys]), pa.array([held[i].tobytes() for i in range(len(keys))], pa.binary())], names=["word", "pos", "side", "sums"])
-            held[: len(keys)] = 0
-            place.clear()
-            return out
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                plus_side, own, drawn = batch.column(0)[r].as_py(), batch.column(1)[r].values, batch.column(2)[r].values
-                b, k = (x.to_numpy(zero_copy_only=False) for x in drawn.flatten())
-                vector = np.zeros(size, np.int32)
-                vector[b] = k
-                words, pos, n = own.flatten()
-                for at in range(0, len(own), WORDS):
-                    if len(place) + WORDS > 2 * WORDS:
-                        yield passed()
-                    here = [place.setdefault((w, p, plus_side), len(place)) for w, p in zip(words[at : at + WORDS].to_pylist(), pos[at : at + WORDS].to_pylist(), strict=True)]
-                    held[here] += n[at : at + WORDS].to_numpy(zero_copy_only=False).astype(np.int32)[:, None] * vector  # a document has each word once
-        if place:
-            yield passed()
-
-    def intervals(table: pa.Table) -> pa.Table:
-        keys = list(zip(table["word"].to_pylist(), table["pos"].to_pylist(), strict=True))
-        place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        both = np.zeros((2, len(place), size), np.int64)
-        for k, s, x in zip(keys, table["side"].to_pylist(), table["sums"].to_pylist(), strict=True):
-            both[int(s), place[k]] += np.frombuffer(x, np.int32)
-        rate = [np.divide(x, t, out=np.zeros(x.shape), where=t > 0) for x, t in zip(both, (all_minus, all_plus), strict=True)]
-        seen = rate[0] + rate[1] > 0
-        score = np.divide(rate[1] - rate[0], rate[0] + rate[1], out=np.full(seen.shape, np.nan), where=seen)
-        any_ = seen.any(axis=1)
-        lo, hi = np.nanpercentile(score[any_], CI_PERCENTILES, axis=1) if any_.any() else (np.zeros(0), np.zeros(0))
-        names = [k for k, x in zip(place, any_.tolist(), strict=True) if x]
-        return pa.table({"word": pa.array([w for w, _ in names], pa.string()), "pos": pa.array([p for _, p in names], pa.string()), "ci_low": pa.array(lo, pa.float64()), "ci_high": pa.array(hi, pa.float64())})
-
-    partial = rows.mapInArrow(sums, "word string, pos string, side boolean, sums binary")
-    group = F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).alias("group")
-    return partial.groupBy(group).applyInArrow(intervals, "word string, pos string, ci_low double, ci_high double")
+        sums = np.zeros((2, 256, size), kind)
+        block, s = None, 0
+
+        def add(b: pa.RecordBatch) -> None:
+            """Of pairs of one block."""
+            nonlocal sums
+            word, pos = (b.column(c).dictionary_encode() for c in ("word", "pos"))
+            kinds = len(pos.dictionary)
+            key, w = np.unique(word.indices.to_numpy().astype(np.int64) * kinds + pos.indices.to_numpy(), return_inverse=True)
+            names = zip(word.dictionary.take(pa.array(key // kinds)).to_pylist(), pos.dictionary.take(pa.array(key % kinds)).to_pylist(), strict=True)
+            w = np.array([place.setdefault(x, len(place)) for x in names])[w]
+            if len(place) > sums.shape[1]:
+                more = np.zeros((2, max(len(place), sums.shape[1] * 3 // 2), size), kind)
+                more[:, : sums.shape[1]] = sums
+                sums = more
+            order = np.argsort(w, kind="stable")
+            w, at, n = w[order], b.column("at").to_numpy()[order], b.column("n").to_numpy()[order].astype(kind)
+            for i in range(0, len(w), 2048):
+                own = w[i : i + 2048]
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                sums[s, own[start]] += np.add.reduceat(block[at[i : i + 2048]] * n[i : i + 2048, None], start, axis=0, dtype=kind)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            names = list(place)
+            for i in range(0, len(names), 1024):
+                both = sums[:, i : min(i + 1024, len(names))].astype(float)
+                rate = [np.divide(x, t, out=np.zeros(x.shape), where=t > 0) for x, t in zip(both, totals.astype(float), strict=True)]
+                seen = rate[0] + rate[1] > 0
+                any_ = seen.any(axis=1)
+                score = np.divide(rate[1] - rate[0], rate[0] + rate[1], out=np.full(seen.shape, np.nan), where=seen)
+                lo, hi = _ends(score[any_], seen[any_])
+                kept = [x for x, y in zip(names[i : i + 1024], any_.tolist(), strict=True) if y]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.string()), pa.array([x for _, x in kept], pa.string()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64())], names=["word", "pos", "ci_low", "ci_high"])
+
+        for b in batches:
+            heads = np.flatnonzero(b.column("at").to_numpy() < 0)
+            cuts = np.r_[0, heads, b.num_rows]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i in heads:
+                    block, s = _unpacked(b.column("block")[i].as_buffer()).reshape(-1, size), int(b.column("side")[i].as_py())
+                    i += 1
+                if i < j:
+                    add(b.slice(i, j - i))
+        yield from ended()
+
+    return rows.drop("g", "k").mapInArrow(run, "word string, pos string, ci_low double, ci_high double")

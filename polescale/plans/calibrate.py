@@ -11,14 +11,17 @@ from polescale.config import AXES, MIN_DOCS_PER_POLE
 from polescale.functions.text import tokens
 from polescale.operators import bootstrap, wordscores
 from polescale.sources import corpus, tables
+from polescale.sources.files import work_table
 
 log = logging.getLogger(__name__)
 
 
-def lexicon(spark: SparkSession, texts: DataFrame, minus: str, plus: str, draws: DataFrame | None = None, tokenize=tokens) -> DataFrame:
+def lexicon(spark: SparkSession, texts: DataFrame, minus: str, plus: str, draws: DataFrame | bootstrap.DrawnBlocks | None = None, tokenize=tokens) -> DataFrame:
     """Stored lexicon rows of ``texts`` (slug, pole, body); intervals if document draws are given."""
-    counts = wordscores.document_counts(texts, tokenize)
-    scored = wordscores.wordscores(wordscores.frequencies(counts, minus, plus))
+    counts = wordscores.row_counts(texts, tokenize)
+    if draws is not None:  # read by scores and intervals
+        counts = work_table(counts, "counts")
+    scored = wordscores.wordscores(work_table(wordscores.frequencies(counts, minus, plus), "freqs"))
     return wordscores.lexicon_rows(scored, None if draws is None else bootstrap.word_ci(counts, draws, minus, plus))
 
 
@@ -29,7 +32,7 @@ def calibrate(spark: SparkSession, root: str, axis: str, dry_run: bool = False,
         return 1
     minus, plus = AXES[axis]
     kept, excluded = corpus.axis_corpus(corpus.read_corpus(spark, f"{root}/corpus"), minus, plus)
-    texts = kept.select("path", "slug", F.col("expected_pole").alias("pole"), "body")
+    texts = work_table(kept.select("path", "slug", F.col("expected_pole").alias("pole"), "body"), "texts")  # files are read and parsed once
     sizes = {r["pole"]: r["n"] for r in texts.groupBy("pole").agg(F.count(F.lit(1)).alias("n")).collect()}  # two poles
     if not sizes:
         log.error("no seed text on axis %s", axis)
@@ -41,8 +44,8 @@ def calibrate(spark: SparkSession, root: str, axis: str, dry_run: bool = False,
     if bootstrap_n and not dry_run:
         # published intervals have NumPy's draws, which only a small corpus can have
         exact = sum(sizes.values()) <= bootstrap.MOST_NUMPY_DOCS
-        draws = bootstrap.numpy_document_draws(spark, texts, (minus, plus), bootstrap_n) if exact else bootstrap.hashed_document_draws(spark, texts, bootstrap_n)
-    rows = lexicon(spark, texts.drop("path"), minus, plus, draws, tokenize)
+        draws = bootstrap.numpy_document_draws(spark, texts, (minus, plus), bootstrap_n) if exact else bootstrap.hashed_blocks(spark, texts, bootstrap_n)
+    rows = work_table(lexicon(spark, texts.drop("path"), minus, plus, draws, tokenize), "lexicon")  # two files, each in order, come of it
     log.info("%d texts, %d inversions left out", sum(sizes.values()), excluded.count())
     if not dry_run:
         tables.write_lexicon(rows, f"{root}/axes/{axis}", minus, plus)

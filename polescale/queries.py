@@ -177,8 +177,10 @@ def comparison_table(spark: SparkSession, d: str) -> DataFrame:
     """With every scored text's interval (NumPy's draws, as the published table) and sign robustness."""
     from polescale.sources.tables import comparison_columns
 
-    ci = bootstrap.text_ci_numpy(ax.hits(texts(spark, d), lbg(spark, d)))
-    return comparison_columns(graded(spark, d, ci), "lbg")
+    all_, hits = texts(spark, d), hit_arrays(spark, d)
+    scored = ax.hit_scores(all_, hits).withColumn("axis_score", F.round("axis_score", 9))
+    rows = ax.graded(scored.join(all_.select("slug", "category", "gold_pole"), "slug"), MINUS, PLUS, bootstrap.array_ci(hits, exact=True))
+    return comparison_columns(rows, "lbg")
 
 
 # --- segments and chunks ------------------------------------------------------
@@ -338,18 +340,23 @@ def paired_diff_ci(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.paired_diff_ci(spark, rows, "correct", "other", draws=ACCURACY_DRAWS, seed=SEED).select(r6("point_a"), r6("point_b"), r6("diff"), r6("mean"), r6("ci_lo"), r6("ci_hi"), "n", "n_iter", "seed", "inconclusive")
 
 
+def hit_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Written once: scores and intervals of the texts read it."""
+    return work_table(ax.text_hits(texts(spark, d), lbg(spark, d)), "hits")
+
+
 def text_ci(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.text_ci(spark, ax.hits(texts(spark, d), lbg(spark, d)), TEXT_CI_DRAWS, SEED).select("slug", r6("ci_low"), r6("ci_high"))
+    return bootstrap.array_ci(hit_arrays(spark, d), TEXT_CI_DRAWS, SEED).select("slug", r6("ci_low"), r6("ci_high"))
 
 
 def text_ci_numpy(spark: SparkSession, d: str) -> DataFrame:
     """NumPy's draws: not for SQL; tests compare them with NumPy itself."""
-    return bootstrap.text_ci_numpy(ax.hits(texts(spark, d), lbg(spark, d)))
+    return bootstrap.array_ci(hit_arrays(spark, d), exact=True)
 
 
 def word_ci(spark: SparkSession, d: str) -> DataFrame:
-    counts = ws.document_counts(seeds(spark, d))
-    draws = bootstrap.hashed_document_draws(spark, seeds(spark, d), WORD_CI_DRAWS, 12345)
+    counts = work_table(ws.row_counts(seeds(spark, d)), "counts")
+    draws = bootstrap.hashed_blocks(spark, seeds(spark, d), WORD_CI_DRAWS, 12345)
     return bootstrap.word_ci(counts, draws, MINUS, PLUS).select("word", "pos", r6("ci_low"), r6("ci_high"))
 
 
