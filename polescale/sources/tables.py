@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,9 +67,20 @@ def read_predictions(spark: SparkSession, folder: str, suffix: str = ".predictio
     return named.where("predicted_pole is not null and predicted_pole <> ''").select(slug.alias("slug"), "predicted_pole")
 
 
+def shown(c: str) -> Column:
+    """A double of six digits as Python and DuckDB write it (0.0005, 1e-05, -0.0), where Spark writes 5.0E-4; other numbers as Spark does."""
+    x = F.round(c, DIGITS)
+    plain = F.regexp_replace(F.regexp_replace(x.cast(f"decimal(38,{DIGITS})").cast("string"), "0+$", ""), r"\.$", ".0")
+    digits = F.rtrim(F.abs(F.round(x * 10**DIGITS)).cast("long").cast("string"), F.lit("0"))  # of numbers below 1e-4, at most two
+    power = F.when(F.abs(x) < 9.5e-6, "-06").otherwise("-05")
+    small = F.concat(F.when(x < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 1))).otherwise(""), F.lit("e"), power)
+    zero = F.when(F.col(c) < 0, "-0.0").otherwise("0.0")
+    return F.when(x == 0, zero).when(F.abs(x) < 9.95e-5, small).when(F.abs(x) < 1e15, plain).otherwise(x.cast("string"))
+
+
 def comparison_columns(rows: DataFrame, scoring: str) -> DataFrame:
     """The stored comparison: rounded numbers, empty strings for nulls, 1/0 grades, True/False robustness."""
-    number = lambda c: F.coalesce(F.round(c, DIGITS).cast("string"), F.lit(""))
+    number = lambda c: F.coalesce(shown(c), F.lit(""))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     grade = F.when(F.col("correct"), "1").when(~F.col("correct"), "0").otherwise("")
     robust = F.when(F.col("sign_robust"), "True").otherwise("False")
