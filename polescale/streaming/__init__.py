@@ -31,7 +31,7 @@ def joined_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> Data
     Rows are told apart by their body's digest, as nothing else need be unique. Rows of one body are scored together: their
     mean is each one's, their hits are shared out; so bodies themselves are never shuffled.
     """
-    key = F.sha2(F.coalesce("body", F.lit("")), 256)
+    key = F.unhex(F.sha2(F.coalesce("body", F.lit("")), 256))  # as bytes: it stands in each row of a text's words
     bodies = texts.select(key.alias("slug"), F.coalesce("body", F.lit("")).alias("body"))
     scored = axis_scores(bodies, lexicon.where("score is not null"), tokenize).withColumnRenamed("slug", "_body")
     scored = scored.groupBy("_body").agg(F.first("axis_score").alias("axis_score"), (F.first("n_hits") / F.count(F.lit(1))).cast("long").alias("n_hits"), F.first("n_tokens").alias("n_tokens"))
