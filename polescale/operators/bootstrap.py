@@ -44,13 +44,17 @@ def accuracy_draws(spark: SparkSession, places: DataFrame, draws: int, seed: int
 SLOTS_AT_ONCE = 1 << 16
 
 
-def hashed_places(b: int | str, seed: int, n: int, at: int, end: int) -> np.ndarray:
-    """``functions.draws.draw`` of draw ``b`` for the slots from ``at`` to before ``end``, of ``n`` places."""
+def hashed_raw(b: int | str, seed: int, at: int, end: int) -> bytes:
+    """Four bytes a slot of draw ``b``, before the modulo."""
     from hashlib import md5
 
     head, tail = f"{b}-".encode(), f"-{seed}".encode()
-    raw = b"".join([md5(head + b"%d" % i + tail).digest()[:4] for i in range(at, end)])
-    return np.frombuffer(raw, ">u4").astype(np.int64) % n
+    return b"".join([md5(head + b"%d" % i + tail).digest()[:4] for i in range(at, end)])
+
+
+def hashed_places(b: int | str, seed: int, n: int, at: int, end: int) -> np.ndarray:
+    """``functions.draws.draw`` of draw ``b`` for the slots from ``at`` to before ``end``, of ``n`` places."""
+    return np.frombuffer(hashed_raw(b, seed, at, end), ">u4").astype(np.int64) % n
 
 
 def _in_order(rows: DataFrame, order: str, *values: str) -> list[np.ndarray]:
@@ -147,19 +151,22 @@ SLOTS, STEP = 1 << 14, 1 << 10
 _kept: dict[tuple[int, int], list[np.ndarray]] = {}
 
 
-def _hashes(draws: int, seed: int, at: int) -> np.ndarray:
-    """(draws, STEP) numbers of ``functions.draws.draw`` before the modulo, for slots from ``at``; the same for every text."""
-    from hashlib import md5
+def _hashes(draws: int, seed: int, at: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """(draws from ``lo`` to ``hi``, STEP) numbers of ``functions.draws.draw`` before the modulo, for slots from ``at``; the same for every text.
 
+    Beyond ``SLOTS`` they are not kept, and only the draws asked for are hashed.
+    """
     kept = _kept.setdefault((draws, seed), [])
     k = at // STEP
     if k < len(kept):
-        return kept[k]
-    tail = [f"-{i}-{seed}".encode() for i in range(at, at + STEP)]
-    raw = b"".join(md5(b + x).digest()[:4] for b in (str(b).encode() for b in range(draws)) for x in tail)
-    out = np.frombuffer(raw, ">u4").astype(np.uint32).reshape(draws, STEP)
-    if k == len(kept) and at < SLOTS:
+        return kept[k][lo:hi]
+    keep = k == len(kept) and at < SLOTS
+    span = range(draws) if keep else range(draws)[lo:hi]
+    raw = b"".join([hashed_raw(b, seed, at, at + STEP) for b in span])
+    out = np.frombuffer(raw, ">u4").astype(np.uint32).reshape(len(span), STEP)
+    if keep:
         kept.append(out)
+        return out[lo:hi]
     return out
 
 
@@ -167,7 +174,7 @@ def _hashed_draws(n: int, draws: int, seed: int) -> Iterator[np.ndarray]:
     """Rows of ``n`` places, a row for each draw, in blocks of about ``CELLS`` places."""
     step = max(1, CELLS // n)
     for b in range(0, draws, step):
-        yield np.concatenate([_hashes(draws, seed, at)[b : b + step, : n - at] % np.uint32(n) for at in range(0, n, STEP)], axis=1).astype(np.int64)
+        yield np.concatenate([_hashes(draws, seed, at, b, b + step)[:, : n - at] % np.uint32(n) for at in range(0, n, STEP)], axis=1).astype(np.int64)
 
 
 def _numpy_draws(n: int, draws: int, seed: int) -> Iterator[np.ndarray]:

@@ -12,6 +12,7 @@ from polescale.functions.text import tokens
 from polescale.operators import axis as ax
 from polescale.operators import bootstrap, wordscores
 from polescale.sources import corpus, tables
+from polescale.sources.files import work_table
 
 log = logging.getLogger(__name__)
 #: Where a text's score comes from, by scoring.
@@ -36,11 +37,12 @@ def category_texts(root: DataFrame, holdout: DataFrame | None, minus: str, plus:
 
 
 def score_texts(spark: SparkSession, texts: DataFrame, lexicon: DataFrame, minus: str, plus: str, draws: int = TEXT_CI_DRAWS, exact: bool = True, tokenize=tokens) -> DataFrame:
-    """Graded rows with intervals; ``exact`` takes NumPy's draws."""
+    """Graded rows with intervals; ``exact`` takes NumPy's draws. The texts' hits are written once, for scores and intervals."""
     keyed = texts.withColumn("_key", F.concat_ws("\x01", "category", "slug"))
     bare = keyed.select(F.col("_key").alias("slug"), "body")
-    scored = ax.axis_scores(bare, lexicon, tokenize)
-    ci = (bootstrap.text_ci_numpy if exact else lambda h, n: bootstrap.text_ci(spark, h, n))(ax.hits(bare, lexicon, tokenize), draws)
+    hits = work_table(ax.text_hits(bare, lexicon, tokenize), "hits")
+    scored = ax.hit_scores(bare, hits, tokenize)
+    ci = bootstrap.array_ci(hits, draws, exact=exact)
     names = keyed.select("_key", F.col("slug").alias("_slug"), "category", "gold_pole")
     j = scored.join(names, F.col("slug") == F.col("_key"))
     return ax.graded(j, minus, plus, ci).drop("_key", "slug").withColumnRenamed("_slug", "slug")
@@ -96,8 +98,9 @@ def compare(spark: SparkSession, root: str, axis: str, dry_run: bool = False, le
     lex = tables.read_lexicon(spark, path) if scoring == "lbg" else wordscores.lowe(tables.read_pole_counts(spark, path))
     holdout = corpus.read_holdout(spark, holdout_dir or f"{root}/corpus/tests")
     book = corpus.read_book(spark, book_path) if book_path and axis == "hors-sol-terrestre" else None
-    texts = category_texts(corpus.read_corpus(spark, f"{root}/corpus"), holdout, minus, plus, book, plus)
-    rows = score_texts(spark, texts, lex, minus, plus, tokenize=tokenize)
+    read = work_table(corpus.read_corpus(spark, f"{root}/corpus").select("slug", "expected_pole", "role", "use_for_seeds", "body"), "corpus")
+    texts = work_table(category_texts(read, holdout, minus, plus, book, plus), "texts")  # files are read and parsed once
+    rows = work_table(score_texts(spark, texts, lex, minus, plus, tokenize=tokenize), "rows")  # report and table read it
     predictions = tables.read_predictions(spark, predictions_dir) if predictions_dir and corpus._exists(spark, predictions_dir) else None
     said = report(rows, axis, scoring, predictions)
     if not dry_run:

@@ -62,3 +62,16 @@ def test_word_intervals_over_blocks_and_groups(spark, monkeypatch):
 def test_times_beyond_a_byte():
     for x in (np.array([0, 255]), np.array([0, 256, 70000]), np.zeros(0, np.int64)):
         assert bootstrap._unpacked(bootstrap._packed(x)).tolist() == x.tolist()
+
+
+def test_hashes_beyond_those_kept_are_made_once(monkeypatch):
+    """A long text takes its draws in parts, and each part hashes its own draws only."""
+    made = []
+    raw = bootstrap.hashed_raw
+    monkeypatch.setattr(bootstrap, "hashed_raw", lambda b, seed, at, end: made.append((b, at)) or raw(b, seed, at, end))
+    monkeypatch.setattr(bootstrap, "_kept", {})
+    for name, x in (("STEP", 8), ("SLOTS", 16), ("CELLS", 60)):
+        monkeypatch.setattr(bootstrap, name, x)
+    got = np.concatenate(list(bootstrap._hashed_draws(30, 5, 42)))
+    assert got.tolist() == [bootstrap.hashed_places(b, 42, 30, 0, 30).tolist() for b in range(5)]
+    assert len(made[:20]) == len(set(made[:20])) == 20  # 5 draws of 4 blocks
