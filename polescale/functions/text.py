@@ -117,12 +117,17 @@ def chunks(text: Column, target: int = CHUNK_WORDS, sentence_split=sentences) ->
     return let(packed, lambda p: F.when(F.size(p) > 0, p).otherwise(word_slices(text, target)))
 
 
+def words(text: Column) -> Column:
+    """``array<string>``: the words of ``tokens``, all of which have the part of speech X."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+
+
 def tokens(text: Column) -> Column:
     """``array<struct<word, pos>>``: lower-cased runs of two or more letters, with the part of speech X.
 
     The stand-in for a lemmatiser; one that tags words gives the same shape.
     """
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1)), lambda w: F.struct(w.alias("word"), F.lit("X").alias("pos")))
+    return F.transform(words(text), lambda w: F.struct(w.alias("word"), F.lit("X").alias("pos")))
 
 
 def keep_lemmas(tagged: Column, pos: tuple[str, ...]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from polescale.functions.labels import correct, predict, sign_robust
 from polescale.functions.text import tokens
-from polescale.operators.counting import ROWS, parts, row_words
+from polescale.operators.counting import ROWS, n_tokens, parts, row_words
 from polescale.operators.wordscores import KEY, explode_tokens
 
 
@@ -26,13 +26,18 @@ def axis_scores(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFr
     A text's words are counted in its row, so just its distinct words meet
     the lexicon, and neither tokens nor bodies are shuffled.
     """
-    found = row_words(texts, "slug", tokenize=tokenize).join(lexicon.select(*KEY, "score"), KEY)
+    found = row_words(texts, "slug", tokenize=tokenize).join(_looked_up(lexicon), KEY)
     found = found.groupBy("slug").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("s"), F.sum("n").alias("h"))
     return _scored(texts, found, tokenize)
 
 
+def _looked_up(lexicon: DataFrame) -> DataFrame:
+    """A part of the lexicon is small beside the words of texts that meet it: it is hashed, and they need not be sorted."""
+    return lexicon.select(*KEY, "score").hint("shuffle_hash")
+
+
 def _scored(texts: DataFrame, found: DataFrame, tokenize) -> DataFrame:
-    base = texts.select("slug", F.size(tokenize(F.col("body"))).cast("long").alias("n_tokens"))
+    base = texts.select("slug", n_tokens(tokenize).alias("n_tokens"))
     return base.join(found, "slug", "left").select("slug", F.coalesce("s", F.lit(0.0)).alias("axis_score"), F.coalesce("h", F.lit(0)).cast("long").alias("n_hits"), "n_tokens")
 
 
@@ -41,7 +46,7 @@ def text_hits(texts: DataFrame, lexicon: DataFrame, tokenize=tokens) -> DataFram
 
     Texts of one slug are interleaved by place, then score, as ``hits`` in order would be.
     """
-    found = row_words(texts, "slug", tokenize=tokenize, places=True).join(lexicon.select(*KEY, "score"), KEY)
+    found = row_words(texts, "slug", tokenize=tokenize, places=True).join(_looked_up(lexicon), KEY)
     return in_text_order(found.groupBy("slug").agg(F.collect_list(F.struct("score", "at")).alias("own")))
 
 

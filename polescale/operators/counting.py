@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polescale.functions import text
 from polescale.functions.text import tokens
 
 #: Tokens that a worker counts at once (a longer text is counted alone), and rows that it hands back at once.
@@ -24,12 +25,18 @@ def parts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def n_tokens(tokenize=tokens):
+    """Number of tokens of ``body``."""
+    return F.size((text.words if tokenize is tokens else tokenize)(F.col("body"))).cast("long")
+
+
 def row_words(texts: DataFrame, *keys: str, tokenize=tokens, places: bool = False) -> DataFrame:
     """``keys, word, pos, n`` for each row of ``texts`` (body) and each of its words; rows alike in ``keys`` are not put together.
 
     With ``places`` also ``at``, the word's places in the row, in order.
     """
-    rows = texts.select(*keys, tokenize(F.col("body")).alias("_t"))
+    plain = tokenize is tokens  # words alone go to the workers
+    rows = texts.select(*keys, (text.words if plain else tokenize)(F.col("body")).alias("_t"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     names = [*keys, "word", "pos", "n"] + ["at"] * places
 
@@ -37,11 +44,11 @@ def row_words(texts: DataFrame, *keys: str, tokenize=tokens, places: bool = Fals
         lists = b.column(len(keys))
         length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         own = lists.flatten()
-        fields = own.flatten()
-        word, pos = (fields[own.type.get_field_index(c)].dictionary_encode("encode") for c in ("word", "pos"))
+        word, pos = (own, None) if plain else (own.flatten()[own.type.get_field_index(c)] for c in ("word", "pos"))
+        word, pos = word.dictionary_encode("encode"), (pa.array(["X"]) if plain else pos).dictionary_encode("encode")
         row, kinds_of = np.repeat(np.arange(len(length)), length), max(1, len(pos.dictionary))
         size = max(1, len(word.dictionary)) * kinds_of
-        key = row * size + word.indices.to_numpy().astype(np.int64) * kinds_of + pos.indices.to_numpy()
+        key = row * size + word.indices.to_numpy().astype(np.int64) * kinds_of + (0 if plain else pos.indices.to_numpy())
         order = np.argsort(key, kind="stable") if places else None
         key = key[order] if places else np.sort(key)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
